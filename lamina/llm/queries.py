@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, quality, topk, toxicity, url_rules
+from . import decontaminate, langid, mixing, pii, quality, substring_dedup, topk, toxicity, url_rules
 from .common import table
 
 
@@ -45,4 +45,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_url_filter, op4_topk_search, op5_pii, op6_quality, op8_language_id, op9_mixing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_url_filter, op4_topk_search, op5_pii, op6_quality, op8_language_id, op9_mixing, op10_substring_dedup)}
