@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, quality, substring_dedup, topk, toxicity, url_rules
+from . import decontaminate, jaccard_join, langid, mixing, pii, quality, substring_dedup, topk, toxicity, url_rules
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs))
@@ -49,4 +53,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_url_filter, op4_topk_search, op5_pii, op6_quality, op8_language_id, op9_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_url_filter, op4_topk_search, op5_pii, op6_quality, op7_jaccard_join, op8_language_id, op9_mixing, op10_substring_dedup)}

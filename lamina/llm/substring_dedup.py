@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, discard, free_shuffles, materialize, prepare, shards, text_bytes
+from .hashing import BASE, TABLE, Powers, mix, power, running
 
 by_value(__name__)
 
@@ -53,55 +54,21 @@ SHARD_BYTES = 24 << 20
 SORT_BYTES = 2 << 20
 LARGE = 4096
 
-_TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _power(base: int, n: int) -> np.uint64:
-    return np.uint64(pow(base, n, 1 << 64))
-
-
-class _Powers:
-    """Powers of the hash's base and of its inverse, made where they are used."""
-
-    up: np.ndarray | None = None
-    down: np.ndarray | None = None
-
-    @classmethod
-    def get(cls) -> tuple[np.ndarray, np.ndarray]:
-        if cls.up is None:
-            def powers(base: int) -> np.ndarray:
-                out = np.empty(1 << PLACE, np.uint64)
-                out[0], done = 1, 1
-                while done < len(out):
-                    out[done : 2 * done] = out[:done] * _power(base, done)
-                    done *= 2
-                return out
-
-            cls.up, cls.down = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
-        return cls.up, cls.down
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
 def gram_hashes(values: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each place, put together from hashes of 2, 4, 8 and 16."""
     h, parts = values, {}
     n = 1
     while n < 16:
-        h = h[:-n] * _power(_BASE, n) + h[n:]
+        h = h[:-n] * power(BASE, n) + h[n:]
         n *= 2
         parts[n] = h
-    h = parts[16][: len(values) - GRAM + 1] * _power(_BASE, 8) + parts[8][16 : 16 + len(values) - GRAM + 1]
-    return _mix(h)
+    h = parts[16][: len(values) - GRAM + 1] * power(BASE, 8) + parts[8][16 : 16 + len(values) - GRAM + 1]
+    return mix(h)
 
 
 def rows_of_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """bucket, stretch identity, first start and number of starts of every run in a piece of text."""
-    values = _TABLE[data]
+    values = TABLE[data]
     h = gram_hashes(values)
     low = np.uint64((1 << PLACE) - 1)
     rank = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -114,11 +81,11 @@ def rows_of_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     last = np.r_[first[1:], len(place)] - 1
     place = place[first]
-    up, down = _Powers.get()
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+    _, down = Powers.get(len(values))
+    total = running(values)
     stretch = (total[last + LENGTH] - total[first]) * down[first]
     form = ((place - first) << 8 | (last - first)).astype(np.uint64)
-    return h[place].view(np.int64), _mix(stretch + _mix(form + np.uint64(1))).view(np.int64), first, last - first + 1
+    return h[place].view(np.int64), mix(stretch + mix(form + np.uint64(1))).view(np.int64), first, last - first + 1
 
 
 def rows_of_text(text: bytes) -> tuple[np.ndarray, ...]:
@@ -144,12 +111,12 @@ def _combined(bucket: np.ndarray, stretch: np.ndarray, did: np.ndarray, first: n
 
     A done row gets a bucket of its own, so that it meets nothing and is spread evenly.
     """
-    key = _mix(bucket.view(np.uint64) * np.uint64(3) + stretch.view(np.uint64))
+    key = mix(bucket.view(np.uint64) * np.uint64(3) + stretch.view(np.uint64))
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     again = np.zeros(len(key), bool)
     again[order[1:]] = ordered[1:] == ordered[:-1]
-    lone = _mix(did.view(np.uint64) * np.uint64(_BASE) + first.astype(np.uint64)).view(np.int64)
+    lone = mix(did.view(np.uint64) * np.uint64(BASE) + first.astype(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.where(again, lone, bucket)), pa.array(np.where(again, 0, stretch)), pa.array(did), pa.array(_packed(first, count, again.astype(np.int64)))],
         ["bucket", "stretch", "did", "pos"],
@@ -304,18 +271,18 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of the fetched pieces as a row of a bucket of its own."""
-    up, down = _Powers.get()
     for shard in shards(batches, "piece", SORT_BYTES):
         did, first = shard.column(1).to_numpy(), shard.column(2).to_numpy().astype(np.int64)
         order = np.lexsort((first, did))
         pieces = shard.column(3).to_pylist()
         parts = []
         for i in order:
-            values = _TABLE[np.frombuffer(pieces[i], np.uint8)]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+            values = TABLE[np.frombuffer(pieces[i], np.uint8)]
+            _, down = Powers.get(len(values))
+            total = running(values)
             n = len(values) - LENGTH + 1
             string = (total[LENGTH:] - total[:n]) * down[:n]
-            parts.append((_mix(string), _mix(_mix(string + np.uint64(7))), np.full(n, did[i]), first[i] + np.arange(n)))
+            parts.append((mix(string), mix(mix(string + np.uint64(7))), np.full(n, did[i]), first[i] + np.arange(n)))
         a, b, d, f = (np.concatenate(x) for x in zip(*parts, strict=True))
         yield _combined(a.view(np.int64), b.view(np.int64), d, f, np.ones(len(f), np.int64))
 
