@@ -1,5 +1,59 @@
-"""The corpus pipeline: stages that each read what the one before has written."""
-STAGES = []
+"""The corpus pipeline: five stages, each reading what the one before it has written.
+
+Stages take (spark, docs, sf_dir), work on all rows of docs and return a DataFrame. All but the last
+return the columns of documents. SQL can express neither trained models nor the subset-sum choice, so
+there is no SQL for the rows; tests hold each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.llm import decontaminate, jaccard_join, langid, mixing, pii
+from lamina.llm.common import materialize, table
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents that it rejects go."""
+    return langid.keep_known(docs, langid.learn(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a window of an item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: spans are replaced by their kind, and n_chars follows the text."""
+    masked = pii.redact(docs, pii.learn(docs))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(length, F.col("n_chars"))))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: the documents that are taken, how often, and the words that makes."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("language ID", keep_known_languages),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal data", mask_personal_data),
+    ("source mix", mix_sources),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

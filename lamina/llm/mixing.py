@@ -32,6 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = 1024
 #: Largest budget that the dynamic program fills; what is above it is filled by long documents first.
 TABLE_WORDS = 1 << 16
+BROADCAST_ROWS = 100_000
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -107,28 +108,41 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return totals.withColumn("target", target).select("source", "source_no", "source_size", "target")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row; taken is size times its copies."""
-    sizes = materialize(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_h"),
-        ),
-        "sizes",
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, carry: bool) -> DataFrame:
+    """doc_id, source, size and the seeded hash of every row; all its columns too, if carry."""
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
+    return docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_h"),
+        *own,
     )
-    targets = materialize(source_targets(sizes), "targets")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a table of a few numbers a row if it has at most BROADCAST_ROWS rows; else join by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row; taken is size times its copies.
+
+    With carry, copies and a struct _row of all columns of docs come along.
+    """
+    sizes = materialize(_sized(docs, doc_id, text, source, seed, False), "sizes")
+    targets = _small(materialize(source_targets(sizes), "targets"))
     slot = F.pmod(F.shiftrightunsigned(F.col("_h"), 16), F.lit(SLOTS)).cast("int")
-    rows = sizes.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", sizes["source"], "size", "source_no", "source_size", "target", "_h", slot.alias("_slot")
-    )
+
+    def placed(rows: DataFrame) -> DataFrame:
+        own = [c for c in rows.columns if c != "source"]
+        return rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(rows["source"], *own, "source_no", "source_size", "target", slot.alias("_slot"))
+
+    rows = placed(sizes)
     hist = rows.groupBy("source_no", "size").agg(F.count("*").alias("n"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    plan = materialize(
-        hist.groupBy("source_no").applyInPandas(_plan, "source_no int, size long, n long, copies long, chosen long"), "plan"
-    )
-    some = plan.where("chosen > 0 AND chosen < n").select("source_no", "size", "chosen")
-    slots = rows.groupBy("source_no", "size", "_slot").agg(F.count("*").alias("m")).join(some, ["source_no", "size"])
+    plan = materialize(hist.groupBy("source_no").applyInPandas(_plan, "source_no int, size long, n long, copies long, chosen long"), "plan")
+    some = _small(plan.where("chosen > 0 AND chosen < n").select("source_no", "size", "chosen"))
+    slots = rows.join(some, ["source_no", "size"]).groupBy("source_no", "size", "_slot").agg(F.count("*").alias("m"), F.first("chosen").alias("chosen"))
     run = Window.partitionBy("source_no", "size").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     border = (
         slots.withColumn("before", F.coalesce(F.sum("m").over(run), F.lit(0)))
@@ -146,13 +160,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         ),
         "choice",
     )
-    picked = rows.join(choice, ["source_no", "size"])
+    picked = (placed(_sized(docs, doc_id, text, source, seed, True)) if carry else rows).join(_small(choice), ["source_no", "size"])
     out = ["doc_id", "source", "size", "source_size", "target"]
-    whole = picked.where("_slot <> border OR need = 0").select(
-        *out, (F.col("size") * (F.col("copies") + (F.col("_slot") < F.col("border")).cast("long"))).alias("taken")
-    )
+
+    def taken(more) -> list:
+        copies = F.col("copies") + more.cast("long")
+        return [(F.col("size") * copies).alias("taken"), *([copies.alias("copies"), "_row"] if carry else [])]
+
+    whole = picked.where("_slot <> border OR need = 0").select(*out, *taken(F.col("_slot") < F.col("border")))
     rank = F.row_number().over(Window.partitionBy("source_no", "size", "_slot").orderBy("_h", "doc_id"))
-    ranked = picked.where("_slot = border AND need > 0").withColumn("_r", rank).select(
-        *out, (F.col("size") * (F.col("copies") + (F.col("_r") <= F.col("need")).cast("long"))).alias("taken")
-    )
+    ranked = picked.where("_slot = border AND need > 0").withColumn("_r", rank).select(*out, *taken(F.col("_r") <= F.col("need")))
     return whole.unionByName(ranked)
+
+
+def mixed_documents(docs: DataFrame, **names) -> DataFrame:
+    """The rows that the mix takes, with their columns and how often each is taken (copies)."""
+    found = mix(docs, carry=True, **names).where("copies > 0 AND size > 0")
+    return found.select("_row.*", F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_words"), F.col("target").alias("mix_target"))
