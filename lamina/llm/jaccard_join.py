@@ -44,7 +44,9 @@ by_value(__name__)
 WORDS = 5
 THRESHOLD = 75
 RADIUS = 0.25
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
+#: Entries that one task compares at once.
+PART_ENTRIES = 400_000
 #: Frequent shingles that are put last; any set of them gives the same result.
 MOST_FREQUENT = 200_000
 #: A region of more shingles than this is joined across the cluster.
@@ -427,9 +429,9 @@ def class_labels(plain: DataFrame, surveyed: DataFrame) -> DataFrame:
     spark = plain.sparkSession
     top = surveyed.where("NOT is_doc").groupBy("code").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "code").limit(MOST_FREQUENT)
     late = np.sort(np.array([r["code"] for r in top.select("code").collect()], np.int64).view(np.uint64))
-    # parts of about a million entries; 3/8 of all shingles are entries
+    # parts of about PART_ENTRIES entries; 3/8 of all shingles are entries
     shingles = surveyed.where("is_doc").agg(F.sum("n")).first()[0] or 0
-    parts = int(max(8, shingles * 3 // 8 // 1_000_000 + 1))
+    parts = int(max(8, shingles * 3 // 8 // PART_ENTRIES + 1))
     packed = materialize(plain.select("text").mapInArrow(_entries(spark.sparkContext.broadcast(late), parts), "part int, keys binary, classes binary, sizes binary, shared binary"), "entries")
     row = "key long, class long, n int"
     met = packed.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, row)
