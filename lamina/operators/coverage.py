@@ -46,7 +46,9 @@ def _bucket(key: Column, bounds: list[bytes]) -> Column:
     """How many bounds are at or below key."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key))
+    just_after = F.concat(key, F.lit(b"\0"))
+    placed = F.sort_array(F.array_append(F.array(*[F.lit(b) for b in bounds]), just_after))
+    return (F.array_position(placed, just_after) - 1).cast("int")
 
 
 def _spread(rows: list[tuple[int, bytes, bytes, int]], bounds: list[bytes]) -> list[tuple[int, int, bytes, bytes, int]]:

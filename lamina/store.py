@@ -239,7 +239,7 @@ class KVStore:
             return
         vt = F.when(F.col("op") == "put", VALUE).when(F.col("op") == "delete", TOMBSTONE).when(F.col("op") == "delete_range", RANGE_TOMBSTONE).when(F.col("op") == "merge", MERGE_OPERAND)
         rows = ops.select("ord", F.col("cf_id").cast("int").alias("cf_id"), "key", vt.cast("byte").alias("vt"), F.coalesce("value", F.lit(b"")).alias("val"), "end_key")
-        rows = rows.where((F.col("vt") != RANGE_TOMBSTONE) | (F.col("key") < F.col("end_key")))
+        rows = rows.where(F.col("vt").isNull() | (F.col("vt") != RANGE_TOMBSTONE) | (F.col("key") < F.col("end_key")))
         staged = self._stage(rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("_at", F.monotonically_increasing_id()))
         try:
             part = F.shiftright("_at", 33).alias("part")
