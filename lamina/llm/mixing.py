@@ -47,11 +47,12 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     share = budget / total
     taken = np.floor(counts * share).astype(np.int64)
     left = budget - int((lengths * taken).sum())
+    most = max(TABLE_WORDS, int(lengths.max()))  # so that a document fits as long as more is left
     for i in np.argsort(-lengths, kind="stable"):
-        if left <= TABLE_WORDS:
+        if left <= most:
             break
         if lengths[i]:
-            more = min(int(counts[i] - taken[i]), (left - TABLE_WORDS + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
+            more = min(int(counts[i] - taken[i]), (left - most + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
             taken[i] += more
             left -= more * int(lengths[i])
     # bounded knapsack: bit s of reach is set if s words can be made; counts go in as powers of two
