@@ -47,7 +47,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     share = budget / total
     taken = np.floor(counts * share).astype(np.int64)
     left = budget - int((lengths * taken).sum())
-    most = max(TABLE_WORDS, int(lengths.max()))  # so that a document fits as long as more is left
+    most = max(TABLE_WORDS, 2 * int(lengths.max()))  # so that a document fits as long as more is left
     for i in np.argsort(-lengths, kind="stable"):
         if left <= most:
             break
@@ -55,6 +55,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             more = min(int(counts[i] - taken[i]), (left - most + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
             taken[i] += more
             left -= more * int(lengths[i])
+    for i in np.argsort(-lengths, kind="stable"):  # some go back, so that the table has a choice
+        if lengths[i] and left + lengths[i] <= most:
+            fewer = min(int(taken[i]), (most - left) // int(lengths[i]))
+            taken[i] -= fewer
+            left += fewer * int(lengths[i])
     # bounded knapsack: bit s of reach is set if s words can be made; counts go in as powers of two
     free = [(int(n), i) for i, n in enumerate(lengths) if 0 < n <= left and counts[i] > taken[i]]
     limit, reach, steps = (1 << (left + 1)) - 1, 1, []
