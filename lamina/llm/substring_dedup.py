@@ -103,7 +103,7 @@ def rows_of_text(text: bytes) -> tuple[np.ndarray, ...]:
 
 def _packed(first: np.ndarray, count: np.ndarray, done: np.ndarray | int) -> np.ndarray:
     """First start, number of starts, and whether a row is known to be repeated, in one number."""
-    return (first << 9) | (count << 1) | done
+    return (first << 32) | (count << 1) | done
 
 
 def _combined(bucket: np.ndarray, stretch: np.ndarray, did: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -116,6 +116,12 @@ def _combined(bucket: np.ndarray, stretch: np.ndarray, did: np.ndarray, first: n
     ordered = key[order]
     again = np.zeros(len(key), bool)
     again[order[1:]] = ordered[1:] == ordered[:-1]
+    # adjoining rows that are done are one
+    begins = np.ones(len(key), bool)
+    begins[1:] = ~(again[1:] & again[:-1] & (did[1:] == did[:-1]) & (first[1:] == first[:-1] + count[:-1]))
+    at = np.flatnonzero(begins)
+    bucket, stretch, did, first, again = bucket[at], stretch[at], did[at], first[at], again[at]
+    count = np.add.reduceat(count, at)
     lone = mix(did.view(np.uint64) * np.uint64(BASE) + first.astype(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.where(again, lone, bucket)), pa.array(np.where(again, 0, stretch)), pa.array(did), pa.array(_packed(first, count, again.astype(np.int64)))],
@@ -145,7 +151,7 @@ def settle(rows: DataFrame) -> DataFrame:
     marked = marked.withColumn("m", F.sum(F.col("fresh").cast("int")).over(whole)).withColumn("known", F.col("pos") % 2 == 1)
     done = F.col("known") | ~F.col("fresh")
     return marked.where(done | (F.col("m") > 1)).select(
-        "bucket", "did", F.shiftright("pos", 9).cast("int").alias("first"), (F.shiftright("pos", 1) % 256).cast("int").alias("count"), done.alias("done"), "m"
+        "bucket", "did", F.shiftright("pos", 32).cast("int").alias("first"), (F.shiftright("pos", 1) % (1 << 31)).cast("int").alias("count"), done.alias("done"), "m"
     )
 
 
