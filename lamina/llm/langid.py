@@ -29,6 +29,8 @@ by_value(__name__)
 BITS = 13
 WIDTH = 16
 ORDERS = (2, 3, 4)
+#: Steps of gradient descent at least, whatever the size of the sample.
+STEPS = 2000
 LETTER = re.compile(r"[^\W\d_]")
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 UNKNOWN = "und"
@@ -91,6 +93,7 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, reject_below: flo
     bias = np.zeros(len(languages), np.float32)
     learn = np.flatnonzero(~back)
     one_hot = np.eye(len(languages), dtype=np.float32)
+    epochs = max(epochs, STEPS * 16 // max(1, len(learn)))  # small samples are gone through more often
     for epoch in range(epochs):
         rate = 1.0 * (1 - epoch / epochs)
         order = rng.permutation(learn)
