@@ -1,10 +1,9 @@
 """Mix sources to target weights by subset-sum budget fitting.
 
-Every source gets a budget of words from its weight. A source whose budget exceeds its own words is
-taken whole as often as that fits; the rest of the budget is fitted by taking some documents once
-more: documents are counted by exact length, a proportional share of every length is taken, and a
-bounded-knapsack dynamic program over the lengths still free fills what then remains. Which
-documents of a length are taken follows a seeded hash of the document id.
+Every source gets a budget of words from its weight. Its documents are counted by exact length; a
+length has three times its count to give. A proportional share of every length is taken, and a
+bounded-knapsack dynamic program over what is free fills the budget that then remains. So many
+documents of a length are taken once more than the others; which ones follows a seeded hash of the id.
 
 Scale: texts are read once for their lengths; then only (source, length) counts move. The histogram
 of a source has at most sqrt(2 * its words) rows, since its lengths are distinct. Choosing documents
@@ -30,37 +29,18 @@ by_value(__name__)
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = 1024
+#: How often a document may be taken.
+MOST = 3
 #: Largest budget that the dynamic program fills; what is above it is filled by long documents first.
 TABLE_WORDS = 1 << 16
 BROADCAST_ROWS = 100_000
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take, at most counts, so that their words come near budget."""
-    taken = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return taken
-    if budget >= total:
-        return counts.astype(np.int64)
-    # a proportional share of each length keeps the mix of short and long documents
-    share = budget / total
-    taken = np.floor(counts * share).astype(np.int64)
-    left = budget - int((lengths * taken).sum())
-    most = max(TABLE_WORDS, 2 * int(lengths.max()))  # so that a document fits as long as more is left
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= most:
-            break
-        if lengths[i]:
-            more = min(int(counts[i] - taken[i]), (left - most + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
-            taken[i] += more
-            left -= more * int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):  # some go back, so that the table has a choice
-        if lengths[i] and left + lengths[i] <= most:
-            fewer = min(int(taken[i]), (most - left) // int(lengths[i]))
-            taken[i] -= fewer
-            left += fewer * int(lengths[i])
-    # bounded knapsack: bit s of reach is set if s words can be made; counts go in as powers of two
+def _fill(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, left: int) -> int:
+    """Add to taken what comes nearest to left words, by a bounded knapsack; returns what is still left.
+
+    Bit s of reach is set if s words can be made; counts go in as powers of two.
+    """
     free = [(int(n), i) for i, n in enumerate(lengths) if 0 < n <= left and counts[i] > taken[i]]
     limit, reach, steps = (1 << (left + 1)) - 1, 1, []
     for n, i in sorted(free):
@@ -74,25 +54,64 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         if reach >> left & 1:
             break
     best = reach.bit_length() - 1
+    left -= best
     for words, i, pack, before in reversed(steps):
         if not before >> best & 1:
             best -= words
             taken[i] += pack
-    return taken
+    return left
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take, at most counts, so that their words come near budget.
+
+    A proportional share of each length keeps the mix of short and long documents; long documents
+    then bring the rest below the table's size, and the knapsack fills it. Where it can't be filled,
+    some of what is taken goes back first: one of each length, then as much as the table holds.
+    """
+    taken = np.zeros(len(lengths), np.int64)
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total == 0:
+        return taken
+    if budget >= total:
+        return counts.astype(np.int64)
+    taken = np.floor(counts * (budget / total)).astype(np.int64)
+    left = budget - int((lengths * taken).sum())
+    most = max(TABLE_WORDS, 2 * int(lengths.max()))  # so that a document fits as long as more is left
+    long_first = np.argsort(-lengths, kind="stable")
+    for i in long_first:
+        if left <= most:
+            break
+        if lengths[i]:
+            more = min(int(counts[i] - taken[i]), (left - most + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
+            taken[i] += more
+            left -= more * int(lengths[i])
+    best, least = taken, left + 1
+    for back in (0, 1, budget):
+        trial, rest = taken.copy(), left
+        for i in long_first if back else ():
+            if lengths[i] and rest + lengths[i] <= most:
+                fewer = min(int(trial[i]), back, (most - rest) // int(lengths[i]))
+                trial[i] -= fewer
+                rest += fewer * int(lengths[i])
+        rest = _fill(lengths, counts, trial, rest)
+        if rest < least:
+            best, least = trial, rest
+        if not least:
+            break
+    return best
 
 
 def _plan(hist: pd.DataFrame) -> pd.DataFrame:
-    """One source's histogram with its target: full copies and documents more for each length."""
+    """One source's histogram with its target: copies of all documents of a length, and how many get
+    one more. A document is taken MOST times at most, so a length has MOST times its count to give."""
     hist = hist.sort_values("size", ignore_index=True)
-    words, target = int(hist["source_size"].iloc[0]), float(hist["target"].iloc[0])
-    goal = int(np.floor(target + 0.5))
-    copies = min(goal // words, 3) if words else 0
-    rest = goal - copies * words if copies < 3 else 0
-    chosen = fit_budget(hist["size"].to_numpy(), hist["n"].to_numpy(), rest)
-    return hist[["source_no", "size", "n"]].assign(copies=copies, chosen=chosen)
+    n = hist["n"].to_numpy()
+    units = fit_budget(hist["size"].to_numpy(), MOST * n, int(np.floor(float(hist["target"].iloc[0]) + 0.5)))
+    return hist[["source_no", "size", "n"]].assign(copies=units // n, chosen=units % n)
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """source, source_no, source_size, target for every source.
 
     Weights repeat over the sources by code point, null last. Targets share all words by weight and
