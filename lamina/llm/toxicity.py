@@ -25,7 +25,7 @@ by_value(__name__)
 BITS = 18
 ORDERS = (4, 6, 8)
 #: Features rarer than this in the sample, or with a smaller log-count ratio, get no weight.
-LEAST_TEXTS, LEAST_RATIO = 4, 0.7
+LEAST_TEXTS, LEAST_RATIO = 4, 1.5
 _MIX = 0x9E3779B1
 
 
@@ -96,7 +96,7 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
     return sigmoid(out)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, left_out: int = 0, threshold: float = 0.5, sample_rows: int = 4000, sample_longest: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, left_out: int = 0, threshold: float = 0.5, sample_rows: int = 8000, sample_longest: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     model = fit(*labelled_sample(docs, labels, label, modulus, left_out, sample_rows, sample_longest))
     return score_texts(docs, score, model, modulus, left_out, threshold)
