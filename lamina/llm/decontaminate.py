@@ -205,6 +205,8 @@ def scan(texts: list[bytes], blocks: list) -> Iterator[tuple[int, np.ndarray, se
                         matches[d].append((open_[name][0], open_[name][1] - open_[name][0], name))
                     open_[name] = (b, b + n, b + 1)
             matches[d] += [(a, z - a, name) for name, (a, z, _) in open_.items()]
+        if len(blocks) > 1 and hasattr(block, "value"):
+            block.__dict__.pop("_value", None)  # a worker holds one block at a time
     for d, own in enumerate(words):
         yield len(own), np.cumsum(hit[d][:-1]) > 0, items[d], sorted(matches[d])
 
