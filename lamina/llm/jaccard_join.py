@@ -6,9 +6,11 @@ form one class and only classes are joined.
 
 Regions. Almost all classes of a corpus lie at distance 1 from each other, where no pivot tells them
 apart and every window would hold everything. So the outermost regions come from what a link implies
-for shingles: under one order of all shingles (those frequent in some shard last, else by hash), two
-linked sets share at least need(n) of their first prefix(n) shingles. Classes with fewer shared ones
-link with nothing and leave; the rest fall into regions of classes that share such shingles.
+for shingles. (1) Under one order of all shingles (those frequent in some shard last, else by hash),
+two linked sets share at least need(n) of their first prefix(n) shingles; classes that share fewer
+link with nothing and leave. (2) Of those left, whole sets are compared: a link needs THRESHOLD percent
+of a set's shingles to be in others. (3) What remains falls into regions of classes that share one of
+their rarest shingles, in the order in which linked sets must do so.
 
 Within a region, pivots are chosen and each class goes to its nearest pivot's Voronoi cell; it is
 replicated into every cell whose pivot is at most 2 * RADIUS farther, which by the triangle inequality
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, discard, free_shuffles, materialize, prepare, shards, text_bytes
@@ -52,8 +54,11 @@ MOST_FREQUENT = 200_000
 #: A region of more shingles than this is joined across the cluster.
 LOCAL_SHINGLES = 1 << 19
 BLOCK_BYTES = 4 << 20
+BLOCKS_AT_ONCE = 4
 PIVOTS = 8
 SMALL_CELL = 48
+#: Groups of classes in which counts come together.
+HOMES = 256
 PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -146,13 +151,36 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _entries(frequent, parts: int):
-    """Prefix shingles with their classes, packed by part; those shared within a shard are told at once.
+def _packed(keys: list[np.ndarray], owners: list[int], sizes: list[int], parts: int) -> pa.RecordBatch:
+    """Entries (shingle, class, size of its set) of a shard, packed by part.
 
     Of a shingle's classes in a shard only the first goes on to be compared with other shards', so a
-    shingle has as many entries as there are shards at most. Rows: part, keys, classes, sizes,
-    shared (whether the shard has another class with the key); part -1 holds settled rows.
+    shingle has as many entries in a part as there are shards at most; the others are known to be
+    shared already and are dealt out evenly to parts from parts on. Rows: part, keys, classes, sizes,
+    shared (whether the shard has another class with the key).
     """
+    counts = [len(k) for k in keys]
+    key = np.concatenate(keys)
+    owner, size = np.repeat(np.array(owners, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts)
+    order = np.argsort(key, kind="stable")
+    key, owner, size = key[order], owner[order], size[order]
+    same = key[1:] == key[:-1]
+    again = np.r_[False, same]
+    shared = again | np.r_[same, False]
+    spread = mix(key + owner.view(np.uint64)) % np.uint64(parts)
+    part = np.where(again, spread + np.uint64(parts), key % np.uint64(parts)).astype(np.int64)
+    by_part = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by_part], np.arange(2 * parts + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    columns = [[x[by_part[cuts[p] : cuts[p + 1]]].tobytes() for p in full] for x in (key, owner, size, shared)]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["part", "keys", "classes", "sizes", "shared"])
+
+
+PACKED = "part int, keys binary, classes binary, sizes binary, shared binary"
+
+
+def _prefix_entries(frequent, parts: int):
+    """Entries of every text's first shingles: hash order, the frequent ones last."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
@@ -161,84 +189,108 @@ def _entries(frequent, parts: int):
             for s in _sets(shard):
                 if len(s):
                     chosen.setdefault(class_of(s), s)
-            keys, owners, sizes = [], [], []
-            for c, s in chosen.items():
+            keys = []
+            for s in chosen.values():
                 if len(late):
                     place = np.minimum(np.searchsorted(late, s), len(late) - 1)
                     is_late = late[place] == s
                     s = np.concatenate([s[~is_late], s[is_late]])
-                k = int(prefix(np.int64(len(s))))
-                keys.append(s[:k])
-                owners.append(np.full(k, c, np.int64))
-                sizes.append(np.full(k, len(s), np.int32))
-            if not keys:
-                continue
-            key, owner, size = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
-            order = np.argsort(key, kind="stable")
-            key, owner, size = key[order], owner[order], size[order]
-            same = key[1:] == key[:-1]
-            again = np.r_[False, same]
-            shared = again | np.r_[same, False]
-            out = []
-            if again.any():
-                out.append((-1, key[again], owner[again], size[again], shared[again]))
-            lead = ~again
-            key, owner, size, shared = key[lead], owner[lead], size[lead], shared[lead]
-            part = (key % np.uint64(parts)).astype(np.int64)
-            by_part = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
-            for p in range(parts):
-                own = by_part[cuts[p] : cuts[p + 1]]
-                if len(own):
-                    out.append((p, key[own], owner[own], size[own], shared[own]))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *[pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[1:]]],
-                ["part", "keys", "classes", "sizes", "shared"],
-            )
+                keys.append(s[: int(prefix(np.int64(len(s))))])
+            if keys:
+                yield _packed(keys, list(chosen), [len(s) for s in chosen.values()], parts)
 
     return work
 
 
-def _unpack(row_keys: bytes, row_classes: bytes, row_sizes: bytes, row_shared: bytes) -> tuple[np.ndarray, ...]:
-    return np.frombuffer(row_keys, np.uint64), np.frombuffer(row_classes, np.int64), np.frombuffer(row_sizes, np.int32), np.frombuffer(row_shared, bool)
+def _set_entries(parts: int):
+    """Entries of whole sets, from rows of class, n, set."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, "set", SHARD_BYTES):
+            sets = [np.frombuffer(x, np.uint64) for x in shard.column(2).to_pylist()]
+            yield _packed(sets, shard.column(0).to_pylist(), shard.column(1).to_pylist(), parts)
 
-def _membership(key: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(size)], ["key", "class", "n"])
+    return work
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of a part from all shards: the ones whose shingle more than one class has. Sorted by part."""
+def _meet(parts: int, report):
+    """Entries of a part from all shards, sorted by part: report() gets those whose shingle more than
+    one class has."""
 
     def shared_of(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, owner, size, shared = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.lexsort((owner, key))
         key, owner, size, shared = key[order], owner[order], size[order], shared[order]
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if len(key) else np.zeros(0, np.int64)
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
         classes = np.bincount(group, weights=fresh)
         told = np.bincount(group, weights=shared) > 0
         keep = fresh & ((classes > 1) | told)[group]
-        return _membership(key[keep], owner[keep], size[keep])
+        return report(key[keep], owner[keep], size[keep])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for p, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if p != now and held:
+                    yield shared_of(held)
+                    held = []
+                now = p
+                entry = tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.int32, bool), strict=True))
+                if p >= parts:
+                    yield report(*entry[:3])
+                else:
+                    held.append(entry)
+        if held:
+            yield shared_of(held)
+
+    return work
+
+
+def _memberships(key: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(size)], ["key", "class", "n"])
+
+
+def _counts(key: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """How many shared shingles of each class a part has, packed by the class's home."""
+    names, first, inverse = np.unique(owner, return_index=True, return_inverse=True)
+    count, home = np.bincount(inverse, minlength=len(names)), names % HOMES
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(HOMES + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    columns = [[x[order[cuts[h] : cuts[h + 1]]].tobytes() for h in full] for x in (names, size[first].astype(np.int64), count)]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["home", "classes", "sizes", "counts"])
 
-    held, part = [], None
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, n, shared: the counts of all parts; rows come by home."""
+
+    def together(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        names, sizes, counts = (np.concatenate(x) for x in zip(*rows, strict=True))
+        found, first, inverse = np.unique(names, return_index=True, return_inverse=True)
+        return found, sizes[first], np.bincount(inverse, weights=counts, minlength=len(found)).astype(np.int64)
+
+    def out(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in together(rows)], ["class", "n", "shared"])
+
+    held, now, size = [], None, 0
     for batch in batches:
-        for p, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if p != part and held:
-                yield shared_of(held)
-                held = []
-            part = p
-            held.append(_unpack(*row))
+        for home, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if home != now and held:
+                yield out(held)
+                held, size = [], 0
+            now = home
+            held.append(tuple(np.frombuffer(x, np.int64) for x in row))
+            size += len(held[-1][0])
+            if size > 1 << 20:  # what is held grows with the classes, not with the parts
+                held = [together(held)]
+                size = len(held[0][0]) // 2
     if held:
-        yield shared_of(held)
+        yield out(held)
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-            key, owner, size, _ = _unpack(*row)
-            yield _membership(key, owner, size)
+def _met(packed: DataFrame, parts: int, report, schema: str) -> DataFrame:
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(parts, report), schema)
 
 
 # --- joining a region in one task --------------------------------------------------------------
@@ -392,13 +444,31 @@ def _in_blocks(rows: DataFrame) -> Iterator[dict]:
 
 
 def _links_of(large: DataFrame, asked: DataFrame) -> DataFrame:
-    """Links of the asked classes with all classes of their regions."""
+    """Links of the asked classes with all classes of their regions, a few blocks at a time."""
     spark = large.sparkSession
-    out = None
+    done, parts, sent = [], [], []
+
+    def settle() -> None:
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        done.append(materialize(out, "found"))
+        for b in sent:
+            b.destroy()
+        parts.clear()
+        sent.clear()
+
     for block in _in_blocks(asked):
-        part = large.mapInArrow(_against(spark.sparkContext.broadcast(block)), "u long, v long")
-        out = part if out is None else out.unionByName(part)
-    return materialize(out if out is not None else spark.createDataFrame([], "u long, v long"), "found")
+        sent.append(spark.sparkContext.broadcast(block))
+        parts.append(large.mapInArrow(_against(sent[-1]), "u long, v long"))
+        if len(parts) == BLOCKS_AT_ONCE:
+            settle()
+    if parts:
+        settle()
+    out = spark.createDataFrame([], "u long, v long")
+    for found in done:
+        out = out.unionByName(found)
+    return out
 
 
 def _join_large(large: DataFrame) -> DataFrame:
@@ -424,19 +494,25 @@ def _join_large(large: DataFrame) -> DataFrame:
 # --- the join ----------------------------------------------------------------------------------
 
 
-def class_labels(plain: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """class, label (one class of its component) for classes that share enough with others."""
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, n, set from rows of class, text; another text under the same id is left out."""
+    for batch in batches:
+        sets = [shingle_set(t) for t in text_bytes(batch, "text")]
+        right = pa.array([class_of(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+        out = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, ["class", "n", "set"]).filter(right)
+
+
+def _candidates(plain: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """key, class, n for classes whose prefix shares enough with others', and the keys they share."""
     spark = plain.sparkSession
     top = surveyed.where("NOT is_doc").groupBy("code").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "code").limit(MOST_FREQUENT)
     late = np.sort(np.array([r["code"] for r in top.select("code").collect()], np.int64).view(np.uint64))
     # parts of about PART_ENTRIES entries; 3/8 of all shingles are entries
     shingles = surveyed.where("is_doc").agg(F.sum("n")).first()[0] or 0
     parts = int(max(8, shingles * 3 // 8 // PART_ENTRIES + 1))
-    packed = materialize(plain.select("text").mapInArrow(_entries(spark.sparkContext.broadcast(late), parts), "part int, keys binary, classes binary, sizes binary, shared binary"), "entries")
-    row = "key long, class long, n int"
-    met = packed.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, row)
-    member = materialize(met.unionByName(packed.where("part < 0").mapInArrow(_settled, row)).distinct(), "member")
-    discard(packed)
+    packed = plain.select("text").mapInArrow(_prefix_entries(spark.sparkContext.broadcast(late), parts), PACKED)
+    member = materialize(_met(packed, parts, _memberships, "key long, class long, n int").distinct(), "member")
     free_shuffles(spark)
     n = F.col("n").cast("long")
     looked_at = F.least(n, F.floor(3 * n / 8) + 1)
@@ -444,31 +520,82 @@ def class_labels(plain: DataFrame, surveyed: DataFrame) -> DataFrame:
     for _ in range(2):  # classes that cannot link leave, and with them what they alone shared
         stay = member.groupBy("class", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("class")
         member = member.join(stay, "class")
-        keys = member.groupBy("key").agg(F.count("*").alias("m"), F.min("class").alias("pivot")).where("m > 1")
-        step = materialize(member.join(keys.select("key", "pivot"), "key").select("key", "class", "n", "pivot"), "member")
-        star, member = step, step.drop("pivot")
-    last = star.groupBy("class", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("class")
-    links = star.where("class <> pivot").select(F.col("class").alias("u"), F.col("pivot").alias("v")).distinct()
-    region = materialize(components(links).join(last.withColumnRenamed("class", "node"), "node", "left_semi"), "region")
-    free_shuffles(spark)
-    one = surveyed.where("is_doc AND n > 0").groupBy("code").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    chosen = region.join(one, region["node"] == one["code"]).select("rep", F.col("code").alias("class"), "n", F.col("component").alias("region"))
-    sums = chosen.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1")
-    chosen = materialize(chosen.join(sums, "region").select("rep", "class", "region", (F.col("total") > LOCAL_SHINGLES).alias("large")), "chosen")
+        keys = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+        member = materialize(member.join(keys, "key", "left_semi").select("key", "class", "n"), "member")
+    return member
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in text_bytes(batch, "text")]
-            right = pa.array([class_of(s) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            out = [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(out, ["region", "class", "set", "large"]).filter(right)
 
-    texts = chosen.join(plain, chosen["rep"].eqNullSafe(plain["doc_id"])).select("region", "class", "large", "text")
-    sets = materialize(texts.mapInArrow(cut, "region long, class long, set binary, large boolean").dropDuplicates(["class"]), "sets")
+def _texts_of(chosen: DataFrame, plain: DataFrame) -> DataFrame:
+    """class, text of the chosen documents (rep is the id, or null).
+
+    A Bloom filter of the chosen ids, of a fixed size at most, thins the texts before they are
+    shuffled; the condition on c is what lets the optimiser put it there.
+    """
+    conf, name = plain.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    conf.set(name, "0")
+    texts = plain.join(chosen.where("c >= 1"), F.col("doc_id") == F.col("rep")).select("class", "text")
+    if not chosen.where("rep IS NULL").isEmpty():  # found by their class: texts without an id
+        texts = texts.unionByName(chosen.where("rep IS NULL").join(plain.where("doc_id IS NULL").mapInArrow(_classed, "code long, text string"), F.col("class") == F.col("code")).select("class", "text"))
+    return texts
+
+
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = [class_of(shingle_set(t)) for t in text_bytes(batch, "text")]
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), batch.column(batch.schema.get_field_index("text"))], ["code", "text"])
+
+
+def _sets_of(member: DataFrame, plain: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """class, n, set of the candidate classes, cut to those that share THRESHOLD percent of all their
+    shingles with others of them: a link needs as much with one class alone."""
+    spark = plain.sparkSession
+    one = surveyed.where("is_doc AND n > 0").groupBy("code").agg(F.min("doc_id").alias("rep"))
+    keys = member.groupBy("class").agg(F.count("*").alias("c"))
+    chosen = materialize(keys.join(one, F.col("class") == F.col("code")).select("rep", "class", "c"), "chosen")
+    texts = _texts_of(chosen, plain)
+    sets = materialize(texts.mapInArrow(_set_rows, "class long, n int, set binary").dropDuplicates(["class"]), "sets")
     free_shuffles(spark)
-    small = sets.where("NOT large").select("region", "class", "set")
+    for _ in range(2):
+        parts = int(max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_ENTRIES + 1))
+        counted = _met(sets.mapInArrow(_set_entries(parts), PACKED), parts, _counts, "home int, classes binary, sizes binary, counts binary")
+        by_home = counted.repartition("home").sortWithinPartitions("home").mapInArrow(_summed, "class long, n long, shared long")
+        stay = by_home.where(F.col("shared") * 100 >= F.col("n") * THRESHOLD)
+        left = materialize(sets.join(stay.select("class"), "class", "left_semi"), "sets")
+        discard(sets)
+        sets = left
+        free_shuffles(spark)
+    return sets
+
+
+def _regions(sets: DataFrame) -> DataFrame:
+    """node, region: classes that share one of their rarest shingles, and so on.
+
+    In the order of how many of these sets hold a shingle, any two linked sets share one of their first
+    n - THRESHOLD% of n + 1. Shingles that no other set holds come first and take up places.
+    """
+    parts = int(max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_ENTRIES + 1))
+    shared = materialize(_met(sets.mapInArrow(_set_entries(parts), PACKED), parts, _memberships, "key long, class long, n int"), "shared")
+    held_by = shared.groupBy("key").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "key"))
+    known = F.count("*").over(Window.partitionBy("class"))
+    left = known - F.ceil(F.lit(THRESHOLD) * F.col("n") / 100) + 1
+    first = materialize(shared.join(held_by, "key").withColumn("place", place).withColumn("left", left).where("place <= left").select("key", "class"), "first")
+    discard(shared)
+    pivots = first.groupBy("key").agg(F.min("class").alias("pivot"))
+    links = first.join(pivots, "key").where("class <> pivot").select(F.col("class").alias("u"), F.col("pivot").alias("v")).distinct()
+    return materialize(components(links).withColumnRenamed("component", "region"), "region")
+
+
+def class_labels(plain: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """class, label (one class of its component) for classes that share enough with others."""
+    sets = _sets_of(_candidates(plain, surveyed), plain, surveyed)
+    region = _regions(sets)
+    sums = region.join(sets.select("class", "n"), F.col("node") == F.col("class")).groupBy("region").agg((F.sum("n") > LOCAL_SHINGLES).alias("large"))
+    placed = materialize(sets.join(region, F.col("class") == F.col("node")).join(sums, "region").select("region", "class", "set", "large"), "placed")
+    free_shuffles(plain.sparkSession)
+    small = placed.where("NOT large").select("region", "class", "set")
     labels = small.repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions, "class long, label long")
-    large = sets.where("large").select("region", "class", "set")
+    large = placed.where("large").select("region", "class", "set")
     if not large.isEmpty():
         labels = labels.unionByName(_join_large(large))
     return materialize(labels, "labels")
