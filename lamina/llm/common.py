@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import sys
 import tempfile
@@ -94,6 +95,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(work: Callable) -> Callable:
+    """Work on batches that leaves a worker process no larger than it must be: workers are reused, and
+    what their allocators hold back counts against the executor while it does other things."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from work(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Join batches until the bytes of a string column pass limit; one longer row is a shard by itself."""
     held: list[pa.RecordBatch] = []
@@ -116,10 +133,6 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b or b"" for b in col.to_pylist()]
 
 
-def map_batches(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
-
-
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, prepare, shards, text_bytes
+from .common import by_value, lean, prepare, shards, text_bytes
 
 by_value(__name__)
 
@@ -237,6 +237,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     prepare(docs.sparkSession)
     blocks = benchmark_blocks(benchmark, item_id, item_text, window)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string())]))
         for shard in shards(batches, "text", SHARD_BYTES):
@@ -260,6 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     blocks = benchmark_blocks(benchmark, item_id, item_text, window)
     at = docs.columns.index(text)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, f"c{at}", SHARD_BYTES):
             clean = [not hit.any() for _, hit, _, _ in scan(text_bytes(shard, f"c{at}"), blocks)]

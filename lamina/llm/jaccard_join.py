@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, discard, free_shuffles, materialize, prepare, shards, text_bytes
+from .common import by_value, discard, free_shuffles, lean, materialize, prepare, shards, text_bytes
 from .components import components
 from .hashing import TABLE, Powers, mix, running
 
@@ -128,6 +128,7 @@ def _sets(shard: pa.RecordBatch) -> list[np.ndarray]:
 # --- passes over the texts ---------------------------------------------------------------------
 
 
+@lean
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (doc, n, class), and for each shingle frequent in the shard (key, count)."""
     for shard in shards(batches, "text", SHARD_BYTES):
@@ -182,6 +183,7 @@ PACKED = "part int, keys binary, classes binary, sizes binary, shared binary"
 def _prefix_entries(frequent, parts: int):
     """Entries of every text's first shingles: hash order, the frequent ones last."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for shard in shards(batches, "text", SHARD_BYTES):
@@ -205,6 +207,7 @@ def _prefix_entries(frequent, parts: int):
 def _set_entries(parts: int):
     """Entries of whole sets, from rows of class, n, set."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, "set", SHARD_BYTES):
             sets = [np.frombuffer(x, np.uint64) for x in shard.column(2).to_pylist()]
@@ -228,6 +231,7 @@ def _meet(parts: int, report):
         keep = fresh & ((classes > 1) | told)[group]
         return report(key[keep], owner[keep], size[keep])
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
@@ -262,6 +266,7 @@ def _counts(key: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["home", "classes", "sizes", "counts"])
 
 
+@lean
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """class, n, shared: the counts of all parts; rows come by home."""
 
@@ -367,6 +372,7 @@ class Region:
                 self.link(int(members[i]), int(members[j]))
 
 
+@lean
 def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """class, label for whole regions, which come one after another."""
 
@@ -397,6 +403,7 @@ def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _against(asked):
     """Links of every class of a large region with the classes of a block of the same region."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = asked.value  # region -> (classes, sizes, sorted shingles, their owners)
         for batch in batches:
@@ -494,6 +501,7 @@ def _join_large(large: DataFrame) -> DataFrame:
 # --- the join ----------------------------------------------------------------------------------
 
 
+@lean
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """class, n, set from rows of class, text; another text under the same id is left out."""
     for batch in batches:
@@ -539,6 +547,7 @@ def _texts_of(chosen: DataFrame, plain: DataFrame) -> DataFrame:
     return texts
 
 
+@lean
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = [class_of(shingle_set(t)) for t in text_bytes(batch, "text")]
@@ -613,9 +622,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     surveyed = materialize(plain.mapInArrow(_survey, f"doc_id {kind}, n long, code long, is_doc boolean"), "surveyed")
     labels = class_labels(plain, surveyed)
     rows = surveyed.where("is_doc").select("doc_id", F.col("n").alias("n_shingles"), F.col("code").alias("class"))
-    named = rows.where("n_shingles > 0").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    some = named.join(least, "label").select("doc_id", "n_shingles", "component_id", "class")
+    # by class first, so that copies are combined before they are shuffled; tables cut what is joined
+    # from what is aggregated, so that the engine can split a large group
+    named = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first")).join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = materialize(named.select("class", "label", "first"), "classes")
+    least = materialize(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
+    whose = materialize(named.join(least, "label").select("class", "component_id"), "whose")
+    some = rows.where("n_shingles > 0").join(whose, "class").select("doc_id", "n_shingles", "component_id", "class")
     none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class")
     return some.unionByName(none)
 

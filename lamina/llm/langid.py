@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, held_out, learnable, prepare, text_bytes
+from .common import by_value, held_out, lean, learnable, prepare, text_bytes
 
 by_value(__name__)
 
@@ -145,6 +145,7 @@ def identify(docs: DataFrame, model: Model, modulus: int = 3, left_out: int = 1)
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, p = predict(sent.value, text_bytes(batch, "text"))
@@ -162,6 +163,7 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, p = predict(sent.value, text_bytes(batch, f"c{at}"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, held_out, learnable, prepare, text_bytes
+from .common import by_value, held_out, lean, learnable, prepare, text_bytes
 
 by_value(__name__)
 
@@ -36,6 +36,7 @@ def score_texts(docs: DataFrame, score: Callable[[object, list[bytes]], np.ndarr
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = score(sent.value, text_bytes(batch, "text"))

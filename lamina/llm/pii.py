@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, prepare
+from .common import by_value, lean, prepare
 
 by_value(__name__)
 
@@ -294,6 +294,7 @@ def detect(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "t
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row; no shuffle."""
     sent = prepare(docs.sparkSession).sparkContext.broadcast(field)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = find_spans(sent.value, _texts(batch, "text"))
@@ -325,6 +326,7 @@ def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     sent = prepare(docs.sparkSession).sparkContext.broadcast(field)
     at = docs.columns.index(text)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(at).to_pylist()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, discard, free_shuffles, materialize, prepare, shards, text_bytes
+from .common import by_value, discard, free_shuffles, lean, materialize, prepare, shards, text_bytes
 from .hashing import BASE, TABLE, Powers, mix, power, running
 
 by_value(__name__)
@@ -132,6 +132,7 @@ def _combined(bucket: np.ndarray, stretch: np.ndarray, did: np.ndarray, first: n
 ROW = "bucket long, stretch long, did long, pos long"
 
 
+@lean
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard in shards(batches, "text", SHARD_BYTES):
         ids = shard.column(0).to_numpy()
@@ -218,6 +219,7 @@ def _fetch(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
     """bucket, did, first, piece: the text of every open row."""
     wanted = open_rows.groupBy("did").agg(F.collect_list(F.struct("bucket", "first", "count")).alias("rows"))
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch, "text")
@@ -234,6 +236,7 @@ def _fetch(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
 def _gathered(work):
     """Batches of one document each are put together before they go back to the engine."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for out in work(batches):
@@ -248,6 +251,7 @@ def _gathered(work):
     return run
 
 
+@lean
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of their bucket; whole buckets are sorted together, about SORT_BYTES at once."""
     held: list[pa.RecordBatch] = []
@@ -275,6 +279,7 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush(pa.Table.from_batches(held))
 
 
+@lean
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of the fetched pieces as a row of a bucket of its own."""
     for shard in shards(batches, "piece", SORT_BYTES):
@@ -353,6 +358,7 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -371,6 +377,7 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and what is left of each text; bytes that no longer form a character are dropped."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [kept_bytes(t, _merged(s)).decode("utf-8", "ignore") for t, s in zip(text_bytes(batch, "text"), batch.column(2).to_pylist(), strict=True)]

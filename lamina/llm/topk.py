@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value
+from .common import by_value, lean
 
 by_value(__name__)
 
@@ -98,6 +98,7 @@ def _best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]
 
 
 def _scorer(block, k: int):
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = block.value
         kept: list[tuple[np.ndarray, ...]] = []
