@@ -113,8 +113,9 @@ def prefix(n):
 
 
 def need(n):
-    """How many of these any linked set shares: at least THRESHOLD percent of n are shared in all."""
-    return np.maximum(1, prefix(n) - (n - (THRESHOLD * n + 99) // 100))
+    """How many of these lie among the other set's first ones too, whatever set links: THRESHOLD percent
+    of n are shared in all. A set of 3 links with one of 4, whose prefix may hold only one of them."""
+    return np.where(n < 5, 1, np.maximum(1, prefix(n) - (n - (THRESHOLD * n + 99) // 100)))
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -524,7 +525,7 @@ def _candidates(plain: DataFrame, surveyed: DataFrame) -> DataFrame:
     free_shuffles(spark)
     n = F.col("n").cast("long")
     looked_at = F.least(n, F.floor(3 * n / 8) + 1)
-    enough = F.greatest(F.lit(1), looked_at - (n - F.ceil(F.lit(THRESHOLD) * n / 100)))
+    enough = F.when(n < 5, F.lit(1)).otherwise(F.greatest(F.lit(1), looked_at - (n - F.ceil(F.lit(THRESHOLD) * n / 100))))  # need()
     for _ in range(2):  # classes that cannot link leave, and with them what they alone shared
         stay = member.groupBy("class", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("class")
         member = member.join(stay, "class")

@@ -115,6 +115,27 @@ def test_prefixes_never_lose_a_link():
         assert shared_x >= 1 and sum(kinds[i] == "both" for i in px) >= J.need(np.int64(nx))
 
 
+def test_need_is_what_both_prefixes_share():
+    """For all sizes and overlaps that link, as the shared shingles may come last in either set."""
+    for nx in range(1, 200):
+        for ny in range(max(1, 3 * nx // 4), 4 * nx // 3 + 2):
+            for inter in range(1, min(nx, ny) + 1):
+                if inter < max(nx, ny) and 100 * inter >= 75 * (nx + ny - inter):
+                    least = min(int(J.prefix(np.int64(n))) - (n - inter) for n in (nx, ny))
+                    assert least >= J.need(np.int64(nx)) and least >= J.need(np.int64(ny))
+
+
+def test_short_texts_link(spark):
+    """Texts of 7 words and the same with one word more, before or after: 3 of 4 shingles."""
+    rows = []
+    for g in range(30):
+        words = [f"g{g}w{i}" for i in range(7)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([f"g{g}x", *words] if g % 2 else [*words, f"g{g}x"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = J.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(str(tuple(r)) for r in found) == brute_join(rows)
+
+
 def test_one_of_each_keeps_one(spark):
     text = " ".join(f"a{i}" for i in range(50))
     rows = [(3, text, "k"), (1, text + " x", "k"), (2, "other words entirely here now", "k"), (4, None, "k")]
