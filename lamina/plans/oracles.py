@@ -102,6 +102,7 @@ SELECT cf_id, s AS "start", e AS "end" FROM t WHERE EXISTS (SELECT 1 FROM log l
     "order_state_sql": resolved(source=ORDERS) + "SELECT val, count(*) AS n FROM r GROUP BY 1",
     "write_ops_roundtrip": FLAGSHIP,
     "flush_roundtrip": resolved(400) + ALL,
+    "flush_whole_log": FLAGSHIP,
     "reopen_roundtrip": FLAGSHIP,
     "ingest_visible": FLAGSHIP,
     "checkpoint_roundtrip": FLAGSHIP,

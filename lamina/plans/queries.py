@@ -19,12 +19,15 @@ from ..operators.merge import from_python
 from ..operators.resolve import conflicts, latest_seq, multi_get, range_conflicts, resolve
 from ..records import MERGE_OPERAND, RANGE_TOMBSTONE, TOMBSTONE, VALUE, Bound, CompactionStyle, KeyRange, Options
 from ..sources.repair import repair
-from ..store import KVStore
+from ..store import KVStore, WriteBatch
 from ..streaming.sink import write_stream
 from .changelog import changelog, counter_log, order_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+#: Operations of one batch that goes through a store's buffer.
+BATCH_OPS = 400
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -340,15 +343,11 @@ def _both(store: KVStore) -> DataFrame:
 _register("write_ops_roundtrip", lambda s, d: _both(_filled(s, d)))
 
 
-@query
-def flush_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 operations one by one through the buffer, then a flush."""
-    from ..store import WriteBatch
-
-    store = KVStore(spark, _folder(spark))
+def _through_buffer(store: KVStore, log: DataFrame) -> None:
+    """Operations in order through the buffer, BATCH_OPS in a batch, then a last flush."""
     cf1 = store.create_column_family("cf1")
     batch = WriteBatch()
-    for r in changelog(spark, sf_dir).where("seq <= 400").orderBy("seq").collect():
+    for r in log.orderBy("seq").toLocalIterator():
         cf, key = (cf1 if r["cf_id"] else 0), bytes(r["key"])
         if r["vt"] == VALUE:
             batch.put(key, bytes(r["val"]), cf)
@@ -358,8 +357,26 @@ def flush_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             batch.merge(key, bytes(r["val"]), cf)
         else:
             batch.delete_range(KeyRange.half_open(key, bytes(r["end_key"])), cf)
+        if len(batch.ops) == BATCH_OPS:
+            store.write_batch(batch)
+            batch = WriteBatch()
     store.write_batch(batch)
     store.flush()
+
+
+@query
+def flush_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 400 operations one by one through the buffer, then a flush; flush_whole_log takes all."""
+    store = KVStore(spark, _folder(spark))
+    _through_buffer(store, changelog(spark, sf_dir).where("seq <= 400"))
+    return _both(store)
+
+
+@query
+def flush_whole_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole change log one by one through the buffer, which is flushed whenever it is full."""
+    store = KVStore(spark, _folder(spark), Options(memtable_max_bytes=1 << 15))
+    _through_buffer(store, changelog(spark, sf_dir))
     return _both(store)
 
 
