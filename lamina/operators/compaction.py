@@ -86,6 +86,16 @@ def overlapping(candidates: Iterable[dict], lo: bytes, hi: bytes) -> tuple[list[
         lo, hi = min(lo, *(f["min_key"] for f in more)), max(hi, *(f["max_key"] for f in more))
 
 
+def overlapping_rows(candidates: DataFrame, lo, hi) -> DataFrame:
+    """overlapping() for a catalog in rows of lo, hi: the range goes to its fixpoint by one aggregate a step."""
+    while True:
+        met = candidates.where((F.col("hi") >= F.lit(lo)) & (F.col("lo") <= F.lit(hi)))
+        a, b = met.agg(F.least(F.min("lo"), F.lit(lo)), F.greatest(F.max("hi"), F.lit(hi))).first()
+        if (a, b) == (lo, hi):
+            return met
+        lo, hi = a, b
+
+
 def universal_pick(files: Sequence[dict], options: Options) -> list[dict]:
     """Oldest files whose sizes stay within the ratio of what is picked before; [] if too few."""
     least = max(2, options.universal_min_merge_width)

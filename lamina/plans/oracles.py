@@ -92,6 +92,9 @@ SELECT cf_id, s AS "start", e AS "end" FROM t WHERE EXISTS (SELECT 1 FROM log l
     "compaction_scores": f"WITH {FILES} SELECT level, CAST(sum(file_size) AS BIGINT) AS bytes, 4194304.0::DOUBLE * power(10, level - 1) AS target, sum(file_size) / (4194304.0::DOUBLE * power(10, level - 1)) AS score FROM files WHERE level BETWEEN 1 AND 2 GROUP BY level",
     "pick_level": f"WITH {FILES} SELECT level FROM files WHERE level BETWEEN 1 AND 2 GROUP BY level ORDER BY sum(file_size) / (4194304.0 * power(10, level - 1)) DESC LIMIT 1",
     "overlapping_files": f"WITH {FILES}, z AS (SELECT min(lo) AS a, max(hi) AS b FROM files WHERE level = 0 AND file_id < 16) SELECT file_id FROM files, z WHERE level = 1 AND hi >= a AND lo <= b",
+    "overlapping_files_fixpoint": f"""WITH RECURSIVE {FILES}, w(a, b) AS (SELECT min(lo), max(hi) FROM files WHERE level = 0
+  UNION SELECT least(a, (SELECT min(lo) FROM files WHERE level = 1 AND hi >= a AND lo <= b)), greatest(b, (SELECT max(hi) FROM files WHERE level = 1 AND hi >= a AND lo <= b)) FROM w)
+SELECT file_id FROM files WHERE level = 1 AND hi >= (SELECT min(a) FROM w) AND lo <= (SELECT max(b) FROM w)""",
     "op_metrics": f"WITH {LOG} SELECT CASE WHEN vt IN (1, 3) THEN 'puts' ELSE 'deletes' END AS name, count(*) AS value FROM log GROUP BY 1",
     "write_bytes": f"WITH {LOG} SELECT cf_id, CAST(16 + sum(CASE vt WHEN 0 THEN 9 + length(k) WHEN 2 THEN 13 + length(k) + length(end_k) ELSE 13 + length(k) + length(v) END) AS BIGINT) AS bytes FROM log GROUP BY cf_id",
     "raw_log_scan": f"WITH {LOG} SELECT cf_id, k AS key, seq, CAST(vt AS INTEGER) AS vt, v AS val, end_k AS end_key FROM log",

@@ -243,6 +243,15 @@ def overlapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.where("level = 1").join(F.broadcast(zero), (F.col("hi") >= F.col("a")) & (F.col("lo") <= F.col("b"))).select("file_id")
 
 
+@query
+def overlapping_files_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of level 1 that a merge of all files of level 0 takes, the range widened by each."""
+    files = _catalog(spark, sf_dir)
+    lo, hi = files.where("level = 0").agg(F.min("lo"), F.max("hi")).first()
+    below = files.where("level = 1").select("file_id", "lo", "hi")
+    return (below.limit(0) if lo is None else compaction.overlapping_rows(below, lo, hi)).select("file_id")
+
+
 @query
 def universal_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the catalog's L0 files a size-tiered merge takes; a fold over a handful of files."""

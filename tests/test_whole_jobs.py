@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+from lamina.operators.compaction import overlapping, overlapping_rows
 from lamina.plans.changelog import changelog
 from lamina.plans.oracles import ORACLES
 from lamina.plans.queries import QUERIES
@@ -25,3 +28,19 @@ def test_flush_takes_the_whole_log(spark, monkeypatch):
     state = stores[-1]._state
     assert len(stores) > 4 and not state.inline
     assert state.last_seq == changelog(spark, MORE).count()
+
+
+def test_overlap_widens_to_the_fixpoint(spark):
+    """Against overlapping(), on chains of files that one step does not reach."""
+    rng = random.Random(4)
+    for _ in range(3):
+        at = [*(rng.randrange(300) for _ in range(40)), 98, 106, 114]
+        rows = [(i, x, x + (8 if i >= 40 else rng.randrange(9))) for i, x in enumerate(at)]
+        want, _, _ = overlapping([{"file_id": i, "min_key": a, "max_key": b} for i, a, b in rows], 90, 100)
+        found = overlapping_rows(spark.createDataFrame(rows, "file_id long, lo long, hi long"), 90, 100)
+        assert sorted(r["file_id"] for r in found.collect()) == sorted(f["file_id"] for f in want)
+        assert len(want) > sum(b >= 90 and a <= 100 for _, a, b in rows)
+
+
+def test_overlap_query_starts_from_all_files(spark):
+    compare(spark, MORE, QUERIES["overlapping_files_fixpoint"], ORACLES["overlapping_files_fixpoint"])
