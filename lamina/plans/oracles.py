@@ -80,6 +80,8 @@ ORACLES = {
     "latest_seq_per_key": f"WITH {LOG} SELECT cf_id, k AS key, max(seq) AS seq FROM log GROUP BY ALL",
     "txn_conflicts": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 5000 AND user_id % 7 = 0) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND (l.k = t.k OR l.vt = 2 AND l.k <= t.k AND t.k < l.end_k))",
     "txn_conflicts_compat": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 5000 AND user_id % 7 = 0) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND l.k = t.k)",
+    "txn_conflicts_whole": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 9000) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND (l.k = t.k OR l.vt = 2 AND l.k <= t.k AND t.k < l.end_k))",
+    "txn_conflicts_compat_whole": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 9000) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND l.k = t.k)",
     "txn_range_conflicts": f"""WITH {LOG}, t(cf_id, s, e) AS (VALUES (0, '000010', '000012'), (1, '000100', '000101'), (0, '900000', '900001'))
 SELECT cf_id, s AS "start", e AS "end" FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9900 AND CASE WHEN l.vt = 2 THEN t.s < l.end_k AND l.k < t.e ELSE l.k >= t.s AND l.k < t.e END)""",
     "compact_keep_rule": KEPT,

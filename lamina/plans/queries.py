@@ -184,6 +184,23 @@ def txn_conflicts_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(conflicts(_read_set(log), log, 9000, ranges=False))
 
 
+def _whole_read_set(log: DataFrame) -> DataFrame:
+    """All keys read up to the snapshot."""
+    return log.where("seq <= 9000").select("cf_id", "key").distinct()
+
+
+@query
+def txn_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = changelog(spark, sf_dir)
+    return shown(conflicts(_whole_read_set(log), log, 9000))
+
+
+@query
+def txn_conflicts_compat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = changelog(spark, sf_dir)
+    return shown(conflicts(_whole_read_set(log), log, 9000, ranges=False))
+
+
 @query
 def txn_range_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = spark.createDataFrame([(0, b"000010", b"000012"), (1, b"000100", b"000101"), (0, b"900000", b"900001")], "cf_id int, start binary, end binary")

@@ -44,3 +44,9 @@ def test_overlap_widens_to_the_fixpoint(spark):
 
 def test_overlap_query_starts_from_all_files(spark):
     compare(spark, MORE, QUERIES["overlapping_files_fixpoint"], ORACLES["overlapping_files_fixpoint"])
+
+
+def test_conflicts_of_all_keys_read(spark):
+    for name in ("txn_conflicts", "txn_conflicts_compat"):
+        compare(spark, MORE, QUERIES[f"{name}_whole"], ORACLES[f"{name}_whole"])
+        assert QUERIES[f"{name}_whole"](spark, MORE).count() > QUERIES[name](spark, MORE).count() > 0
