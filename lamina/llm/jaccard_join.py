@@ -16,7 +16,8 @@ Within a region, pivots are chosen and each class goes to its nearest pivot's Vo
 replicated into every cell whose pivot is at most 2 * RADIUS farther, which by the triangle inequality
 brings both ends of each link together. Cells are joined recursively in the same way; small ones by
 counting shared shingles. Classes within RADIUS of one pivot are one component already, so a cell whose
-classes are all in one component is done. The join is exact for components.
+classes are all in one component is done. The join is exact for components; the links themselves, and
+how many a document has, are not computed: links inside a component that is known already are skipped.
 
 A region too large for one task is joined across the cluster: all its classes meet its pivots; what
 the pivots leave outside the largest component then meets all classes, in blocks of BLOCK_BYTES.
