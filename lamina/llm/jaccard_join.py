@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_value, discard, free_shuffles, lean, materialize, prepare, shards, text_bytes
 from .components import components
@@ -618,6 +619,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component_id is the smallest doc_id that links reach, itself included; class is the number of
     the document's set, so rows with one class are copies in the sense of the join.
     """
+    return _labelled(docs, doc_id, text).drop("label")
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates() and label, a class that names the component; null for an empty set."""
     prepare(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -629,18 +635,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first")).join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     named = materialize(named.select("class", "label", "first"), "classes")
     least = materialize(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
-    whose = materialize(named.join(least, "label").select("class", "component_id"), "whose")
-    some = rows.where("n_shingles > 0").join(whose, "class").select("doc_id", "n_shingles", "component_id", "class")
-    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class")
+    whose = materialize(named.join(least, "label").select("class", "component_id", "label"), "whose")
+    some = rows.where("n_shingles > 0").join(whose, "class").select("doc_id", "n_shingles", "component_id", "class", "label")
+    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class", F.lit(None).cast("long").alias("label"))
     return some.unionByName(none)
 
 
+@lean
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of row, id, text with the class in place of the text."""
+    for batch in batches:
+        codes = pa.array([class_of(shingle_set(t)) for t in text_bytes(batch, "text")], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], ["row", "id", "class"])
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group left, the one with the smallest id; all columns stay.
+    """docs with one row of each group left, one with the smallest id; all columns stay.
 
-    Documents without words stay; rows that repeat a kept id, or have none, stay with the first of
-    their text.
+    Rows without words stay. Where several rows of a group have its smallest id, or none has an id, the
+    one whose JSON has the least SHA-256 stays.
     """
-    found = near_duplicates(docs, doc_id, text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["_kept"]), "left_semi")
+    found = _labelled(docs, doc_id, text)
+    keeps = F.col("label").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(keeps).alias("k")).where("k > 0"), "ids")
+    plain = ids.where("m = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
+    out = docs.join(plain, docs[doc_id].eqNullSafe(plain["_kept"]), "left_semi")
+    several = ids.where("m > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_several"))
+    n = several.count()
+    if not n:
+        return out
+    # these ids do not tell rows apart; the class does
+    several = F.broadcast(several) if n <= 10_000 else several
+    rows = docs.join(several, docs[doc_id].eqNullSafe(several["_several"]), "left_semi")
+    packed = rows.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    schema = StructType([packed.schema["row"], packed.schema["id"], StructField("class", LongType())])
+    classed = packed.mapInArrow(_with_class, schema)
+    label = found.where(keeps).where("label IS NOT NULL").select(F.col("doc_id").alias("its_id"), F.col("class").alias("its_class"), "label").distinct()
+    whose = classed.join(label, (F.col("class") == F.col("its_class")) & F.col("id").eqNullSafe(F.col("its_id")))
+    one = whose.groupBy("label").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    wordless = classed.where("class = 0").select("row")
+    return out.unionByName(one.select("row").unionByName(wordless).select("row.*"))

@@ -145,6 +145,20 @@ def test_one_of_each_keeps_one(spark):
     assert J.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_one_of_each_keeps_one_row(spark):
+    """Repeated rows, an id on several texts, null ids: one row of each group, in whatever order they come."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [(1, a, "k"), (1, a, "k"), (1, a + " z", "k"), (7, a, "k"), (None, a, "k")]  # one group
+    rows += [(1, b, "k"), (9, b, "k"), (9, d, "k"), (None, d + " z", "k")]  # ids 1 and 9 in two groups each
+    rows += [(None, c, "k"), (None, c + " z", "m"), (None, c, "m")]  # a group without an id
+    rows += [(3, None, "k"), (3, "", "k"), (None, " ", "k")]  # no words
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    kept = J.one_of_each(df.repartition(3)).collect()
+    again = J.one_of_each(spark.createDataFrame(rows[::-1], df.schema)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again)) and len(kept) == 7
+    assert sorted((r["text"][0], r["doc_id"] or 0) for r in kept if (r["text"] or "").strip()) == [("a", 1), ("b", 1), ("c", 0), ("d", 9)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]
