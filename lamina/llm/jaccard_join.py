@@ -4,23 +4,29 @@ Documents are sets of 5-word shingles; two link at a Jaccard similarity of THRES
 that is at a distance of at most RADIUS, and Jaccard distance is a metric. Documents with equal sets
 form one class and only classes are joined.
 
-Regions. Almost all classes of a corpus lie at distance 1 from each other, where no pivot tells them
-apart and every window would hold everything. So the outermost regions come from what a link implies
-for shingles. (1) Under one order of all shingles (those frequent in some shard last, else by hash),
-two linked sets share at least need(n) of their first prefix(n) shingles; classes that share fewer
-link with nothing and leave. (2) Of those left, whole sets are compared: a link needs THRESHOLD percent
-of a set's shingles to be in others. (3) What remains falls into regions of classes that share one of
-their rarest shingles, in the order in which linked sets must do so.
-
-Within a region, pivots are chosen and each class goes to its nearest pivot's Voronoi cell; it is
-replicated into every cell whose pivot is at most 2 * RADIUS farther, which by the triangle inequality
-brings both ends of each link together. Cells are joined recursively in the same way; small ones by
-counting shared shingles. Classes within RADIUS of one pivot are one component already, so a cell whose
-classes are all in one component is done. The join is exact for components; the links themselves, and
-how many a document has, are not computed: links inside a component that is known already are skipped.
-
-A region too large for one task is joined across the cluster: all its classes meet its pivots; what
-the pivots leave outside the largest component then meets all classes, in blocks of BLOCK_BYTES.
+Pruning. Almost all classes of a corpus lie at distance 1 from each other, where no pivot tells them
+apart. So those that can't link leave first, by what a link implies for shingles. (1) Under one order
+of all shingles (those frequent in some shard last, else by hash), two linked sets share at least
+need(n) of their first prefix(n) shingles. (2) Of those left, whole sets are compared: a link needs
+THRESHOLD percent of a set's shingles to be in others.
+
+Regions. What is left is joined by pivots, in rounds over all of it. Pivots are classes that come
+first among the holders of each of their rarest shingles. Each class meets the pivots that it shares
+such a shingle with, which are all within 2 * RADIUS of it, and its distance to them is measured. A
+class within RADIUS of a pivot belongs to the Voronoi region of its nearest one. A region's window is
+what lies at most RADIUS farther from the pivot than its members: by the triangle inequality every
+partner of a member does, so boundary classes are replicated into each region whose window holds them.
+A member leaves if all of its window is in its component already; pivots leave too, as all their
+links are known. Whatever remains, members with a window that is open and classes in no region, is
+joined recursively: the next round partitions it by more pivots, taken from the smaller components.
+Each class is a pivot in some round or leaves resolved, so the join is exact for components; links
+inside a component that is known already are not looked for, so the links themselves, and how many
+a document has, are not computed.
+
+Scale: a shingle has one pivot a slot at most, so a round's pairs are at most the entries of the
+rarest shingles times its slots, and there is no pair list within a group of copies. A region of any
+size is measured in chunks of CHUNK_ENTRIES. Only classes far from each other that share rare shingles
+without end need many slots.
 
 Edge cases: null and empty texts have an empty set and link with nothing, their component is their
 own id; a document of fewer than five words has its whole sequence as one shingle; repeated rows and
@@ -53,16 +59,18 @@ SHARD_BYTES = 8 << 20
 PART_ENTRIES = 400_000
 #: Frequent shingles that are put last; any set of them gives the same result.
 MOST_FREQUENT = 200_000
-#: A region of more shingles than this is joined across the cluster.
-LOCAL_SHINGLES = 1 << 19
-BLOCK_BYTES = 4 << 20
-BLOCKS_AT_ONCE = 4
-PIVOTS = 8
-SMALL_CELL = 48
+#: Percent of similarity at a distance of 2 * RADIUS: as far as a region and its window reach.
+REACH = 50
+#: Shingles of a region that are measured against the pivot at once; a larger region is measured in chunks.
+CHUNK_ENTRIES = 1 << 20
+#: Each round has so many times the slots of the one before, and with them more pivots a shingle.
+SLOTS_MORE = 4
 #: Groups of classes in which counts come together.
 HOMES = 256
 PIECE = 1 << 20
 
+BLOOM_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -120,10 +128,6 @@ def need(n):
     return np.where(n < 5, 1, np.maximum(1, prefix(n) - (n - (THRESHOLD * n + 99) // 100)))
 
 
-def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * inter >= THRESHOLD * (a + b - inter)
-
-
 def _sets(shard: pa.RecordBatch) -> list[np.ndarray]:
     return [shingle_set(t) for t in text_bytes(shard, "text")]
 
@@ -301,204 +305,138 @@ def _met(packed: DataFrame, parts: int, report, schema: str) -> DataFrame:
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet(parts, report), schema)
 
 
-# --- joining a region in one task --------------------------------------------------------------
-
-
-class Region:
-    """The classes of one region and the components that links have formed so far."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.parent = np.arange(len(sets))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = int(self.parent[i])
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.parent[max(a, b)] = min(a, b)
-
-    def roots(self, members: np.ndarray) -> np.ndarray:
-        return np.array([self.root(int(i)) for i in members])
-
-    def join(self, members: np.ndarray, depth: int = 0) -> None:
-        """Find enough links among members that their components are exact."""
-        if len(members) < 2:
-            return
-        if len(members) <= SMALL_CELL or depth > 8:
-            self.count(members)
-            return
-        order = np.argsort(mix(members.astype(np.uint64) + np.uint64(depth)))
-        pivots = members[order[:PIVOTS]]
-        everything = np.concatenate([self.sets[i] for i in members])
-        owner = np.repeat(np.arange(len(members)), self.sizes[members])
-        distance = np.empty((len(members), len(pivots)))
-        for j, p in enumerate(pivots):
-            s = self.sets[p]
-            inter = np.bincount(owner[s[np.minimum(np.searchsorted(s, everything), len(s) - 1)] == everything], minlength=len(members))
-            union = self.sizes[members] + len(s) - inter
-            distance[:, j] = 1 - inter / union
-            for i in np.flatnonzero(linked(inter, self.sizes[members], len(s))):
-                self.link(int(members[i]), int(p))
-        if len(np.unique(self.roots(members))) == 1:
-            return
-        home = distance.min(1)
-        cells = [members[distance[:, j] <= home + 2 * RADIUS + 1e-9] for j in range(len(pivots))]
-        if max(map(len, cells)) > 0.9 * len(members):  # the windows separate nothing here
-            self.count(members)
-            return
-        for cell in cells:
-            if len(cell) > 1 and len(np.unique(self.roots(cell))) > 1:
-                self.join(cell, depth + 1)
-
-    def count(self, members: np.ndarray) -> None:
-        """Shared shingles of members outside the largest component with all members."""
-        roots, sizes = np.unique(self.roots(members), return_counts=True)
-        if len(roots) == 1:
-            return
-        outside = np.flatnonzero(self.roots(members) != roots[sizes.argmax()])
-        everything = np.concatenate([self.sets[i] for i in members])
-        owner = np.repeat(np.arange(len(members)), self.sizes[members])
-        order = np.argsort(everything, kind="stable")
-        everything, owner = everything[order], owner[order]
-        for i in outside:
-            s = self.sets[members[i]]
-            lo, hi = np.searchsorted(everything, s), np.searchsorted(everything, s, "right")
-            n = hi - lo
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            inter = np.bincount(owner[at], minlength=len(members))
-            for j in np.flatnonzero(linked(inter, self.sizes[members], len(s))):
-                self.link(int(members[i]), int(members[j]))
+# --- the join by pivots ------------------------------------------------------------------------
 
 
 @lean
-def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, label for whole regions, which come one after another."""
-
-    def solved(classes: list[int], sets: list[bytes]) -> pa.RecordBatch:
-        order = np.argsort(np.array(classes, np.int64))
-        region = Region([np.frombuffer(sets[i], np.uint64) for i in order])
-        region.join(np.arange(len(order)))
-        names = np.array(classes, np.int64)[order]
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[region.roots(np.arange(len(order)))])], ["class", "label"])
-
-    held: tuple[list[int], list[bytes]] = ([], [])
-    now = None
-    for batch in batches:
-        for region, c, s in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            if region != now and held[0]:
-                yield solved(*held)
-                held = ([], [])
-            now = region
-            held[0].append(c)
-            held[1].append(s)
-    if held[0]:
-        yield solved(*held)
-
-
-# --- joining a region across the cluster --------------------------------------------------------
-
-
-def _against(asked):
-    """Links of every class of a large region with the classes of a block of the same region."""
-
-    @lean
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = asked.value  # region -> (classes, sizes, sorted shingles, their owners)
-        for batch in batches:
-            out_u, out_v = [], []
-            for region, c, s in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                if region not in block:
-                    continue
-                classes, sizes, shingles, owner = block[region]
-                own = np.frombuffer(s, np.uint64)
-                lo, hi = np.searchsorted(shingles, own), np.searchsorted(shingles, own, "right")
-                n = hi - lo
-                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                inter = np.bincount(owner[at], minlength=len(classes))
-                found = classes[linked(inter, sizes, len(own)) & (classes != c)]
-                out_u += [c] * len(found)
-                out_v += found.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
-
-    return work
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """p, class, inter, union of every member within REACH of its pivot.
 
+    Rows come by region and chunk, the pivot's own (without a class) first. Whole stretches of members
+    are looked up in the pivot's set at once.
+    """
+    own = np.zeros(0, np.uint64)
+    for batch in batches:
+        p, chunk, member = (batch.column(i) for i in range(3))
+        pivots, chunks, is_pivot = p.to_numpy(), chunk.to_numpy(), member.is_null().to_numpy(zero_copy_only=False)
+        names = member.fill_null(0).to_numpy()
+        column = batch.column(3)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        keys = np.frombuffer(column.buffers()[2] or b"", np.uint64, count=int(ends[-1]))
+        cuts = np.flatnonzero(np.r_[True, is_pivot[1:] | (pivots[1:] != pivots[:-1]) | (chunks[1:] != chunks[:-1])])
+        out: list[tuple[np.ndarray, ...]] = []
+        for a, b in zip(cuts, np.r_[cuts[1:], len(pivots)], strict=True):
+            if is_pivot[a]:
+                own = keys[ends[a] : ends[a + 1]].copy()
+                a += 1
+            if a == b:
+                continue
+            flat, n = keys[ends[a] : ends[b]], np.diff(ends[a : b + 1]).astype(np.int64)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            inter = np.diff(np.r_[0, np.cumsum(hit)][np.r_[ends[a:b], ends[b]] - ends[a]])
+            union = n + len(own) - inter
+            near = np.flatnonzero(100 * inter >= REACH * union)
+            out.append((pivots[a:b][near], names[a:b][near], inter[near], union[near]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["p", "class", "inter", "union"])
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """key, class, n, k, own: the k shingles by which sets within REACH of each other are found; own is
+    how many shingles no other set holds.
+
+    In the order of how many of these sets hold a shingle, any two such sets share one of their first
+    n - REACH% of n + 1. Shingles that no other set holds come first and take up places.
+    """
+    parts = int(max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_ENTRIES + 1))
+    shared = materialize(_met(sets.mapInArrow(_set_entries(parts), PACKED), parts, _memberships, "key long, class long, n int"), "shared")
+    held_by = shared.groupBy("key").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "key"))
+    known = F.count("*").over(Window.partitionBy("class"))
+    left = F.col("known") - F.ceil(F.lit(REACH) * F.col("n") / 100) + 1
+    k = F.least("left", "known").cast("int")
+    first = materialize(shared.join(held_by, "key").withColumn("place", place).withColumn("known", known).withColumn("left", left).where("place <= left").select("key", "class", "n", k.alias("k"), (F.col("n") - F.col("known")).cast("int").alias("own")), "first")
+    discard(shared)
+    return first
 
-def _in_blocks(rows: DataFrame) -> Iterator[dict]:
-    """Rows (region, class, set) in blocks of BLOCK_BYTES, ready to be looked up; one block at a time."""
 
-    def ready(held: dict[int, list]) -> dict:
-        out = {}
-        for region, own in held.items():
-            sets = [np.frombuffer(s, np.uint64) for _, s in own]
-            everything = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            order = np.argsort(everything, kind="stable")
-            out[region] = (np.array([c for c, _ in own], np.int64), np.array([len(s) for s in sets], np.int64), everything[order], owner[order])
-        return out
+def _pivots(entries: DataFrame) -> DataFrame:
+    """The classes that come first, in their slot, among the holders of each of their k rarest shingles.
 
-    held: dict[int, list] = {}
-    size = 0
-    for r in rows.toLocalIterator():
-        held.setdefault(r[0], []).append((r[1], bytes(r[2])))
-        size += len(r[2])
-        if size >= BLOCK_BYTES:
-            yield ready(held)
-            held, size = {}, 0
-    if held:
-        yield ready(held)
-
-
-def _links_of(large: DataFrame, asked: DataFrame) -> DataFrame:
-    """Links of the asked classes with all classes of their regions, a few blocks at a time."""
-    spark = large.sparkSession
-    done, parts, sent = [], [], []
-
-    def settle() -> None:
-        out = parts[0]
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        done.append(materialize(out, "found"))
-        for b in sent:
-            b.destroy()
-        parts.clear()
-        sent.clear()
-
-    for block in _in_blocks(asked):
-        sent.append(spark.sparkContext.broadcast(block))
-        parts.append(large.mapInArrow(_against(sent[-1]), "u long, v long"))
-        if len(parts) == BLOCKS_AT_ONCE:
-            settle()
-    if parts:
-        settle()
-    out = spark.createDataFrame([], "u long, v long")
-    for found in done:
-        out = out.unionByName(found)
-    return out
-
-
-def _join_large(large: DataFrame) -> DataFrame:
-    """class, label for regions that exceed a task; large has region, class, set."""
-    h = F.xxhash64("class")
-    first = large.groupBy("region").agg(F.count("*").alias("m"))
-    # about PIVOTS classes of each region by hash, without sorting the region
-    share = F.pmod(h, F.col("m")) < PIVOTS
-    pivots = large.join(F.broadcast(first) if first.count() <= 10_000 else first, "region").where(share).select("region", "class", "set")
-    links = _links_of(large, pivots)
+    Where components of several orders of magnitude hold a shingle, only those of the least have pivots
+    there, so that outliers meet a large component, not its classes each other. Otherwise classes with
+    few shingles of their own come first, as the middle of a group of near copies has.
+    """
+    least = entries.groupBy("key", "slot").agg(F.min(F.struct("order", "own", "h", "class", "k")).alias("least"))
+    ahead = least.withColumn("smallest", F.min("least.order").over(Window.partitionBy("key"))).where(F.col("least.order") == F.col("smallest"))
+    firsts = ahead.groupBy(F.col("least.class").alias("p")).agg(F.count("*").alias("c"), F.max("least.k").alias("k"))
+    return firsts.where("c = k").select("p")
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """p, class, inter, union of the pairs within REACH; a large region is measured in several chunks."""
+    members = pairs.join(sets, "class")
+    many = pairs.groupBy("p").agg(F.sum("n").alias("total"))
+    chunks = many.select("p", F.ceil(F.col("total") / CHUNK_ENTRIES).cast("int").alias("chunks"))
+    chunks = materialize(chunks, "chunks")
+    large = chunks.where("chunks > 1")
+    n_large = large.count()
+    if n_large:
+        large = F.broadcast(large) if n_large <= 10_000 else large
+        members = members.join(large, "p", "left").withColumn("chunk", F.pmod(F.xxhash64("class"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    else:
+        members = members.withColumn("chunk", F.lit(0))
+    own = chunks.join(sets.select(F.col("class").alias("p"), "set"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("class"), "set")
+    rows = own.unionByName(members.select("p", "chunk", "class", "set"))
+    return rows.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.asc_nulls_first("class")).mapInArrow(_distances, "p long, class long, inter long, union long")
+
+
+def join_by_pivots(sets: DataFrame, on_round=None) -> DataFrame:
+    """node, component of the classes that link; sets has class, n, set.
+
+    on_round is called after each round with its number of classes, pivots, members of Voronoi regions
+    and replicas in windows, at the price of a few counts.
+    """
+    spark = sets.sparkSession
+    first = _rarest(sets)
+    alive = materialize(first.select("class").distinct().withColumn("order", F.lit(0)), "alive")
+    links = spark.createDataFrame([], "u long, v long")
     label = components(links)
-    named = materialize(large.select("region", "class").join(label, F.col("class") == F.col("node"), "left").select("region", "class", F.coalesce("component", "class").alias("label")), "named")
-    sizes = named.groupBy("region", "label").count()
-    largest = sizes.groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    outside = named.join(largest, "region").where("label <> main").select("class")
-    if outside.isEmpty():
-        return named.select("class", "label")
-    more = _links_of(large, large.join(outside, "class").select("region", "class", "set"))
-    every = components(links.unionByName(more))
-    return large.select("class").join(every, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("label"))
+    turn = 0
+    while not alive.isEmpty():
+        slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(SLOTS_MORE ** min(turn, 30)))
+        entries = first.join(alive, "class").select("key", "class", "n", "k", "order", "own", F.xxhash64("class", F.lit(turn)).alias("h"), slot.alias("slot"))
+        pivots = materialize(_pivots(entries), "pivots")
+        its_keys = entries.join(pivots, F.col("class") == F.col("p")).select("key", "p", F.col("n").alias("n_p"))
+        fit = (F.col("class") != F.col("p")) & (100 * F.col("n") >= REACH * F.col("n_p")) & (100 * F.col("n_p") >= REACH * F.col("n"))
+        pairs = materialize(entries.select("key", "class", "n").join(its_keys, "key").where(fit).select("class", "p", "n").distinct(), "pairs")
+        near = materialize(_near(pairs.select("p", "class", "n"), sets.select("class", "set")), "near")
+        free_shuffles(spark)
+        distance = 1 - F.col("inter") / F.col("union")
+        linked = 100 * F.col("inter") >= THRESHOLD * F.col("union")
+        links = links.unionByName(near.where(linked).select(F.col("class").alias("u"), F.col("p").alias("v")))
+        label = components(links)
+        # a region: its nearest pivot's; its window: whatever lies at most RADIUS farther from the pivot
+        named = near.join(pivots.select(F.col("p").alias("class")), "class", "left_anti").select("p", "class", distance.alias("d"), linked.alias("linked"))
+        homes = named.where("linked").groupBy("class").agg(F.min(F.struct("d", "p")).alias("home")).select("class", "home.d", "home.p")
+        at = label.select(F.col("node").alias("class"), "component")
+        placed = named.join(at, "class", "left").withColumn("c", F.coalesce("component", "class")).drop("component")
+        placed = placed.join(label.select(F.col("node").alias("p"), F.col("component").alias("c_p")), "p", "left")
+        foreign = placed.where(F.col("c") != F.coalesce("c_p", "p")).groupBy("p").agg(F.min("d").alias("m"))
+        open_ = homes.join(foreign, "p").where(F.col("d") + RADIUS >= F.col("m") - 1e-9).select("class")
+        gone = pivots.select(F.col("p").alias("class")).unionByName(homes.select("class"))
+        left = alive.select("class").join(gone, "class", "left_anti").unionByName(open_)
+        sizes = at.groupBy("component").agg(F.count("*").alias("size"))
+        left = left.join(at, "class", "left").join(sizes, "component", "left").select("class", (F.coalesce(F.floor(F.log2("size")).cast("int"), F.lit(0)) if turn else F.lit(0)).alias("order"))
+        after = materialize(left, "alive")
+        if on_round is not None:
+            members = homes.count()
+            on_round({"classes": alive.count(), "pivots": pivots.count(), "members": members, "replicas": named.count() - members, "left": after.count()})
+        for old in (alive, pivots, pairs):
+            discard(old)
+        alive, turn = after, turn + 1
+        free_shuffles(spark)
+    return label
 
 
 # --- the join ----------------------------------------------------------------------------------
@@ -540,10 +478,8 @@ def _texts_of(chosen: DataFrame, plain: DataFrame) -> DataFrame:
     """class, text of the chosen documents (rep is the id, or null).
 
     A Bloom filter of the chosen ids, of a fixed size at most, thins the texts before they are
-    shuffled; the condition on c is what lets the optimiser put it there.
+    shuffled; the condition on c, and a threshold that the caller sets, let the optimiser put it there.
     """
-    conf, name = plain.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    conf.set(name, "0")
     texts = plain.join(chosen.where("c >= 1"), F.col("doc_id") == F.col("rep")).select("class", "text")
     if not chosen.where("rep IS NULL").isEmpty():  # found by their class: texts without an id
         texts = texts.unionByName(chosen.where("rep IS NULL").join(plain.where("doc_id IS NULL").mapInArrow(_classed, "code long, text string"), F.col("class") == F.col("code")).select("class", "text"))
@@ -564,8 +500,12 @@ def _sets_of(member: DataFrame, plain: DataFrame, surveyed: DataFrame) -> DataFr
     one = surveyed.where("is_doc AND n > 0").groupBy("code").agg(F.min("doc_id").alias("rep"))
     keys = member.groupBy("class").agg(F.count("*").alias("c"))
     chosen = materialize(keys.join(one, F.col("class") == F.col("code")).select("rep", "class", "c"), "chosen")
-    texts = _texts_of(chosen, plain)
-    sets = materialize(texts.mapInArrow(_set_rows, "class long, n int, set binary").dropDuplicates(["class"]), "sets")
+    before = spark.conf.get(BLOOM_FROM)
+    spark.conf.set(BLOOM_FROM, "0")
+    try:
+        sets = materialize(_texts_of(chosen, plain).mapInArrow(_set_rows, "class long, n int, set binary").dropDuplicates(["class"]), "sets")
+    finally:
+        spark.conf.set(BLOOM_FROM, before)
     free_shuffles(spark)
     for _ in range(2):
         parts = int(max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_ENTRIES + 1))
@@ -579,38 +519,10 @@ def _sets_of(member: DataFrame, plain: DataFrame, surveyed: DataFrame) -> DataFr
     return sets
 
 
-def _regions(sets: DataFrame) -> DataFrame:
-    """node, region: classes that share one of their rarest shingles, and so on.
-
-    In the order of how many of these sets hold a shingle, any two linked sets share one of their first
-    n - THRESHOLD% of n + 1. Shingles that no other set holds come first and take up places.
-    """
-    parts = int(max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_ENTRIES + 1))
-    shared = materialize(_met(sets.mapInArrow(_set_entries(parts), PACKED), parts, _memberships, "key long, class long, n int"), "shared")
-    held_by = shared.groupBy("key").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "key"))
-    known = F.count("*").over(Window.partitionBy("class"))
-    left = known - F.ceil(F.lit(THRESHOLD) * F.col("n") / 100) + 1
-    first = materialize(shared.join(held_by, "key").withColumn("place", place).withColumn("left", left).where("place <= left").select("key", "class"), "first")
-    discard(shared)
-    pivots = first.groupBy("key").agg(F.min("class").alias("pivot"))
-    links = first.join(pivots, "key").where("class <> pivot").select(F.col("class").alias("u"), F.col("pivot").alias("v")).distinct()
-    return materialize(components(links).withColumnRenamed("component", "region"), "region")
-
-
 def class_labels(plain: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """class, label (one class of its component) for classes that share enough with others."""
-    sets = _sets_of(_candidates(plain, surveyed), plain, surveyed)
-    region = _regions(sets)
-    sums = region.join(sets.select("class", "n"), F.col("node") == F.col("class")).groupBy("region").agg((F.sum("n") > LOCAL_SHINGLES).alias("large"))
-    placed = materialize(sets.join(region, F.col("class") == F.col("node")).join(sums, "region").select("region", "class", "set", "large"), "placed")
-    free_shuffles(plain.sparkSession)
-    small = placed.where("NOT large").select("region", "class", "set")
-    labels = small.repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions, "class long, label long")
-    large = placed.where("large").select("region", "class", "set")
-    if not large.isEmpty():
-        labels = labels.unionByName(_join_large(large))
-    return materialize(labels, "labels")
+    """class, label (one class of its component) for classes that link with others."""
+    found = join_by_pivots(_sets_of(_candidates(plain, surveyed), plain, surveyed))
+    return materialize(found.select(F.col("node").alias("class"), F.col("component").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

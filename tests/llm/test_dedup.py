@@ -59,12 +59,10 @@ def near_copies(seed, groups=12, edits=(1, 12)):
     return rows
 
 
-@pytest.mark.parametrize("seed,limit,cell,frequent", [(1, 1 << 19, 48, 200_000), (2, 1 << 19, 3, 5), (3, 1500, 3, 0), (4, 300, 48, 200_000)])
-def test_join_matches_brute_force(spark, monkeypatch, seed, limit, cell, frequent):
-    monkeypatch.setattr(J, "LOCAL_SHINGLES", limit)
-    monkeypatch.setattr(J, "SMALL_CELL", cell)
+@pytest.mark.parametrize("seed,chunk,frequent", [(1, 1 << 20, 200_000), (2, 300, 5), (3, 1500, 0), (4, 40, 200_000)])
+def test_join_matches_brute_force(spark, monkeypatch, seed, chunk, frequent):
+    monkeypatch.setattr(J, "CHUNK_ENTRIES", chunk)
     monkeypatch.setattr(J, "MOST_FREQUENT", frequent)
-    monkeypatch.setattr(J, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(J, "PART_ENTRIES", 700)
     rows = near_copies(seed) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "One two"), (1004, "one TWO"), (None, "one two"), (5, "w1 w2 w3 w4 w5 w6"), (5, "w1 w2 w3 w4 w5 w6"), (None, "alone here")]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, component_id int").repartition(5)
@@ -72,30 +70,52 @@ def test_join_matches_brute_force(spark, monkeypatch, seed, limit, cell, frequen
     assert sorted(str(tuple(r)) for r in found) == brute_join(rows)
 
 
-def test_cells_are_exact():
-    """The recursion alone, on sets at all distances, with small cells."""
-    rng = np.random.default_rng(5)
-    for trial in range(12):
-        base = [np.unique(rng.integers(0, 300, 60).astype(np.uint64)) for _ in range(6)]
-        sets = []
-        for _ in range(90):
-            s = base[rng.integers(len(base))]
-            s = s[rng.random(len(s)) > rng.choice([0.02, 0.1, 0.3])]
-            sets.append(np.unique(np.concatenate([s, rng.integers(0, 300, rng.integers(0, 8)).astype(np.uint64)])))
-        region = J.Region(sets)
-        J_small, J.SMALL_CELL = J.SMALL_CELL, 4
-        try:
-            region.join(np.arange(len(sets)))
-        finally:
-            J.SMALL_CELL = J_small
-        want = J.Region(sets)
-        for i in range(len(sets)):
-            for j in range(i):
-                inter = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * inter >= 75 * (len(sets[i]) + len(sets[j]) - inter):
-                    want.link(i, j)
-        same = lambda r: Counter(r.roots(np.arange(len(sets))).tolist())
-        assert sorted(same(region).values()) == sorted(same(want).values())
+@pytest.mark.parametrize("seed", range(3))
+def test_regions_and_windows_are_exact(spark, monkeypatch, seed):
+    """The rounds alone, on sets at all distances: pivots, regions, windows and recursion all take part."""
+    monkeypatch.setattr(J, "CHUNK_ENTRIES", 500)
+    rng = np.random.default_rng(seed)
+    base = [np.unique(rng.integers(0, 300, 60).astype(np.uint64)) for _ in range(6)]
+    sets = []
+    for _ in range(150):
+        s = base[rng.integers(len(base))]
+        s = s[rng.random(len(s)) > rng.choice([0.02, 0.1, 0.3])]
+        sets.append(np.unique(np.concatenate([s, rng.integers(0, 300, rng.integers(0, 8)).astype(np.uint64)])))
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= 75 * (len(sets[i]) + len(sets[j]) - inter):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    rounds = []
+    df = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "class long, n int, set binary")
+    found = {r["node"]: r["component"] for r in J.join_by_pivots(df, rounds.append).collect()}
+    assert [found.get(i, i) for i in range(len(sets))] == [root(i) for i in range(len(sets))]
+    assert len(rounds) > 1 and rounds[-1]["left"] == 0 and all(r["pivots"] for r in rounds)
+    assert sum(r["members"] for r in rounds) > 0 and sum(r["replicas"] for r in rounds) > 0
+
+
+def test_a_large_group_has_few_pairs(spark, monkeypatch):
+    """Near copies of one text: what is measured stays far below the group's 180,000 pairs."""
+    rng = np.random.default_rng(4)
+    text = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        own = list(text)
+        for at in rng.integers(0, 120, rng.integers(0, 4)):
+            own[at] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rounds, join = [], J.join_by_pivots
+    monkeypatch.setattr(J, "join_by_pivots", lambda sets: join(sets, rounds.append))
+    found = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in found) == brute_join(rows)
+    assert sum(r["members"] + r["replicas"] for r in rounds) < 18_000
 
 
 def test_prefixes_never_lose_a_link():
