@@ -1,12 +1,14 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each shard of training documents gets a suffix array over its words; every benchmark suffix is
+Each shard of training documents gets a suffix array over its words, once; every benchmark suffix is
 binary-searched in the array of every shard, which gives the verbatim matches with their locations,
 the longest of them, and from those the documents to remove.
 
-Words that no benchmark item holds cannot lie in a match; they all become word 0, and suffixes that
-begin with one are left out of the array. A suffix is ordered by its first words packed into
-integers, as deep as a window needs; longer matches follow from windows that adjoin.
+A shard numbers its words in order of first sight, and suffixes are ordered by their first `window`
+words, packed into integers: q-gram buckets by the first of these, refined by the later ones. A
+benchmark suffix is looked up by its own first words (all of it, if it is shorter than a window); one
+with a word that the shard lacks has no match. Suffixes that hold a whole window give places; those
+of one item that continue each other, in the document and in the item, are parts of one longer match.
 
 Scale: documents never move; a shard is at most SHARD_BYTES of text, or one longer document. The
 benchmark goes to the executors in blocks of at most BLOCK_WORDS words; every shard meets each block,
@@ -14,8 +16,9 @@ one after another, so its size bounds what is in memory, not what is searched.
 
 Edge cases: null or empty texts have no words and no hits; items with a null id or no words are no
 items, repeated items count once; an item shorter than a window is one window itself; documents with
-null or repeated ids keep one row each; empty tables give empty results or no hits; extra columns
-pass through decontaminate() and are otherwise ignored.
+null or repeated ids keep one row each; a shard may have fewer words than a window, or none; empty
+tables give empty results or no hits; extra columns pass through decontaminate() and are otherwise
+ignored.
 """
 
 from __future__ import annotations
@@ -45,51 +48,40 @@ def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-class _Vocabulary(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 class TestSet:
-    """Windows of a block of items: packed words, the items of each window, and its length."""
+    """The distinct suffixes of a block of items, cut to a window: their words, lengths and owners.
+
+    words are the block's distinct words; row s of suffixes has the places of its words in that list,
+    -1 behind its end. The items that hold s, and where, are owner_item and owner_offset from
+    owner_start[s] on. whole tells whether s is a window.
+    """
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        vocabulary = _Vocabulary()
-        owners: dict[tuple[int, ...], set[int]] = {}
-        self.names = [name for name, _ in items]
-        for item, (_, words) in enumerate(items):
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-            for at in range(max(1, len(ids) - window + 1)):
-                owners.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.vocabulary, self.window = vocabulary, window
-        self.bits = max(1, (len(vocabulary) + 1).bit_length())
-        self.pack = max(1, 63 // self.bits)
-        self.levels = -(-window // self.pack)
-        windows = list(owners)
-        self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.owners = [sorted(owners[w]) for w in windows]
-        full = np.zeros((len(windows), self.levels * self.pack), np.int64)
-        for i, w in enumerate(windows):
-            full[i, : len(w)] = w
-        open_end = np.arange(full.shape[1]) >= self.lengths[:, None]
-        self.low = self._packed(np.where(open_end, 0, full))
-        self.high = self._packed(np.where(open_end, (1 << self.bits) - 1, full))
-
-    def _packed(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(ids), self.levels), np.int64)
-        for level in range(self.levels):
-            for j in range(self.pack):
-                out[:, level] = out[:, level] << self.bits | ids[:, level * self.pack + j]
-        return out
-
-    def __getstate__(self):
-        return self.__dict__ | {"vocabulary": dict(self.vocabulary)}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.vocabulary = _Vocabulary(state["vocabulary"])
+        place: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        whole: dict[tuple[int, ...], bool] = {}
+        kept = list(dict.fromkeys((name, tuple(words)) for name, words in items))
+        for item, (_, words) in enumerate(kept):
+            ids = [place.setdefault(w, len(place)) for w in words]
+            for at in range(len(ids)):
+                own = tuple(ids[at : at + window])
+                if at == 0 or len(own) == window:
+                    owners.setdefault(own, []).append((item, at))
+                    whole[own] = True
+                else:  # too short for a window: searched, but it gives no place
+                    owners.setdefault(own, [])
+                    whole.setdefault(own, False)
+        self.names, self.words, self.window = [name for name, _ in kept], list(place), window
+        self.lengths = np.array([len(x) for x in owners], np.int64)
+        self.suffixes = np.full((len(owners), window), -1, np.int32)
+        for i, own in enumerate(owners):
+            self.suffixes[i, : len(own)] = own
+        self.whole = np.array([whole[x] for x in owners], bool)
+        self.owner_start = np.cumsum([0, *[len(x) for x in owners.values()]])
+        flat = np.array([x for own in owners.values() for x in own], np.int64).reshape(-1, 2)
+        self.owner_item, self.owner_offset = flat[:, 0], flat[:, 1]
 
 
 def _search(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, right: bool) -> np.ndarray:
@@ -103,112 +95,101 @@ def _search(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarra
     return lo
 
 
-class SuffixArray:
-    """Suffixes of a shard's word ids in order of their first levels * pack words."""
+class Shard:
+    """The words of some texts, numbered from 1, and the array of their suffixes to `depth` words.
 
-    def __init__(self, ids: np.ndarray, tests: TestSet):
-        key = np.zeros(len(ids), np.int64)
-        for j in range(tests.pack):
-            key <<= tests.bits
-            key[: len(ids) - j] |= ids[j:]
-        start = np.flatnonzero(ids)
+    ids has all texts one after another with depth zeros behind each; keys[l][j] holds words
+    l * pack and the following of the j-th suffix, packed into one integer.
+    """
+
+    def __init__(self, words: list[list[bytes]], depth: int):
+        self.vocabulary: dict[bytes, int] = {}
+        self.starts = np.cumsum([0, *[len(w) + depth for w in words]])
+        self.ids = np.zeros(int(self.starts[-1]), np.int64)
+        for own, at in zip(words, self.starts, strict=False):
+            self.ids[at : at + len(own)] = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
+        self.bits = max(1, (len(self.vocabulary) + 1).bit_length())
+        self.pack = min(depth, 63 // self.bits)
+        self.levels = -(-depth // self.pack)
+        ids = np.append(self.ids, np.zeros(self.pack + self.levels * self.pack, np.int64))
+        key = np.zeros(len(ids) - self.pack, np.int64)
+        for j in range(self.pack):
+            key = key << self.bits | ids[j : j + len(key)]
+        start = np.flatnonzero(self.ids)
         order = start[np.argsort(key[start], kind="stable")]
-        self.keys = [key[order]]
-        first = self.keys[0]
-        bucket = np.cumsum(np.r_[False, first[1:] != first[:-1]]) if len(order) else np.zeros(0, np.int64)
-        # only buckets that some test suffix enters are refined: no search reads the others
-        wanted = np.unique(_search(first, np.zeros(len(tests.low), np.int64), np.full(len(tests.low), len(first)), tests.low[:, 0], False))
-        visited = np.zeros(len(order), bool)
-        if len(order):
-            short = tests.low[:, 0] != tests.high[:, 0]
-            ids_of = bucket[wanted[wanted < len(order)]]
-            visited = np.isin(bucket, ids_of)
-            for lo, hi in zip(tests.low[short, 0], tests.high[short, 0], strict=True):
-                visited[np.searchsorted(first, lo) : np.searchsorted(first, hi, "right")] = True
-        later = np.zeros((tests.levels, len(order)), np.int64)
-        spot = np.flatnonzero(visited)
-        reach = np.append(key, np.zeros(tests.levels * tests.pack, np.int64))
+        first = key[order]
+        bucket = np.cumsum(np.r_[True, first[1:] != first[:-1]]) if len(order) else np.zeros(0, np.int64)
+        spot = np.flatnonzero(np.bincount(bucket)[bucket] > 1)  # a suffix alone in its bucket is in place
         if len(spot):
-            columns = [reach[order[spot] + level * tests.pack] for level in range(1, tests.levels)]
-            inner = np.lexsort((*columns[::-1], bucket[spot]))
-            order[spot] = order[spot[inner]]
-            for level, c in enumerate(columns, 1):
-                later[level, spot] = c[inner]
+            columns = [key[order[spot] + level * self.pack] for level in range(1, self.levels)]
+            order[spot] = order[spot[np.lexsort((*columns[::-1], bucket[spot]))]]
         self.order = order
-        self.keys += [later[level] for level in range(1, tests.levels)]
-
-    def find(self, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
-        """For every window the stretch of the array whose suffixes begin with it."""
-        lo = np.zeros(len(tests.low), np.int64)
-        hi = np.full(len(tests.low), len(self.order))
+        self.keys = [key[order + level * self.pack] for level in range(self.levels)]
+
+    def find(self, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The test suffixes that occur, and for each the stretch of the array that begins with it."""
+        numbers = np.array([0, *map(self.vocabulary.get, tests.words, [0] * len(tests.words))], np.int64)
+        ids = numbers[tests.suffixes + 1]
+        behind = tests.suffixes < 0
+        known = np.flatnonzero(((ids > 0) | behind).all(1)) if len(ids) else np.zeros(0, np.int64)
+        ids, behind = ids[known], behind[known]
+        room = self.levels * self.pack - ids.shape[1] if len(ids) else 0
+        if room:
+            ids = np.pad(ids, ((0, 0), (0, room)))
+            behind = np.pad(behind, ((0, 0), (0, room)), constant_values=True)
+        lo, hi = np.zeros(len(known), np.int64), np.full(len(known), len(self.order))
         for level, column in enumerate(self.keys):
-            low, high = tests.low[:, level], tests.high[:, level]
-            used = level * tests.pack < tests.lengths
-            new_lo = _search(column, lo, np.where(used, hi, lo), low, False)
-            new_hi = _search(column, lo, np.where(used, hi, lo), high, True)
-            lo, hi = np.where(used, new_lo, lo), np.where(used, new_hi, hi)
-        return lo, hi
-
-
-def _shard_hits(ids: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position) of every occurrence in a shard."""
-    array = SuffixArray(ids, tests)
-    lo, hi = array.find(tests)
-    sizes = hi - lo
-    window = np.repeat(np.arange(len(lo)), sizes)
-    spot = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)
-    return window, array.order[spot]
-
-
-def _layout(words: list[list[bytes]], tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all documents with a gap of zeros after each, and where each document starts."""
-    gap = tests.window
-    starts = np.cumsum([0, *[len(w) + gap for w in words]])
-    ids = np.zeros(starts[-1], np.int64)
-    look = tests.vocabulary.__getitem__
-    for own, at in zip(words, starts, strict=False):
-        ids[at : at + len(own)] = np.fromiter(map(look, own), np.int64, count=len(own))
-    return ids, starts
-
-
-def scan(texts: list[bytes], blocks: list) -> Iterator[tuple[int, np.ndarray, set[str], list[tuple[int, int, str]]]]:
+            low, high = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+            for j in range(level * self.pack, (level + 1) * self.pack):
+                open_end = behind[:, j] if len(known) else np.zeros(0, bool)
+                word = ids[:, j] if len(known) else np.zeros(0, np.int64)
+                low = low << self.bits | np.where(open_end, 0, word)
+                high = high << self.bits | np.where(open_end, (1 << self.bits) - 1, word)
+            new_lo = _search(column, lo, hi, low, False)
+            lo, hi = new_lo, _search(column, new_lo, hi, high, True)
+        found = lo < hi
+        return known[found], lo[found], hi[found]
+
+
+def scan(texts: list[bytes], blocks: list, window: int = WINDOW) -> Iterator[tuple[int, np.ndarray, set[str], list[tuple[int, int, str, int]]]]:
     """For each text: its number of words, which are hit, the items, and the maximal matches.
 
-    A match is (first word, number of words, item): verbatim, and not part of a longer one.
+    A match is (first word, number of words, item, first word in the item): verbatim, at least a window
+    long, and not part of a longer one.
     """
     words = [words_of(t) for t in texts]
-    hit = [np.zeros(len(w) + 1, np.int64) for w in words]
-    items: list[set[str]] = [set() for _ in words]
-    matches: list[list[tuple[int, int, str]]] = [[] for _ in words]
+    shard = Shard(words, window)
+    covered = np.zeros(len(shard.ids) + 1, np.int64)
+    matches: list[set[tuple[int, int, str, int]]] = [set() for _ in words]
     for block in blocks:
         tests: TestSet = block.value if hasattr(block, "value") else block
-        ids, starts = _layout(words, tests)
-        window, at = _shard_hits(ids, tests)
-        doc = np.searchsorted(starts, at, "right") - 1
-        inside = at - starts[doc]
-        pairs = np.unique(np.column_stack([doc, window]), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-        for d, w in pairs.tolist():
-            items[d].update(tests.names[i] for i in tests.owners[w])
-        for d in np.unique(doc).tolist():
-            own = doc == d
-            begin, length = inside[own], tests.lengths[window[own]]
-            np.add.at(hit[d], begin, 1)
-            np.add.at(hit[d], begin + length, -1)
-            open_: dict[str, tuple[int, int]] = {}
-            for b, n, w in sorted(zip(begin.tolist(), length.tolist(), window[own].tolist(), strict=True)):
-                for i in tests.owners[w]:
-                    name = tests.names[i]
-                    if name in open_ and b == open_[name][2]:
-                        open_[name] = (open_[name][0], b + n, b + 1)
-                        continue
-                    if name in open_:
-                        matches[d].append((open_[name][0], open_[name][1] - open_[name][0], name))
-                    open_[name] = (b, b + n, b + 1)
-            matches[d] += [(a, z - a, name) for name, (a, z, _) in open_.items()]
+        suffix, lo, hi = shard.find(tests)
+        places = tests.whole[suffix]
+        suffix, lo, sizes = suffix[places], lo[places], (hi - lo)[places]
+        at = shard.order[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)]
+        suffix = np.repeat(suffix, sizes)
+        length = tests.lengths[suffix]
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + length, -1)
+        # every place with each item that owns its suffix, in order of item, shift and place
+        n = (tests.owner_start[1:] - tests.owner_start[:-1])[suffix]
+        owner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(tests.owner_start[suffix], n)
+        at, length = np.repeat(at, n), np.repeat(length, n)
+        item, offset = tests.owner_item[owner], tests.owner_offset[owner]
+        order = np.lexsort((at, at - offset, item))
+        at, length, item, offset = at[order], length[order], item[order], offset[order]
+        if len(at):
+            follows = (item[1:] == item[:-1]) & (at[1:] == at[:-1] + 1) & (offset[1:] == offset[:-1] + 1)
+            begin = np.flatnonzero(np.r_[True, ~follows])
+            end = np.r_[begin[1:], len(at)] - 1
+            doc = np.searchsorted(shard.starts, at[begin], "right") - 1
+            for d, a, z, i, o in zip(doc.tolist(), at[begin].tolist(), (at + length)[end].tolist(), item[begin].tolist(), offset[begin].tolist(), strict=True):
+                matches[d].add((a - int(shard.starts[d]), z - a, tests.names[i], o))
         if len(blocks) > 1 and hasattr(block, "value"):
             block.__dict__.pop("_value", None)  # a worker holds one block at a time
-    for d, own in enumerate(words):
-        yield len(own), np.cumsum(hit[d][:-1]) > 0, items[d], sorted(matches[d])
+    hit = np.cumsum(covered) > 0
+    for own, start, found in zip(words, shard.starts.tolist(), matches, strict=False):
+        yield len(own), hit[start : start + len(own)], {m[2] for m in found}, sorted(found)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int) -> list:
@@ -229,29 +210,30 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, matches.
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, n_matches, matches.
 
     longest is the number of words of the longest verbatim match; matches holds every maximal match
-    as (start, n_words, item_id). The digest is of the items' ids, sorted and joined by commas.
+    as (start, n_words, item_id, item_start). The digest is of the items' ids, sorted and joined by commas.
     """
     prepare(docs.sparkSession)
     blocks = benchmark_blocks(benchmark, item_id, item_text, window)
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string())]))
+        names = ("start", "n_words", "item_id", "item_start")
+        match = pa.list_(pa.struct([(n, pa.string() if n == "item_id" else pa.int64()) for n in names]))
         for shard in shards(batches, "text", SHARD_BYTES):
             out = []
-            for n, hit, items, found in scan(text_bytes(shard, "text"), blocks):
+            for n, hit, items, found in scan(text_bytes(shard, "text"), blocks, window):
                 digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                out.append((n, int(hit.sum()), len(items), digest, bool(hit.any()), max((m[1] for m in found), default=0), [dict(zip(("start", "n_words", "item_id"), m, strict=True)) for m in found]))
+                out.append((n, int(hit.sum()), len(items), digest, bool(hit.any()), max((m[1] for m in found), default=0), len(found), [dict(zip(names, m, strict=True)) for m in found]))
             cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), match]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "matches"]
-            yield pa.RecordBatch.from_arrays([shard.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), match]
+            columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "n_matches", "matches"]
+            yield pa.RecordBatch.from_arrays([shard.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], columns)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, matches array<struct<start:long,n_words:long,item_id:string>>"
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, n_matches long, matches array<struct<start:long,n_words:long,item_id:string,item_start:long>>"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
 
 
@@ -264,7 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, f"c{at}", SHARD_BYTES):
-            clean = [not hit.any() for _, hit, _, _ in scan(text_bytes(shard, f"c{at}"), blocks)]
+            clean = [not hit.any() for _, hit, _, _ in scan(text_bytes(shard, f"c{at}"), blocks, window)]
             yield shard.filter(pa.array(clean, pa.bool_()))
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

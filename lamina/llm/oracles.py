@@ -6,18 +6,22 @@ _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWE
 
 OP1 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
-       FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS b, item, w FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL)),
+bw AS (SELECT b, item, i AS o, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
+       FROM (SELECT b, item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
        FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, lens WHERE len(w) >= n)),
-hits AS (SELECT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+hits AS (SELECT dw.r, dw.i, dw.n, bw.b, bw.item, bw.o FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+runs AS (SELECT DISTINCT r, item, min(i) AS s, max(i + n) - min(i) AS len, min(o) AS o
+         FROM (SELECT *, i - row_number() OVER (PARTITION BY r, b, i - o ORDER BY i) AS island FROM hits) GROUP BY r, b, item, i - o, island),
+longest AS (SELECT r, max(len) AS longest, count(*) AS n_matches FROM runs GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r)
 """
 
 OP3 = rf"""

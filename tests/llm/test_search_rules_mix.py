@@ -190,11 +190,54 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block):
     left = D.decontaminate(d, b)
     assert left.columns == d.columns and left.count() == sum(not r["contaminated"] for r in found)
     assert D.find_contamination(d, b.limit(0)).where("contaminated").count() == 0
+    few = D.find_contamination(spark.createDataFrame([(1, "alpha")], "doc_id long, text string"), spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
+    assert [(r["n_words"], r["longest"]) for r in few.collect()] == [(1, 0)]
     assert D.find_contamination(d.limit(0), b).count() == 0
 
 
+def found_in(texts, items, blocks=1, window=10):
+    cut = max(1, -(-len(items) // blocks))
+    sets = [D.TestSet([(n, D.words_of(t.encode())) for n, t in items[i : i + cut]], window) for i in range(0, len(items), cut)]
+    return list(D.scan([t.encode() for t in texts], sets, window))
+
+
 def test_longest_matches_and_places():
     item = " ".join(f"w{i}" for i in range(25))
-    tests = D.TestSet([("7", D.words_of(item.encode()))], 10)
-    [(n, hit, items, matches)] = list(D.scan([f"x {item} y w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 z".encode()], [tests]))
-    assert (n, int(hit.sum()), items) == (38, 35, {"7"}) and matches == [(1, 25, "7"), (27, 10, "7")]
+    [(n, hit, items, matches)] = found_in([f"x {item} y w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 z"], [("7", item)])
+    assert (n, int(hit.sum()), items) == (38, 35, {"7"}) and matches == [(1, 25, "7", 0), (27, 10, "7", 0)]
+
+
+def test_windows_that_only_adjoin_in_the_document_are_no_longer_match():
+    w = [f"w{i}" for i in range(11)]
+    [(n, hit, _, matches)] = found_in([" ".join(w)], [("a", " ".join([*w[:10], "x", *w[1:]]))])
+    assert (n, int(hit.sum())) == (11, 11) and matches == [(0, 10, "a", 0), (1, 10, "a", 11)]
+
+
+@pytest.mark.parametrize("doc,item", [("alpha", "alpha beta"), ("", "alpha"), ("alpha", "alpha"), ("a b", "b c d e f g h i j k l m"), ("a", "")])
+def test_shards_of_few_words(doc, item):
+    items = [("1", item)] if item else []
+    [(n, hit, found, _)] = found_in([doc], items)
+    assert n == len(doc.split()) and hit.tolist() == [w == item for w in doc.split()] and found == ({"1"} if doc == item else set())
+
+
+def test_matches_are_all_maximal_common_stretches():
+    rng = random.Random(3)
+    for trial in range(60):
+        window = rng.choice([2, 3, 10])
+        text = lambda n: [rng.choice("abc") for _ in range(n)]
+        docs, items = [text(rng.randrange(0, 40)) for _ in range(5)], [(str(i), text(rng.randrange(window, 30))) for i in range(4)]
+        docs[0][3:3] = items[0][1]
+        found = found_in([" ".join(d) for d in docs], [(n, " ".join(t)) for n, t in items], rng.choice([1, 3]), window)
+        for d, (_, _, _, matches) in zip(docs, found, strict=True):
+            want = set()
+            for name, t in items:
+                for i in range(len(d)):
+                    for j in range(len(t)):
+                        if i and j and d[i - 1] == t[j - 1]:
+                            continue
+                        n = 0
+                        while i + n < len(d) and j + n < len(t) and d[i + n] == t[j + n]:
+                            n += 1
+                        if n >= window:
+                            want.add((i, n, name, j))
+            assert set(matches) == want
