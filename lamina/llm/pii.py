@@ -35,21 +35,23 @@ from .common import by_value, lean, prepare
 by_value(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed values of the contract.
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Fixed values of the contract, in forms that take a time in proportion to the text: a match of IP can
+#: only begin where a group of digits does, and gives no digit back.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 CANDIDATE = re.compile(r"[+(]?[0-9][0-9\x20().-]{5,}[0-9]")
-AROUND_AT = re.compile(r"[^\s@<>()\[\]{},;:\"']+@[^\s@<>()\[\]{},;:\"']+")
+AT_CHARS = re.compile(r"[^\s@<>()\[\]{},;:\"']+")
+NO_AT_CHARS = frozenset("@<>()[]{},;:\"'")
 DIGIT = re.compile(r"[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: A candidate becomes a span from this marginal on.
 ADD_FROM = 0.9
-ROUNDS = 12
+#: Rounds of message passing at most; it ends once no message moves by SETTLED any more.
+ROUNDS, SETTLED = 60, 1e-4
 LABELS = 5  # none, and the kinds
 FEATURES = 16
 
@@ -75,6 +77,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _around_at(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of AT_CHARS on both sides of an @, leftmost first, from each @ outwards."""
+    at, free = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] not in NO_AT_CHARS and not text[start - 1].isspace():
+            start -= 1
+        if start < at and (m := AT_CHARS.match(text, at + 1)):
+            free = m.end()
+            yield start, free
+        at = text.find("@", max(at + 1, free))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of every base span, by kind and start."""
     out = []
@@ -100,7 +115,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     nodes = [(s, e, k + 1) for k, s, e in base]
     found = [m.span() for m in CANDIDATE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7] if DIGIT.search(text) else []
     if "@" in text:
-        found += [m.span() for m in AROUND_AT.finditer(text)]
+        found += list(_around_at(text))
     if found:
         taken = sorted((s, e) for _, s, e in base)
         begins = [s for s, _ in taken]
@@ -199,15 +214,22 @@ def marginals(field: Field, shapes: np.ndarray, observed: np.ndarray, chain: np.
         peak = out.max(1, keepdims=True)
         new = np.log(np.exp(out - peak).sum(1)) + peak[:, 0]
         new -= new.max(1, keepdims=True)
+        moved = np.abs(new - message).max()
         message = 0.5 * message + 0.5 * new
+        if moved < SETTLED:
+            break
     belief = score.copy()
     np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
-def train(texts: list[str], steps: int = 300) -> Field:
-    """Piecewise training on base labels; see the module's text."""
+def train(texts: list[str], steps: int = 300, agreements: float = 20.0) -> Field:
+    """Piecewise training on base labels; see the module's text.
+
+    agreements is the prior of the skip potential: so many pairs of mentions of one thing count as
+    agreeing, and one as not, before the sample speaks.
+    """
     rows, labels, pairs, links = [], [], [], []
     for text in texts:
         nodes = candidates(text, base_spans(text))
@@ -243,8 +265,8 @@ def train(texts: list[str], steps: int = 300) -> Field:
     for a, b in pairs:
         chain[a, b] += 1
     chain = np.log(chain / chain.sum()) - np.log(prior[:, None] * prior[None])
-    agree = sum(a == b for a, b in links) + 20.0  # mentions of one thing agree, unless the sample says otherwise
-    strength = float(np.log(agree / (len(links) - agree + 21.0) * (LABELS - 1)))
+    agree = sum(a == b for a, b in links)
+    strength = float(np.log((agree + agreements) / (len(links) - agree + 1.0) * (LABELS - 1)))
     return Field(w, np.clip(chain, -0.5, 0.5), np.eye(LABELS) * max(strength, 0.0))
 
 
@@ -291,7 +313,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def detect(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row; no shuffle."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every row; no shuffle."""
     sent = prepare(docs.sparkSession).sparkContext.broadcast(field)
 
     @lean
@@ -301,11 +323,12 @@ def detect(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "t
             counts = [pa.array([sum(k == kind for k, _, _ in b) for b, _ in found], pa.int64()) for kind in range(4)]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string())
             spans = pa.array([joined(every) for _, every in found], pa.string())
-            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans], names)
+            total = pa.array([len(every) for _, every in found], pa.int64())
+            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans, total], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -111,6 +113,84 @@ def test_base_spans(seed):
         assert pii.base_spans(t) == brute_spans(t)
 
 
+@pytest.mark.parametrize("piece", ["a", "1", "1.", "a@", "1 ", "+1", "1(", "@", "a.", "1.1.1", "a@b."])
+def test_long_unbroken_texts_take_linear_time(piece):
+    """A megabyte of one token, of digits, of dots between digits, of signs: seconds, not hours."""
+    text = piece * (1_000_000 // len(piece)) + " a@b.cc"
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    pii.candidates(text, base)
+    assert time.perf_counter() - began < 20
+
+
+AROUND = re.compile(r"[^\s@<>()\[\]{},;:\"']+@[^\s@<>()\[\]{},;:\"']+")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stretches_around_an_at(seed):
+    rng = random.Random(seed)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab@@.< ,") for _ in range(rng.randrange(30)))
+        assert list(pii._around_at(t)) == [m.span() for m in AROUND.finditer(t)]
+
+
+def enumerated(field, shapes, observed, chain, skip):
+    """Marginals by summing over all labellings."""
+    score, total = shapes @ field.unary, 0.0
+    out = np.zeros(score.shape)
+    for labels in itertools.product(range(pii.LABELS), repeat=len(score)):
+        if any(o >= 0 and o != y for o, y in zip(observed, labels, strict=True)):
+            continue
+        s = sum(score[i, y] for i, y in enumerate(labels) if observed[i] < 0)
+        s += sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+        total += np.exp(s)
+        for i, y in enumerate(labels):
+            out[i, y] += np.exp(s)
+    return out / total
+
+
+def test_messages_against_enumeration():
+    """Exact without loops; with skip edges over a chain the likeliest labels are the same."""
+    rng = np.random.default_rng(2)
+    same = 0
+    for trial in range(24):
+        field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)) * 0.5, rng.normal(size=(pii.LABELS, pii.LABELS)) * 0.3, np.eye(pii.LABELS) * 2)
+        shapes = rng.integers(0, 2, (5, pii.FEATURES)).astype(float)
+        observed = np.array([-1, 3, -1, -1, -1])
+        tree, loop = np.array([[0, 1], [1, 2], [2, 3], [3, 4]]), np.array([[0, 3], [1, 4]])
+        none = np.zeros((0, 2), np.int64)
+        assert np.abs(pii.marginals(field, shapes, observed, tree, none) - enumerated(field, shapes, observed, tree, none)).max() < 1e-3
+        assert np.abs(pii.marginals(field, shapes, observed, none, tree) - enumerated(field, shapes, observed, none, tree)).max() < 1e-3
+        got, want = pii.marginals(field, shapes, observed, tree, loop), enumerated(field, shapes, observed, tree, loop)
+        assert np.abs(got - want).max() < 0.2
+        same += (got.argmax(1) == want.argmax(1)).sum()
+    assert same >= 0.95 * 24 * 5
+
+
+def test_spans_recall_of_bare_mentions(spark):
+    """Mentions without the marks that the base needs, of what the text names elsewhere: most are found.
+
+    In every other text, numbers that nothing names are added; none of them may become a span.
+    """
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = pii.learn(docs)
+    texts = [r["text"] for r in docs.where("text LIKE '%+%' OR text LIKE '%@%'").orderBy("doc_id").collect()]
+    rng, found, asked, wrong = random.Random(1), 0, 0, 0
+    for i, text in enumerate(texts):
+        base = pii.base_spans(text)
+        bare = [(k, text[s:e].removeprefix("+1").strip()) for k, s, e in base if k == 3 and text[s:e].startswith("+1")]
+        if not bare:
+            continue
+        extra = [str(rng.randrange(10**9, 10**10)) for _ in range(i % 2)]
+        longer = text + " or " + " or ".join([b for _, b in bare] + extra)
+        [(_, every)] = pii.find_spans(field, [longer])
+        added = {(k, longer[s:e]) for k, s, e in every if s >= len(text)}
+        asked += len(bare)
+        found += sum(b in added for b in bare)
+        wrong += sum(x in extra for _, x in added)
+    assert asked > 50 and found >= 0.9 * asked and not wrong
+
+
 def test_skip_edges_carry_labels_to_bare_mentions():
     known = ["call +1 (743) 555-3824 now", "mail a.b@c.org or x@y.net", "card 4111 1111 1111 1111 ok", "at 10.0.0.1 or 300.1.1.1", "page 1234567 of 7654321"] * 30
     field = pii.train(known)
