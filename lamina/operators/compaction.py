@@ -48,6 +48,18 @@ def fold_operands(log: DataFrame, oldest_read: int, merge) -> DataFrame:
     return rest.unionByName(folded.select(*log.columns))
 
 
+def fold_untouched(log: DataFrame, oldest_read: int, merge, has_tombstones: bool) -> DataFrame:
+    """fold_operands() for the keys that no range tombstone of the log meets; the others stay as they are."""
+    if not has_tombstones:
+        return fold_operands(log, oldest_read, merge)
+    from .coverage import covering_seq
+
+    untouched = covering_seq(log).where("cov = 0").select("cf_id", "key")
+    points, tombstones = log.where(F.col("vt") != RANGE_TOMBSTONE), log.where(F.col("vt") == RANGE_TOMBSTONE)
+    folded = fold_operands(points.join(untouched, ["cf_id", "key"], "left_semi"), oldest_read, merge)
+    return folded.unionByName(points.join(untouched, ["cf_id", "key"], "left_anti")).unionByName(tombstones)
+
+
 def retained(files: DataFrame, max_bytes: int) -> DataFrame:
     """FIFO: the newest files whose sizes fit max_bytes together. Drops live data by design."""
     upward = Window.orderBy(F.desc("file_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

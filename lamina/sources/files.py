@@ -2,7 +2,8 @@
 
 write_new() creates a file with its whole content or not at all, and never replaces one: the base of
 atomic commits. Locally a finished temporary file is linked to its name; elsewhere it is renamed by
-a call that fails if the name is taken.
+a call that fails if the name is taken. That call must be atomic, as it is on HDFS; most object stores
+do not offer it, so a store with several writers can't live on one.
 """
 
 from __future__ import annotations
@@ -40,6 +41,11 @@ class LocalFiles:
                 os.link(spare, self.path(name))
             except FileExistsError:
                 return False
+            folder = os.open(os.path.dirname(spare), os.O_RDONLY)
+            try:
+                os.fsync(folder)  # the name lasts as the content does
+            finally:
+                os.close(folder)
             return True
         except OSError as e:
             raise StoreIOError(str(e)) from e
@@ -56,6 +62,9 @@ class LocalFiles:
         top = self.path(name)
         return sorted(os.path.relpath(os.path.join(d, f), top) for d, _, fs in os.walk(top) for f in fs)
 
+    def exists(self, name: str) -> bool:
+        return os.path.exists(self.path(name))
+
     def size(self, name: str) -> int:
         return os.path.getsize(self.path(name))
 
@@ -114,7 +123,10 @@ class HadoopFiles:
             raise StoreIOError(str(e)) from e
 
     def read(self, name: str) -> bytes:
-        stream = self._fs.open(self._p(name))
+        try:
+            stream = self._fs.open(self._p(name))
+        except Exception as e:
+            raise FileNotFoundError(name) from e
         try:
             return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
@@ -129,6 +141,9 @@ class HadoopFiles:
             out.append(self._fs.makeQualified(files.next().getPath()).toString()[base:])
         return sorted(out)
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._p(name))
+
     def size(self, name: str) -> int:
         return self._fs.getFileStatus(self._p(name)).getLen()
 

@@ -23,13 +23,13 @@ def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(RECORD).parquet(*paths)
 
 
-def write_segments(records: DataFrame, files, n_files: int, options: Options, families: dict[int, str]) -> list[dict]:
+def write_segments(records: DataFrame, files, n_files: int, options: Options, families: dict[int, str], folder: str | None = None) -> list[dict]:
     """Write records as n_files sorted files of disjoint key ranges and return what is known of each.
 
     All versions of a key are in one file. The catalog of families goes beside the files, so that a
     store can be rebuilt from its segments alone.
     """
-    folder = f"data/{uuid.uuid4().hex}"
+    folder = folder or f"data/{uuid.uuid4().hex}"
     writer = (
         records.select(*RECORD_COLUMNS)
         .repartitionByRange(max(1, n_files), "cf_id", "key")
@@ -37,7 +37,10 @@ def write_segments(records: DataFrame, files, n_files: int, options: Options, fa
         .write.option("compression", options.compression.value if isinstance(options.compression, Compression) else options.compression)
     )
     if options.bloom_bits_per_key:
-        writer = writer.option("parquet.bloom.filter.enabled#key", "true")
+        ndv = 1 << 20  # a file splits long before it has more keys
+        fpp = max(1e-6, min(0.5, 0.6185**options.bloom_bits_per_key))  # of an optimal filter with so many bits a key
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer = writer.option("parquet.bloom.filter.fpp#key", str(fpp)).option("parquet.bloom.filter.expected.ndv#key", str(ndv))
     writer.parquet(files.spark_path(folder))
     files.write_new(f"{folder}/_segment.json", json.dumps({"families": sorted(families.items())}).encode())
     names = [f"{folder}/{n}" for n in files.list(folder) if n.endswith(".parquet")]

@@ -113,13 +113,16 @@ class TxLog:
             raise CorruptError(f"{name} is not whole") from e
 
     def state(self, known: State | None = None) -> State:
-        """The newest state; only commits after a known one are read."""
+        """The newest state. From a known one, only the commits that follow it are looked for."""
+        if known is not None:
+            state = copy.deepcopy(known)
+            while self._files.exists(self._name(state.version + 1)):
+                state.apply(state.version + 1, self._read(self._name(state.version + 1)))
+            return state
         names = [n for n in self._files.list("_log") if n.endswith(".json") and not n.startswith(".")]
         commits = sorted(int(n[:20]) for n in names if n.endswith(".commit.json"))
         points = [int(n[:20]) for n in names if n.endswith(".state.json")]
-        state = copy.deepcopy(known) if known is not None else State()
-        if points and max(points) > state.version:
-            state = State.from_json(self._read(self._name(max(points), "state")))
+        state = State.from_json(self._read(self._name(max(points), "state"))) if points else State()
         for version in commits:
             if version > state.version:
                 if version != state.version + 1:

@@ -8,9 +8,12 @@ with, whatever later compactions do, until vacuum().
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections import deque
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from enum import Enum
 
@@ -101,8 +104,20 @@ class Transaction:
         self._store, self._batch = store, WriteBatch(compat=store.options.compat)
         self.snapshot = store.snapshot()
         self._reads: set[tuple[int, bytes]] = set()
+        self._ranges: list[tuple[int, bytes, bytes]] = []
         self.sync: bool | None = None
 
+    def set_write_options(self, sync: bool | None = None) -> None:
+        """How the commit is written; None is the store's own setting."""
+        self.sync = sync
+
+    def scan(self, keys: KeyRange, cf: ColumnFamily | int = DEFAULT) -> DataFrame:
+        """key, val of a range with both bounds at the snapshot; what then changes in it is a conflict."""
+        held = keys.normalised()
+        if held is not None:
+            self._ranges.append((_number(cf), *held))
+        return self._store.scan(keys, cf, as_of=self.snapshot)
+
     def get(self, key: bytes, cf: ColumnFamily | int = DEFAULT) -> bytes | None:
         self._reads.add((_number(cf), key))
         return self._store.get(key, cf, as_of=self.snapshot)
@@ -121,7 +136,7 @@ class Transaction:
 
     def commit(self) -> None:
         keys = self._reads | {(op[0], op[2]) for op in self._batch.ops}
-        ranges = [(op[0], op[2], op[4]) for op in self._batch.ops if op[1] == RANGE_TOMBSTONE]
+        ranges = self._ranges + [(op[0], op[2], op[4]) for op in self._batch.ops if op[1] == RANGE_TOMBSTONE]
         self._store._write(self._batch, self.sync, lambda state: self._store._check(state, self.snapshot, keys, ranges))
 
 
@@ -174,6 +189,8 @@ class KVStore:
             self._event("stall", reason)
             if self.options.auto_compact:
                 self.compact()
+            else:
+                self._wait_for_compaction()
         if not batch.ops:
             if check:
                 self.refresh()
@@ -190,6 +207,15 @@ class KVStore:
             if self.options.auto_compact:
                 self.compact()
 
+    def _wait_for_compaction(self) -> None:
+        """Wait for another handle to compact, at most stall_wait_seconds."""
+        end = time.monotonic() + self.options.stall_wait_seconds
+        while time.monotonic() < end:
+            time.sleep(min(0.05, self.options.stall_wait_seconds))
+            self.refresh()
+            if not self.stall_reason():
+                return
+
     def _commit_ops(self, ops: list[Op], check: Callable[[State], None] | None = None) -> None:
         """Waiting operations go first, in a commit of their own."""
         if self._waiting:
@@ -240,8 +266,8 @@ class KVStore:
         vt = F.when(F.col("op") == "put", VALUE).when(F.col("op") == "delete", TOMBSTONE).when(F.col("op") == "delete_range", RANGE_TOMBSTONE).when(F.col("op") == "merge", MERGE_OPERAND)
         rows = ops.select("ord", F.col("cf_id").cast("int").alias("cf_id"), "key", vt.cast("byte").alias("vt"), F.coalesce("value", F.lit(b"")).alias("val"), "end_key")
         rows = rows.where(F.col("vt").isNull() | (F.col("vt") != RANGE_TOMBSTONE) | (F.col("key") < F.col("end_key")))
-        staged = self._stage(rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("_at", F.monotonically_increasing_id()))
-        try:
+        with self._staging() as stage:
+            staged = stage(rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("_at", F.monotonically_increasing_id()))
             part = F.shiftright("_at", 33).alias("part")
             facts = staged.groupBy(part).agg(F.count("*").alias("n"), F.count_if(F.col("vt").isin(VALUE, MERGE_OPERAND)).alias("puts"), F.collect_set("cf_id").alias("cfs"), F.count_if(F.col("vt").isNull()).alias("bad")).collect()
             if any(r["bad"] for r in facts):
@@ -259,35 +285,64 @@ class KVStore:
             for p in sorted(counts):
                 offsets[p] = before - (p << 33)
                 before += counts[p]
-            shift = F.element_at(F.create_map(*[F.lit(x) for p in sorted(offsets) for x in (p, offsets[p])]), F.shiftright("_at", 33))
             while True:
                 start = self._state.last_seq + 1
-                numbered = staged.withColumn("seq", F.lit(start) + F.col("_at") + shift)
-                metas = write_segments(numbered, self._files, max(1, staged.rdd.getNumPartitions()), self.options, self._state.families)
-                self.fault("ops:after_data")
-                entry = {
-                    "add": self._numbered(metas, 0),
-                    "last_seq": start + total - 1,
-                    "counters": {"puts": puts, "deletes": total - puts, "write_batches": 1},
-                }
-                if applied:
-                    entry["applied"] = {applied[0]: applied[1]}
-                after = self._log.commit(self._state, entry)
+                numbered = self._shifted(staged, offsets).withColumn("seq", F.lit(start) + F.col("_at"))
+                with self._in_flight() as folder:
+                    metas = write_segments(numbered, self._files, max(1, staged.rdd.getNumPartitions()), self.options, self._state.families, folder)
+                    self.fault("ops:after_data")
+                    entry = {
+                        "add": self._numbered(metas, 0),
+                        "last_seq": start + total - 1,
+                        "counters": {"puts": puts, "deletes": total - puts, "write_batches": 1},
+                    }
+                    if applied:
+                        entry["applied"] = {applied[0]: applied[1]}
+                    after = self._log.commit(self._state, entry)
                 if after is not None:
                     self._state = after
                     break
                 self.refresh()  # another writer took these numbers: the segment is left to vacuum()
                 if applied and self._state.applied.get(applied[0], -1) >= applied[1]:
                     return
-        finally:
-            self._files.delete("_staging")
         if self.options.auto_compact:
             self.compact()
 
-    def _stage(self, df: DataFrame) -> DataFrame:
-        path = self._files.spark_path(f"_staging/{time.time_ns()}")
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    @contextmanager
+    def _staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A folder of this write alone for tables between its steps, deleted at its end."""
+        folder = f"_staging/{uuid.uuid4().hex}"
+
+        def stage(df: DataFrame) -> DataFrame:
+            path = self._files.spark_path(f"{folder}/{uuid.uuid4().hex}")
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield stage
+        finally:
+            self._files.delete(folder)
+
+    @contextmanager
+    def _in_flight(self) -> Iterator[str]:
+        """A folder for data files that no commit names yet; vacuum() leaves it alone until this ends.
+
+        The mark is there before the first file, and goes only after the commit. A writer that dies
+        leaves its mark behind; vacuum() heeds it for a while.
+        """
+        name = uuid.uuid4().hex
+        self._files.make("_inflight")
+        self._files.write_new(f"_inflight/{name}.json", json.dumps({"folder": f"data/{name}", "at": self._clock()}).encode())
+        try:
+            yield f"data/{name}"
+        finally:  # the files stay even after an error: a commit that raised may yet be in the log
+            self._files.delete(f"_inflight/{name}.json")
+
+    def _shifted(self, placed: DataFrame, offsets: dict[int, int]) -> DataFrame:
+        """placed with _at moved by its partition's offset; one row a partition is broadcast."""
+        by_part = self.spark.createDataFrame(sorted(offsets.items()), "_part long, _offset long")
+        moved = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(by_part), "_part")
+        return moved.withColumn("_at", F.col("_at") + F.col("_offset")).drop("_part", "_offset")
 
     # --- reads ---------------------------------------------------------------------------------
 
@@ -302,14 +357,19 @@ class KVStore:
 
     def pin(self, seq: int) -> None:
         """Keep every version that a read as of seq needs."""
-        self._readable(seq)
-        self._commit(lambda state: {"pinned": sorted({*state.pinned, seq})})
+
+        def entry(state: State) -> dict:
+            self._readable(seq, state)  # a compaction may have come in between
+            return {"pinned": sorted({*state.pinned, seq})}
+
+        self._commit(entry)
 
     def unpin(self, seq: int) -> None:
         self._commit(lambda state: {"pinned": [p for p in state.pinned if p != seq]})
 
-    def _readable(self, as_of: int | None) -> None:
-        if as_of is not None and as_of < self._state.compacted_through and as_of not in self._state.pinned:
+    def _readable(self, as_of: int | None, state: State | None = None) -> None:
+        state = state or self._state
+        if as_of is not None and as_of < state.compacted_through and as_of not in state.pinned:
             raise InvalidArgument(f"versions as of {as_of} may be compacted away; pin a snapshot to keep it")
 
     def _buffered(self, state: State) -> list[tuple]:
@@ -328,23 +388,30 @@ class KVStore:
 
     def raw_log(self, as_of: int | None = None, key_range: KeyRange | None = None, cf_id: int | None = None) -> DataFrame:
         """The records themselves, from segments and from batches not flushed."""
+        return self._log_of(self._live(as_of, key_range, cf_id), self._buffered(self._state))
+
+    def _log_of(self, files: list[dict], rows: list[tuple]) -> DataFrame:
         self._open()
-        files = self._live(as_of, key_range, cf_id)
         out = read_segments(self.spark, [self._files.spark_path(m["path"]) for m in files])
-        rows = self._buffered(self._state)
         return out.unionByName(self.spark.createDataFrame(rows, RECORD)) if rows else out
 
+    @staticmethod
+    def _holds(files: list[dict], rows: list[tuple]) -> dict[str, bool]:
+        """What resolve() has to look for, by the files' statistics and the batches' records."""
+        return {
+            "has_tombstones": any(m["n_range_tombstones"] for m in files) or any(r[3] == RANGE_TOMBSTONE for r in rows),
+            "has_operands": any(m["n_operands"] for m in files) or any(r[3] == MERGE_OPERAND for r in rows),
+        }
+
     def scan(self, key_range: KeyRange | None = None, cf: ColumnFamily | int = DEFAULT, as_of: int | None = None, ttl_now: int | None = None) -> DataFrame:
         """key, val of the visible keys in a range; order by key where order matters (see iterate)."""
         self._readable(as_of)
         n = _number(cf)
         files, rows = self._live(as_of, key_range, n), self._buffered(self._state)
-        log = self.raw_log(as_of, key_range, n)
+        log = self._log_of(files, rows)
         if ttl_now is not None:
             log = compaction.expire(log, ttl_now)
-        tombstones = any(m["n_range_tombstones"] for m in files) or any(r[3] == RANGE_TOMBSTONE for r in rows)
-        operands = any(m["n_operands"] for m in files) or any(r[3] == MERGE_OPERAND for r in rows)
-        return resolve(log, as_of, key_range, n, self.options.merge_operator, tombstones, operands).select("key", "val")
+        return resolve(log, as_of, key_range, n, self.options.merge_operator, **self._holds(files, rows)).select("key", "val")
 
     def iterate(self, key_range: KeyRange | None = None, cf: ColumnFamily | int = DEFAULT, as_of: int | None = None) -> Iterable[tuple[bytes, bytes]]:
         """(key, value) in key order; partitions come to the driver one at a time."""
@@ -358,10 +425,13 @@ class KVStore:
     def multi_get(self, keys: DataFrame, as_of: int | None = None) -> DataFrame:
         """keys (cf_id, key) with their values; null where absent."""
         self._readable(as_of)
-        log = self.raw_log(as_of)
         wanted = keys.select("cf_id", "key").distinct()
+        ends = wanted.agg(F.min(F.struct("cf_id", "key")).alias("lo"), F.max(F.struct("cf_id", "key")).alias("hi")).first()
+        lo, hi = (physical_key(e["cf_id"], bytes(e["key"])) if e else b"" for e in ends)
+        files, rows = [m for m in self._live(as_of, None, None) if m["max_key"] >= lo and m["min_key"] <= hi], self._buffered(self._state)
+        log = self._log_of(files, rows)
         points = log.where(F.col("vt") != RANGE_TOMBSTONE).join(wanted, ["cf_id", "key"], "left_semi")
-        found = resolve(points.unionByName(log.where(F.col("vt") == RANGE_TOMBSTONE)), as_of, merge=self.options.merge_operator)
+        found = resolve(points.unionByName(log.where(F.col("vt") == RANGE_TOMBSTONE)), as_of, merge=self.options.merge_operator, **self._holds(files, rows))
         return multi_get(found, keys)
 
     def latest_seq(self) -> DataFrame:
@@ -448,10 +518,11 @@ class KVStore:
         while self._state.inline:
             rows = self._buffered_only(self._state)
             through = max(r[2] for r in rows)
-            metas = write_segments(self.spark.createDataFrame(rows, RECORD), self._files, 1, self.options, self._state.families)
-            self.fault("flush:after_data")
-            entry = {"add": self._numbered(metas, 0), "flushed_through": through, "counters": {"flushes": 1}}
-            after = self._log.commit(self._state, entry)
+            with self._in_flight() as folder:
+                metas = write_segments(self.spark.createDataFrame(rows, RECORD), self._files, 1, self.options, self._state.families, folder)
+                self.fault("flush:after_data")
+                entry = {"add": self._numbered(metas, 0), "flushed_through": through, "counters": {"flushes": 1}}
+                after = self._log.commit(self._state, entry)
             if after is not None:
                 self._state = after
                 self._event("flush", f"{len(rows)} records")
@@ -477,48 +548,76 @@ class KVStore:
             self._run("merge", files, level, now_micros)
 
     def _run(self, kind: str, inputs: list[dict], level: int, now_micros: int | None) -> None:
+        gone = [m["path"] for m in inputs]
+        while not any(p not in self._state.files for p in gone):  # else another writer's compaction stands
+            pinned = set(self._state.pinned)
+            with self._in_flight() as folder:
+                entry = self._rewritten(kind, inputs, level, now_micros, folder)
+                while True:
+                    after = self._log.commit(self._state, entry)
+                    if after is not None:
+                        self._state = after
+                        self._event({"drop": "fifo_drop", "move": "trivial_move"}.get(kind, "compaction"), f"{len(gone)} files to level {level}")
+                        return
+                    self.refresh()
+                    if any(p not in self._state.files for p in gone) or set(self._state.pinned) - pinned:
+                        break  # a snapshot pinned meanwhile may need what the rewrite has dropped
+                    if kind == "merge":
+                        entry = entry | {"add": self._numbered(entry["add"], level)}
+
+    def _rewritten(self, kind: str, inputs: list[dict], level: int, now_micros: int | None, folder: str) -> dict:
+        """The commit that replaces the inputs; for a merge, the new segments are written into folder."""
         gone = [m["path"] for m in inputs]
         if kind == "drop":
-            entry = {"remove": gone, "compacted_through": max(m["max_seq"] for m in inputs), "counters": {"compactions": 1}}
-        elif kind == "move":
-            entry = {"remove": gone, "add": [inputs[0] | {"level": level}], "counters": {"trivial_moves": 1}}
-        else:
-            log = read_segments(self.spark, [self._files.spark_path(p) for p in gone])
-            if self.options.ttl_filter_from_value_prefix_micros:
-                log = compaction.expire(log, int(self._clock() * 1e6) if now_micros is None else now_micros)
-            if self.options.drop_obsolete_versions_during_compaction:
-                log = compaction.keep_needed(log, self._state.pinned)
-            limit = max(1, compaction.level_target(self.options, level) // 2) if level else 2**62
-            n = max(1, sum(m["file_size"] for m in inputs) // limit)
-            metas = write_segments(log, self._files, n, self.options, self._state.families)
-            self.fault("compaction:after_data")
-            dropped = self.options.drop_obsolete_versions_during_compaction or self.options.ttl_filter_from_value_prefix_micros
-            entry = {
-                "remove": gone,
-                "add": self._numbered(metas, level),
-                "counters": {"compactions": 1},
-                "compacted_through": max(m["max_seq"] for m in inputs) if dropped else 0,
-            }
-        while True:
-            after = self._log.commit(self._state, entry)
-            if after is not None:
-                self._state = after
-                break
-            self.refresh()
-            if any(p not in self._state.files for p in gone):
-                return  # another writer has compacted these; its result stands
-            if kind == "merge":
-                entry = entry | {"add": self._numbered(entry["add"], level)}
-        self._event({"drop": "fifo_drop", "move": "trivial_move"}.get(kind, "compaction"), f"{len(gone)} files to level {level}")
-
-    def vacuum(self) -> list[str]:
-        """Delete files that the newest state does not refer to; older DataFrames may lose theirs."""
+            return {"remove": gone, "compacted_through": max(m["max_seq"] for m in inputs), "counters": {"compactions": 1}}
+        if kind == "move":
+            return {"remove": gone, "add": [inputs[0] | {"level": level}], "counters": {"trivial_moves": 1}}
+        log = read_segments(self.spark, [self._files.spark_path(p) for p in gone])
+        if self.options.ttl_filter_from_value_prefix_micros:
+            log = compaction.expire(log, int(self._clock() * 1e6) if now_micros is None else now_micros)
+        dropped = self.options.drop_obsolete_versions_during_compaction
+        if dropped:
+            log = compaction.keep_needed(log, self._state.pinned)
+            if len(gone) == len(self._state.files) and any(m["n_operands"] for m in inputs):
+                # nothing older lies elsewhere: operands become values, or they would grow for ever
+                tombstones = any(m["n_range_tombstones"] for m in inputs)
+                log = compaction.fold_untouched(log, min(self._state.pinned, default=2**62), self.options.merge_operator, tombstones)
+        limit = max(1, compaction.level_target(self.options, level) // 2) if level else 2**62
+        n = max(1, sum(m["file_size"] for m in inputs) // limit)
+        metas = write_segments(log, self._files, n, self.options, self._state.families, folder)
+        self.fault("compaction:after_data")
+        return {
+            "remove": gone,
+            "add": self._numbered(metas, level),
+            "counters": {"compactions": 1},
+            "compacted_through": max(m["max_seq"] for m in inputs) if dropped or self.options.ttl_filter_from_value_prefix_micros else 0,
+        }
+
+    def vacuum(self, heed_marks_for: float = 7 * 86400.0) -> list[str]:
+        """Delete files that the newest state does not refer to; older DataFrames may lose theirs.
+
+        What a write has in flight stays. The order makes this safe: files are listed first, then the
+        marks of writes in flight, then the state; a write that ended in between is in the state. Marks
+        older than heed_marks_for seconds are those of writers that died.
+        """
         self._open()
+        found = [f"data/{n}" for n in self._files.list("data")]
+        busy = set()
+        for name in self._files.list("_inflight"):
+            if not name.endswith(".json"):
+                continue
+            try:
+                mark = json.loads(self._files.read(f"_inflight/{name}"))
+            except FileNotFoundError:
+                continue  # that write has just ended
+            if mark["at"] >= self._clock() - heed_marks_for:
+                busy.add(mark["folder"])
+            else:
+                self._files.delete(f"_inflight/{name}")
         self.refresh()
         live = {m["path"] for m in self._state.files.values()}
         folders = {p.rsplit("/", 1)[0] for p in live}
-        found = [f"data/{n}" for n in self._files.list("data")]
-        gone = [n for n in found if n not in live and not (n.rsplit("/", 1)[0] in folders and not n.endswith(".parquet"))]
+        gone = [n for n in found if n not in live and n.rsplit("/", 1)[0] not in busy and not (n.rsplit("/", 1)[0] in folders and not n.endswith(".parquet"))]
         for name in gone:
             self._files.delete(name)
         for name in self._files.list("_log"):
@@ -532,38 +631,45 @@ class KVStore:
         """Add segment files written elsewhere to L0, with their own sequence numbers or new ones."""
         self._open()
         self.sync()
-        names = []
-        for i, source in enumerate(paths):
-            name = f"data/ingest-{time.time_ns()}-{i}/{source.rsplit('/', 1)[-1]}"
-            self._files.copy_in(source, name, move)
-            names.append(name)
-        metas = describe(self.spark, self._files, names)
-        self.fault("ingest:after_data")
-        if reassign_seq:
-            log = read_segments(self.spark, [self._files.spark_path(n) for n in names])
-            rank = log.select("seq").distinct().orderBy("seq").withColumn("_at", F.monotonically_increasing_id())
-            ranked = self._stage(rank)
-            parts = {r[0]: r[1] for r in ranked.groupBy(F.shiftright("_at", 33)).count().collect()}
-            before, offsets = 0, {}
-            for p in sorted(parts):
-                offsets[p] = before - (p << 33)
-                before += parts[p]
-            if offsets:
-                shift = F.element_at(F.create_map(*[F.lit(x) for p in sorted(offsets) for x in (p, offsets[p])]), F.shiftright("_at", 33))
-                fresh = ranked.select(F.col("seq").alias("_old"), (F.lit(self._state.last_seq + 1) + F.col("_at") + shift).alias("_new"))
-                log = log.join(fresh, log["seq"] == fresh["_old"]).withColumn("seq", F.col("_new")).select(*RECORD_COLUMNS)
-                metas = write_segments(log, self._files, len(names), self.options, self._state.families)
-            self._files.delete("_staging")
         added: list[dict] = []
+        with self._in_flight() as folder, self._staging() as stage:
+            names = []
+            for i, source in enumerate(paths):
+                name = f"{folder}/{i}-{source.rsplit('/', 1)[-1]}"
+                self._files.copy_in(source, name, move)
+                names.append(name)
+            metas = describe(self.spark, self._files, names)
+            self.fault("ingest:after_data")
+            ranked = self._renumbered(names, stage) if reassign_seq and metas else None
+
+            def entry(state: State) -> dict:
+                mine = metas
+                if ranked is not None:
+                    mine = self._write_renumbered(names, *ranked, state.last_seq, folder)
+                added[:] = self._numbered(mine, 0, state.next_file_id)
+                return {"add": added, "last_seq": max((m["max_seq"] for m in mine), default=0)}
 
-        def entry(state: State) -> dict:
-            added[:] = self._numbered(metas, 0, state.next_file_id)
-            return {"add": added, "last_seq": max((m["max_seq"] for m in metas), default=0)}
-
-        self._commit(entry)
-        self._event("ingest", f"{len(metas)} files")
+            self._commit(entry)
+        self._event("ingest", f"{len(added)} files")
         return [m["file_id"] for m in added]
 
+    def _renumbered(self, names: list[str], stage: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[int, int]]:
+        """The distinct sequence numbers of some files in order (seq, _at), and each partition's offset."""
+        log = read_segments(self.spark, [self._files.spark_path(n) for n in names])
+        ranked = stage(log.select("seq").distinct().orderBy("seq").withColumn("_at", F.monotonically_increasing_id()))
+        parts = {r[0]: r[1] for r in ranked.groupBy(F.shiftright("_at", 33)).count().collect()}
+        before, offsets = 0, {}
+        for p in sorted(parts):
+            offsets[p] = before - (p << 33)
+            before += parts[p]
+        return ranked, offsets
+
+    def _write_renumbered(self, names: list[str], ranked: DataFrame, offsets: dict[int, int], last_seq: int, folder: str) -> list[dict]:
+        log = read_segments(self.spark, [self._files.spark_path(n) for n in names])
+        fresh = self._shifted(ranked, offsets).select(F.col("seq").alias("_old"), (F.lit(last_seq + 1) + F.col("_at")).alias("_new"))
+        log = log.join(fresh, log["seq"] == fresh["_old"]).withColumn("seq", F.col("_new")).select(*RECORD_COLUMNS)
+        return write_segments(log, self._files, len(names), self.options, self._state.families, f"{folder}/{uuid.uuid4().hex}")
+
     def create_checkpoint(self, path: str) -> None:
         """A store of its own with the same content; the folder must be empty."""
         self._open()
@@ -575,8 +681,6 @@ class KVStore:
         for m in self._state.files.values():
             there.copy_in(self._files.path(m["path"]), m["path"])
         there.make("_log")
-        import json
-
         there.write_new(f"_log/{self._state.version:020d}.state.json", json.dumps(self._state.to_json()).encode())
         self._event("checkpoint", path)
 

@@ -5,7 +5,7 @@ import threading
 
 import pytest
 
-from lamina.errors import InvalidArgument, StoreError
+from lamina.errors import InvalidArgument, StoreError, StoreIOError
 from lamina.records import Bound, CompactionStyle, Compression, KeyRange, Options
 from lamina.sources.repair import repair
 from lamina.store import KVStore, RateLimiter, WriteBatch
@@ -359,3 +359,245 @@ def test_a_crash_leaves_one_version_or_the_next(spark, tmp_path, step):
     after.put(b"later", b"1")
     after.vacuum()
     assert items(KVStore(spark, str(tmp_path)))[b"later"] == b"1"
+
+
+OPS = "ord long, cf_id int, op string, key binary, value binary, end_key binary"
+
+
+def puts(spark, name, n=20):
+    return spark.createDataFrame([(i, 0, "put", f"{name}{i}".encode(), b"x", None) for i in range(n)], OPS)
+
+
+def at_step(db, step, action):
+    """Run action once when db reaches the step."""
+    left = [action]
+
+    def fault(at):
+        if at == step and left:
+            left.pop()()
+
+    db.fault = db._log.fault = fault
+
+
+@pytest.mark.parametrize("step", ("ops:after_data", "flush:after_data", "ingest:after_data", "compaction:after_data"))
+def test_a_vacuum_leaves_what_another_writer_has_in_flight(spark, tmp_path, step):
+    a, b = (KVStore(spark, str(tmp_path / "db")) for _ in range(2))
+    a.put(b"k", b"1")
+    if step.startswith("compaction"):
+        a.flush()
+    other = KVStore(spark, str(tmp_path / "other"))
+    other.put(b"o", b"1")
+    other.flush()
+    at_step(a, step, b.vacuum)
+    if step.startswith("ops"):
+        a.write_ops(puts(spark, "a"))
+    elif step.startswith("flush"):
+        a.flush()
+    elif step.startswith("ingest"):
+        a.ingest([f"{tmp_path}/other/{r['path']}" for r in other.files().collect()], reassign_seq=True)
+    else:
+        a.compact_all()
+    want = {b"k": b"1"} | ({f"a{i}".encode(): b"x" for i in range(20)} if step.startswith("ops") else {}) | ({b"o": b"1"} if step.startswith("ingest") else {})
+    assert items(KVStore(spark, str(tmp_path / "db"))) == want
+    assert not [n for n in a._files.list("_inflight") + a._files.list("_staging")]
+
+
+def test_two_write_ops_side_by_side_both_end(spark, tmp_path):
+    a, b = (KVStore(spark, str(tmp_path)) for _ in range(2))
+    at_step(a, "ops:after_data", lambda: b.write_ops(puts(spark, "b")))
+    a.write_ops(puts(spark, "a"))
+    db = KVStore(spark, str(tmp_path))
+    assert len(items(db)) == 40 and sorted(r["seq"] for r in db.raw_log().collect()) == list(range(1, 41))
+
+
+def test_an_ingest_beside_a_write_keeps_its_numbers_apart(spark, tmp_path):
+    other = KVStore(spark, str(tmp_path / "other"))
+    other.put(b"k", b"theirs")
+    other.flush()
+    a, b = (KVStore(spark, str(tmp_path / "db")) for _ in range(2))
+    at_step(a, "commit:before", lambda: b.put(b"k", b"mine"))
+    a.ingest([f"{tmp_path}/other/{r['path']}" for r in other.files().collect()], reassign_seq=True)
+    db = KVStore(spark, str(tmp_path / "db"))
+    assert sorted(r["seq"] for r in db.raw_log().collect()) == [1, 2] and items(db) == {b"k": b"theirs"}
+
+
+def test_a_pin_taken_during_a_compaction_holds(spark, tmp_path):
+    a = KVStore(spark, str(tmp_path))
+    a.put(b"k", b"1")
+    seen = a.snapshot()
+    a.put(b"k", b"2")
+    a.flush()
+    b = KVStore(spark, str(tmp_path))
+    at_step(a, "compaction:after_data", lambda: b.pin(seen))
+    a.compact_all()
+    for db in (a, b, KVStore(spark, str(tmp_path))):
+        db.refresh()
+        assert db.get(b"k", as_of=seen) == b"1" and db.get(b"k") == b"2"
+
+
+def test_a_pin_behind_a_compaction_is_refused(spark, tmp_path):
+    a = KVStore(spark, str(tmp_path))
+    a.put(b"k", b"1")
+    seen = a.snapshot()
+    a.put(b"k", b"2")
+    b = KVStore(spark, str(tmp_path))
+    a.compact_all()
+    with pytest.raises(InvalidArgument):
+        b.pin(seen)
+
+
+def test_vacuum_deletes_what_nobody_needs(spark, tmp_path):
+    db = KVStore(spark, str(tmp_path))
+    db.put(b"k", b"1")
+    db.flush()
+    db.put(b"k", b"2")
+    db.compact_all()
+    assert len([n for n in db.vacuum() if n.endswith(".parquet")]) == 2
+    (tmp_path / "data" / "dead").mkdir()
+    (tmp_path / "data" / "dead" / "x.parquet").write_bytes(b"")
+    (tmp_path / "_inflight" / "dead.json").write_text('{"folder": "data/dead", "at": 5}')
+    assert db.vacuum(heed_marks_for=1e12) == [] and db.vacuum() == ["data/dead/x.parquet"]
+    assert db._files.list("_inflight") == [] and items(db) == {b"k": b"2"}
+
+
+def test_operands_are_folded_by_a_whole_compaction(spark, tmp_path):
+    db = KVStore(spark, str(tmp_path), Options(merge_operator="sum"))
+    for i in range(6):
+        db.merge(b"a", str(i).encode())
+        db.merge(b"c", b"1")
+    db.delete_range(KeyRange.half_open(b"c", b"d"))
+    db.merge(b"c", b"5")
+    pinned = db.snapshot()
+    db.pin(pinned)
+    db.merge(b"a", b"10")
+    before = items(db), items(db, as_of=pinned)
+    db.compact_all()
+    assert (items(db), items(db, as_of=pinned)) == before == ({b"a": b"25", b"c": b"5"}, {b"a": b"15", b"c": b"5"})
+    assert db.raw_log().where("key = X'61'").count() == 2
+    db.unpin(pinned)
+    db.compact_all()
+    assert db.raw_log().where("key = X'61'").count() == 1 and items(db) == before[0]
+
+
+def test_a_stalled_write_waits_for_a_compaction(spark, tmp_path):
+    options = Options(l0_slowdown_trigger=1, auto_compact=False, stall_wait_seconds=60)
+    a, b = (KVStore(spark, str(tmp_path), options) for _ in range(2))
+    for i in range(3):
+        a._commit_ops([(0, 1, str(i).encode(), b"x", None)])
+        a.flush()
+    assert a.stall_reason()
+    b.refresh()
+    worker = threading.Thread(target=b.compact)
+    worker.start()
+    a.put(b"k", b"1")
+    worker.join()
+    assert not a.stall_reason() and len(items(a)) == 4
+
+
+def test_multi_get_reads_only_files_that_may_hold_a_key(spark, tmp_path):
+    db = KVStore(spark, str(tmp_path))
+    for k in (b"a", b"m", b"z"):
+        db.put(k, k)
+        db.flush()
+    keys = spark.createDataFrame([(0, b"m"), (0, b"n")], "cf_id int, key binary")
+    found = db.multi_get(keys)
+    assert {bytes(r["key"]): r["val"] and bytes(r["val"]) for r in found.collect()} == {b"m": b"m", b"n": None}
+    assert len(found.inputFiles()) == 1
+    assert db.multi_get(keys.limit(0)).count() == 0
+
+
+class Faulty:
+    """Files that fail at the n-th write_new of a commit: before it, torn in the middle, or after it."""
+
+    def __init__(self, files, action):
+        self._files, self.action, self.armed = files, action, True
+
+    def __getattr__(self, name):
+        return getattr(self._files, name)
+
+    def write_new(self, name, data):
+        if not self.armed or not name.endswith(".commit.json"):
+            return self._files.write_new(name, data)
+        self.armed = False
+        if self.action == "torn":  # half of it, under the temporary name that it never leaves
+            with open(self._files.path("_log/.torn.tmp"), "wb") as f:
+                f.write(data[: len(data) // 2])
+        if self.action == "after":
+            self._files.write_new(name, data)
+        raise StoreIOError({"full": "No space left on device"}.get(self.action, "input/output error"))
+
+
+@pytest.mark.parametrize("action", ("before", "full", "torn", "after"))
+@pytest.mark.parametrize("kind", ("put", "write_ops", "flush", "compact", "ingest", "family", "pin"))
+def test_failing_commits(spark, tmp_path, kind, action):
+    """Whatever fails and wherever: the old state or the new one, readable, and the store goes on."""
+    db = KVStore(spark, str(tmp_path / "db"))
+    db.put(b"a", b"1")
+    if kind == "compact":
+        db.flush()
+    other = KVStore(spark, str(tmp_path / "other"))
+    other.put(b"new0", b"x")
+    other.flush()
+    db._log._files = Faulty(db._files, action)
+    do = {
+        "put": lambda: db.put(b"new0", b"x"),
+        "write_ops": lambda: db.write_ops(puts(spark, "new", 1)),
+        "flush": db.flush,
+        "compact": db.compact_all,
+        "ingest": lambda: db.ingest([f"{tmp_path}/other/{r['path']}" for r in other.files().collect()], reassign_seq=True),
+        "family": lambda: db.create_column_family("f"),
+        "pin": lambda: db.pin(1),
+    }[kind]
+    with pytest.raises(StoreIOError):
+        do()
+    after = KVStore(spark, str(tmp_path / "db"))
+    want = {b"a": b"1"} | ({b"new0": b"x"} if action == "after" and kind in ("put", "write_ops", "ingest") else {})
+    assert items(after) == want
+    after.vacuum()
+    after.put(b"later", b"1")
+    after.compact_all()
+    after.vacuum()
+    assert items(KVStore(spark, str(tmp_path / "db"))) == want | {b"later": b"1"}
+
+
+def test_a_corrupt_commit_is_refused_and_repaired(spark, tmp_path):
+    db = KVStore(spark, str(tmp_path))
+    db.put(b"a", b"1")
+    db.flush()
+    db.put(b"b", b"2")
+    newest = sorted((tmp_path / "_log").glob("*.commit.json"))[-1]
+    newest.write_bytes(newest.read_bytes()[:-7])
+    with pytest.raises(StoreError):
+        KVStore(spark, str(tmp_path))
+    repair(spark, str(tmp_path))
+    assert items(KVStore(spark, str(tmp_path))) == {b"a": b"1"}
+
+
+def test_repair_keeps_batches_beside_an_ingested_file_of_higher_numbers(spark, tmp_path):
+    other = KVStore(spark, str(tmp_path / "other"))
+    for i in range(9):
+        other.put(b"o", str(i).encode())
+    other.compact_all()
+    db = KVStore(spark, str(tmp_path / "db"))
+    db.put(b"a", b"1")
+    db.ingest([f"{tmp_path}/other/{r['path']}" for r in other.files().collect()])
+    db.put(b"b", b"2")
+    want = items(db)
+    repair(spark, str(tmp_path / "db"))
+    assert items(KVStore(spark, str(tmp_path / "db"))) == want == {b"a": b"1", b"b": b"2", b"o": b"8"}
+
+
+def test_transaction_options_reach_the_write(spark, tmp_path):
+    db = KVStore(spark, str(tmp_path))
+    t = db.begin_transaction()
+    t.set_write_options(sync=True)
+    t.merge(b"m", b"1")
+    t.delete_range(KeyRange.half_open(b"x", b"z"))
+    t.commit()
+    assert items(db) == {b"m": b"1"}
+    t = db.begin_transaction()
+    assert t.scan(KeyRange.half_open(b"a", b"n")).count() == 1
+    t.put(b"q", b"1")
+    db.put(b"c", b"1")  # into the range that was read
+    with pytest.raises(InvalidArgument):
+        t.commit()
