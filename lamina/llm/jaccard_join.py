@@ -12,21 +12,20 @@ THRESHOLD percent of a set's shingles to be in others.
 
 Regions. What is left is joined by pivots, in rounds over all of it. Pivots are classes that come
 first among the holders of each of their rarest shingles. Each class meets the pivots that it shares
-such a shingle with, which are all within 2 * RADIUS of it, and its distance to them is measured. A
-class within RADIUS of a pivot belongs to the Voronoi region of its nearest one. A region's window is
-what lies at most RADIUS farther from the pivot than its members: by the triangle inequality every
-partner of a member does, so boundary classes are replicated into each region whose window holds them.
-A member leaves if all of its window is in its component already; pivots leave too, as all their
-links are known. Whatever remains, members with a window that is open and classes in no region, is
-joined recursively: the next round partitions it by more pivots, taken from the smaller components.
-Each class is a pivot in some round or leaves resolved, so the join is exact for components; links
-inside a component that is known already are not looked for, so the links themselves, and how many
-a document has, are not computed.
-
-Scale: a shingle has one pivot a slot at most, so a round's pairs are at most the entries of the
-rarest shingles times its slots, and there is no pair list within a group of copies. A region of any
-size is measured in chunks of CHUNK_ENTRIES. Only classes far from each other that share rare shingles
-without end need many slots.
+such a shingle with, and its distance to them is measured. A class near enough to a pivot belongs to
+the Voronoi region of its nearest one. A region's window is what lies at most RADIUS farther from the
+pivot than its members: by the triangle inequality every partner of a member does, so boundary classes
+are replicated into each region whose window holds them. A member leaves if all of its window is in
+its component already; pivots leave too, as all their links are known. Whatever remains, members with
+an open window and classes in no region, is joined recursively: the next round partitions it by more
+pivots, taken from the smaller components, into smaller regions with smaller windows. In the last
+round every class left is a pivot. So each class is a pivot or leaves settled, and the join is exact
+for components; links inside a component that is known already are not looked for, so the links
+themselves, and how many a document has, are not computed.
+
+Scale: a shingle has one pivot a slot at most, so but for the last round a round's pairs are at most
+the entries of the rarest shingles times its slots, and there is no pair list within a group of
+copies. The last round has pairs between components only. A region of any size is measured in chunks.
 
 Edge cases: null and empty texts have an empty set and link with nothing, their component is their
 own id; a document of fewer than five words has its whole sequence as one shingle; repeated rows and
@@ -38,6 +37,7 @@ are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +59,12 @@ SHARD_BYTES = 8 << 20
 PART_ENTRIES = 400_000
 #: Frequent shingles that are put last; any set of them gives the same result.
 MOST_FREQUENT = 200_000
-#: Percent of similarity at a distance of 2 * RADIUS: as far as a region and its window reach.
-REACH = 50
+#: Percent of similarity to a pivot that a round looks for. A region reaches as far as leaves RADIUS for
+#: its window: in the first round members lie within RADIUS of their pivot, later ever nearer to it. The
+#: last is THRESHOLD, with which only pivots are settled; all that is left then is one.
+REACHES = (50, 62, 69, 75)
 #: Shingles of a region that are measured against the pivot at once; a larger region is measured in chunks.
-CHUNK_ENTRIES = 1 << 20
+CHUNK_ENTRIES = 1 << 17
 #: Each round has so many times the slots of the one before, and with them more pivots a shingle.
 SLOTS_MORE = 4
 #: Groups of classes in which counts come together.
@@ -308,60 +310,68 @@ def _met(packed: DataFrame, parts: int, report, schema: str) -> DataFrame:
 # --- the join by pivots ------------------------------------------------------------------------
 
 
-@lean
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """p, class, inter, union of every member within REACH of its pivot.
+def _distances(reach: int):
+    """p, class, inter, union of every member within reach of its pivot.
 
     Rows come by region and chunk, the pivot's own (without a class) first. Whole stretches of members
     are looked up in the pivot's set at once.
     """
-    own = np.zeros(0, np.uint64)
-    for batch in batches:
-        p, chunk, member = (batch.column(i) for i in range(3))
-        pivots, chunks, is_pivot = p.to_numpy(), chunk.to_numpy(), member.is_null().to_numpy(zero_copy_only=False)
-        names = member.fill_null(0).to_numpy()
-        column = batch.column(3)
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
-        keys = np.frombuffer(column.buffers()[2] or b"", np.uint64, count=int(ends[-1]))
-        cuts = np.flatnonzero(np.r_[True, is_pivot[1:] | (pivots[1:] != pivots[:-1]) | (chunks[1:] != chunks[:-1])])
-        out: list[tuple[np.ndarray, ...]] = []
-        for a, b in zip(cuts, np.r_[cuts[1:], len(pivots)], strict=True):
-            if is_pivot[a]:
-                own = keys[ends[a] : ends[a + 1]].copy()
-                a += 1
-            if a == b:
-                continue
-            flat, n = keys[ends[a] : ends[b]], np.diff(ends[a : b + 1]).astype(np.int64)
-            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-            inter = np.diff(np.r_[0, np.cumsum(hit)][np.r_[ends[a:b], ends[b]] - ends[a]])
-            union = n + len(own) - inter
-            near = np.flatnonzero(100 * inter >= REACH * union)
-            out.append((pivots[a:b][near], names[a:b][near], inter[near], union[near]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["p", "class", "inter", "union"])
-
-
-def _rarest(sets: DataFrame) -> DataFrame:
-    """key, class, n, k, own: the k shingles by which sets within REACH of each other are found; own is
-    how many shingles no other set holds.
-
-    In the order of how many of these sets hold a shingle, any two such sets share one of their first
-    n - REACH% of n + 1. Shingles that no other set holds come first and take up places.
+
+    @lean
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            p, chunk, member = (batch.column(i) for i in range(3))
+            pivots, chunks, is_pivot = p.to_numpy(), chunk.to_numpy(), member.is_null().to_numpy(zero_copy_only=False)
+            names = member.fill_null(0).to_numpy()
+            column = batch.column(3)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+            keys = np.frombuffer(column.buffers()[2] or b"", np.uint64, count=int(ends[-1]))
+            cuts = np.flatnonzero(np.r_[True, is_pivot[1:] | (pivots[1:] != pivots[:-1]) | (chunks[1:] != chunks[:-1])])
+            out: list[tuple[np.ndarray, ...]] = []
+            for a, b in zip(cuts, np.r_[cuts[1:], len(pivots)], strict=True):
+                if is_pivot[a]:
+                    own = keys[ends[a] : ends[a + 1]].copy()
+                    a += 1
+                if a == b:
+                    continue
+                flat, n = keys[ends[a] : ends[b]], np.diff(ends[a : b + 1]).astype(np.int64)
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                inter = np.diff(np.r_[0, np.cumsum(hit)][np.r_[ends[a:b], ends[b]] - ends[a]])
+                union = n + len(own) - inter
+                near = np.flatnonzero(100 * inter >= reach * union)
+                out.append((pivots[a:b][near], names[a:b][near], inter[near], union[near]))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["p", "class", "inter", "union"])
+
+    return work
+
+
+def _rarest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, class, place of the shingles by which sets are found, and class, n, known of each set.
+
+    known is how many shingles of a set others hold as well; place numbers these, those that the
+    fewest sets hold first. Two sets of a similarity of t percent share one that is among the first
+    known - t% of n + 1 of both. t is the least of REACHES here; a larger t needs fewer.
     """
     parts = int(max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_ENTRIES + 1))
     shared = materialize(_met(sets.mapInArrow(_set_entries(parts), PACKED), parts, _memberships, "key long, class long, n int"), "shared")
     held_by = shared.groupBy("key").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("class").orderBy("df", "key"))
     known = F.count("*").over(Window.partitionBy("class"))
-    left = F.col("known") - F.ceil(F.lit(REACH) * F.col("n") / 100) + 1
-    k = F.least("left", "known").cast("int")
-    first = materialize(shared.join(held_by, "key").withColumn("place", place).withColumn("known", known).withColumn("left", left).where("place <= left").select("key", "class", "n", k.alias("k"), (F.col("n") - F.col("known")).cast("int").alias("own")), "first")
+    ranked = shared.join(held_by, "key").withColumn("place", place).withColumn("known", known.cast("int"))
+    first = materialize(ranked.where(F.col("place") <= _reached(REACHES[0])).select("key", "class", "place", "n", "known"), "first")
     discard(shared)
-    return first
+    return first.select("key", "class", "place"), first.where("place = 1").select("class", "n", "known")
+
+
+def _reached(reach: int):
+    """How many of a set's shingles must be looked at for a similarity of reach percent."""
+    return F.col("known") - F.ceil(F.lit(reach) * F.col("n") / 100) + 1
 
 
 def _pivots(entries: DataFrame) -> DataFrame:
-    """The classes that come first, in their slot, among the holders of each of their k rarest shingles.
+    """p, n of the classes that come first, in their slot, among the holders of each of their k shingles.
 
     Where components of several orders of magnitude hold a shingle, only those of the least have pivots
     there, so that outliers meet a large component, not its classes each other. Otherwise classes with
@@ -373,12 +383,15 @@ def _pivots(entries: DataFrame) -> DataFrame:
     return firsts.where("c = k").select("p")
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """p, class, inter, union of the pairs within REACH; a large region is measured in several chunks."""
+def _of_similar_size(reach: int):
+    return (100 * F.col("n") >= reach * F.col("n_p")) & (100 * F.col("n_p") >= reach * F.col("n"))
+
+
+def _near(pairs: DataFrame, sets: DataFrame, reach: int) -> DataFrame:
+    """p, class, inter, union of the pairs within reach; a large region is measured in several chunks."""
     members = pairs.join(sets, "class")
     many = pairs.groupBy("p").agg(F.sum("n").alias("total"))
-    chunks = many.select("p", F.ceil(F.col("total") / CHUNK_ENTRIES).cast("int").alias("chunks"))
-    chunks = materialize(chunks, "chunks")
+    chunks = materialize(many.select("p", F.ceil(F.col("total") / CHUNK_ENTRIES).cast("int").alias("chunks")), "chunks")
     large = chunks.where("chunks > 1")
     n_large = large.count()
     if n_large:
@@ -388,53 +401,69 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         members = members.withColumn("chunk", F.lit(0))
     own = chunks.join(sets.select(F.col("class").alias("p"), "set"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("class"), "set")
     rows = own.unionByName(members.select("p", "chunk", "class", "set"))
-    return rows.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.asc_nulls_first("class")).mapInArrow(_distances, "p long, class long, inter long, union long")
+    return rows.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.asc_nulls_first("class")).mapInArrow(_distances(reach), "p long, class long, inter long, union long")
+
+
+def _labelled_by(label: DataFrame, classes: DataFrame, name: str, out: str) -> DataFrame:
+    """classes with the component of the class in a column, the class itself where it has no link."""
+    at = label.select(F.col("node").alias(name), F.col("component").alias("_c"))
+    return classes.join(at, name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
 
 
 def join_by_pivots(sets: DataFrame, on_round=None) -> DataFrame:
     """node, component of the classes that link; sets has class, n, set.
 
-    on_round is called after each round with its number of classes, pivots, members of Voronoi regions
-    and replicas in windows, at the price of a few counts.
+    on_round is called after each round with its numbers of classes, pivots, members of Voronoi regions,
+    replicas in windows, links and classes left, at the price of a few counts.
     """
     spark = sets.sparkSession
-    first = _rarest(sets)
-    alive = materialize(first.select("class").distinct().withColumn("order", F.lit(0)), "alive")
-    links = spark.createDataFrame([], "u long, v long")
-    label = components(links)
-    turn = 0
-    while not alive.isEmpty():
-        slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(SLOTS_MORE ** min(turn, 30)))
-        entries = first.join(alive, "class").select("key", "class", "n", "k", "order", "own", F.xxhash64("class", F.lit(turn)).alias("h"), slot.alias("slot"))
-        pivots = materialize(_pivots(entries), "pivots")
-        its_keys = entries.join(pivots, F.col("class") == F.col("p")).select("key", "p", F.col("n").alias("n_p"))
-        fit = (F.col("class") != F.col("p")) & (100 * F.col("n") >= REACH * F.col("n_p")) & (100 * F.col("n_p") >= REACH * F.col("n"))
-        pairs = materialize(entries.select("key", "class", "n").join(its_keys, "key").where(fit).select("class", "p", "n").distinct(), "pairs")
-        near = materialize(_near(pairs.select("p", "class", "n"), sets.select("class", "set")), "near")
+    first, alive = _rarest(sets)
+    alive = materialize(alive.withColumns({"component": F.col("class"), "order": F.lit(0)}), "alive")
+    linked = 100 * F.col("inter") >= THRESHOLD * F.col("union")
+    links, label = [], None
+    for turn, reach in enumerate(REACHES):
+        here = alive.withColumn("k", _reached(reach).cast("int")).where("k > 0").withColumn("own", F.col("n") - F.col("known"))
+        slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(SLOTS_MORE**turn))
+        entries = first.join(here, "class").where("place <= k").withColumns({"h": F.xxhash64("class", F.lit(turn)), "slot": slot})
+        whole = reach == THRESHOLD  # the last round: all that is left are pivots
+        if whole:
+            # of the components that hold a shingle, the largest need not ask the others
+            rank = F.struct("order", "component")
+            most = F.max(rank).over(Window.partitionBy("key"))
+            asking = entries.withColumn("rank", rank).withColumn("most", most).where(F.col("rank") < F.col("most"))
+            its_keys = asking.select("key", F.col("class").alias("p"), F.col("n").alias("n_p"), F.col("rank").alias("rank_p"))
+            fit = (rank > F.col("rank_p")) & _of_similar_size(reach)
+            pivots = None
+        else:
+            pivots = materialize(_pivots(entries), "pivots")
+            its_keys = entries.join(pivots, F.col("class") == F.col("p")).select("key", "p", F.col("n").alias("n_p"))
+            fit = (F.col("class") != F.col("p")) & _of_similar_size(reach)
+        pairs = materialize(entries.select("key", "class", "n", "order", "component").join(its_keys, "key").where(fit).select("class", "p", "n").distinct(), "pairs")
+        near = materialize(_near(pairs, sets.select("class", "set"), reach), "near")
         free_shuffles(spark)
-        distance = 1 - F.col("inter") / F.col("union")
-        linked = 100 * F.col("inter") >= THRESHOLD * F.col("union")
-        links = links.unionByName(near.where(linked).select(F.col("class").alias("u"), F.col("p").alias("v")))
-        label = components(links)
-        # a region: its nearest pivot's; its window: whatever lies at most RADIUS farther from the pivot
-        named = near.join(pivots.select(F.col("p").alias("class")), "class", "left_anti").select("p", "class", distance.alias("d"), linked.alias("linked"))
-        homes = named.where("linked").groupBy("class").agg(F.min(F.struct("d", "p")).alias("home")).select("class", "home.d", "home.p")
-        at = label.select(F.col("node").alias("class"), "component")
-        placed = named.join(at, "class", "left").withColumn("c", F.coalesce("component", "class")).drop("component")
-        placed = placed.join(label.select(F.col("node").alias("p"), F.col("component").alias("c_p")), "p", "left")
-        foreign = placed.where(F.col("c") != F.coalesce("c_p", "p")).groupBy("p").agg(F.min("d").alias("m"))
+        links.append(materialize(near.where(linked).select(F.col("class").alias("u"), F.col("p").alias("v")), "found"))
+        label = components(reduce(DataFrame.unionByName, links))
+        if whole:
+            if on_round is not None:
+                on_round({"classes": here.count(), "pivots": here.count(), "members": 0, "replicas": near.count(), "links": links[-1].count(), "left": 0})
+            return label
+        # a region is its nearest pivot's; its window, whatever lies at most RADIUS farther from the pivot
+        named = near.join(pivots.select(F.col("p").alias("class")), "class", "left_anti").withColumn("d", 1 - F.col("inter") / F.col("union"))
+        inside = 100 * F.col("inter") >= (100 - THRESHOLD + reach) * F.col("union")
+        homes = materialize(named.where(inside).groupBy("class").agg(F.min(F.struct("d", "p")).alias("home")).select("class", "home.d", "home.p"), "homes")
+        placed = _labelled_by(label, _labelled_by(label, named, "class", "c"), "p", "c_p")
+        foreign = placed.where("c <> c_p").groupBy("p").agg(F.min("d").alias("m"))
         open_ = homes.join(foreign, "p").where(F.col("d") + RADIUS >= F.col("m") - 1e-9).select("class")
-        gone = pivots.select(F.col("p").alias("class")).unionByName(homes.select("class"))
-        left = alive.select("class").join(gone, "class", "left_anti").unionByName(open_)
-        sizes = at.groupBy("component").agg(F.count("*").alias("size"))
-        left = left.join(at, "class", "left").join(sizes, "component", "left").select("class", (F.coalesce(F.floor(F.log2("size")).cast("int"), F.lit(0)) if turn else F.lit(0)).alias("order"))
-        after = materialize(left, "alive")
+        gone = pivots.select(F.col("p").alias("class")).unionByName(homes.join(open_, "class", "left_anti").select("class"))
+        left = _labelled_by(label, here.select("class", "n", "known").join(gone, "class", "left_anti"), "class", "component")
+        sizes = label.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("order"))
+        after = materialize(left.join(sizes, "component", "left").select("class", "n", "known", "component", F.coalesce("order", F.lit(0)).alias("order")), "alive")
         if on_round is not None:
             members = homes.count()
-            on_round({"classes": alive.count(), "pivots": pivots.count(), "members": members, "replicas": named.count() - members, "left": after.count()})
-        for old in (alive, pivots, pairs):
+            on_round({"classes": here.count(), "pivots": pivots.count(), "members": members, "replicas": named.count() - members, "links": links[-1].count(), "left": after.count()})
+        for old in (alive, pivots, pairs, near, homes):
             discard(old)
-        alive, turn = after, turn + 1
+        alive = after
         free_shuffles(spark)
     return label
 
