@@ -3,12 +3,14 @@
 Every source gets a budget of words from its weight. Its documents are counted by exact length; a
 length has three times its count to give. A proportional share of every length is taken, and a
 bounded-knapsack dynamic program over what is free fills the budget that then remains. So many
-documents of a length are taken once more than the others; which ones follows a seeded hash of the id.
+documents of a length are taken once more than the others; which ones follows a seeded hash of the row.
 
-Scale: texts are read once for their lengths; then only (source, length) counts move. The histogram
-of a source has at most sqrt(2 * its words) rows, since its lengths are distinct. Choosing documents
-of a length never sorts a whole length group: groups are counted by hash slot, whole slots are taken
-and only the slot on the border is ranked.
+Scale: texts are read once, for their lengths; then only (source, length) counts move, and sources are
+numbered and given their targets by aggregates, so that no task holds all of them. The histogram of a
+source has at most sqrt(2 * its words) rows, since its lengths are distinct. Choosing documents of a
+length never sorts a whole length group: groups are counted by hash slot and whole slots are taken; in
+the slot on the border whole hashes are, and equal rows, which share a hash, are taken by their number
+within each part of the table.
 
 Edge cases: a null source is a source of its own, placed last; null or empty texts have size 0, are
 taken whole with their source and never change a budget; sources without words have target 0;
@@ -111,36 +113,50 @@ def _plan(hist: pd.DataFrame) -> pd.DataFrame:
     return hist[["source_no", "size", "n"]].assign(copies=units // n, chosen=units % n)
 
 
+def _numbered(totals: DataFrame) -> DataFrame:
+    """totals with source_no, from 1 by code point, null last: ranges of sources, and counts of each."""
+    placed = totals.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("_at", 33)
+    before, rows = 0, []
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):  # a row a partition
+        rows.append((p, before - (p << 33) + 1))
+        before += n
+    shifts = totals.sparkSession.createDataFrame(rows, "_part long, _shift long")
+    return placed.withColumn("_part", part).join(F.broadcast(shifts), "_part").withColumn("source_no", (F.col("_at") + F.col("_shift")).cast("int")).drop("_part", "_shift", "_at")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """source, source_no, source_size, target for every source.
 
     Weights repeat over the sources by code point, null last. Targets share all words by weight and
-    stop at most times the source's own; the excess is shared again until none is above: sources
-    stop in the order of most * size / weight, so one running sum finds where that ends.
+    stop at most times the source's own; the excess is shared again until none is above. The level (a
+    target for a weight of 1) only rises, so each step is one aggregate over the sources, until it stays.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    totals = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") - 1) % len(weights) + 1)
-    totals = totals.withColumn("source_no", place).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
-    totals = totals.withColumn("level", level).withColumn("stops", F.col("cap") / F.col("weight") < F.col("level"))
-    final = F.max(F.when(~F.col("stops"), F.col("level"))).over(every)  # levels only fall from there on
-    target = F.when(F.col("stops") | final.isNull(), F.col("cap").cast("double")).otherwise(F.col("weight") * final)
+    totals = materialize(totals.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most), "totals")
+    every = totals.agg(F.sum("source_size")).first()[0] or 0
+    level, stopped = -1.0, -1
+    while True:
+        full = F.col("cap") < F.col("weight") * F.lit(level)
+        n, held, rest = totals.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == stopped or rest is None:
+            break
+        stopped, level = n, (every - (held or 0)) / rest
+    target = F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level))
     return totals.withColumn("target", target).select("source", "source_no", "source_size", "target")
 
 
 def _sized(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, carry: bool) -> DataFrame:
-    """doc_id, source, size and the seeded hash of every row; all its columns too, if carry."""
+    """doc_id, source, size, the seeded hash of every row and its part; all its columns too, if carry."""
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_h"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(text)).alias("_h"),
+        F.spark_partition_id().alias("_part"),
         *own,
     )
 
@@ -150,12 +166,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _border(rows: DataFrame, keys: list[str], by: str, need: str) -> DataFrame:
+    """Of groups (keys), each with rows counted by `by`: the value of `by` in which the need-th row lies,
+    and how many are needed of it. What lies before it is needed whole."""
+    counts = rows.groupBy(*keys, by).agg(F.count("*").alias("_m"), F.first(need).alias(need))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("_before", before).where(f"_before < {need} AND {need} <= _before + _m").select(*keys, by, (F.col(need) - F.col("_before")).alias("need"), "_m")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row; taken is size times its copies.
 
     With carry, copies and a struct _row of all columns of docs come along.
     """
-    sizes = materialize(_sized(docs, doc_id, text, source, seed, False), "sizes")
+    sized = materialize(_sized(docs, doc_id, text, source, seed, carry), "sizes")  # the one pass over the texts
+    sizes = sized.drop("_row")
     targets = _small(materialize(source_targets(sizes), "targets"))
     slot = F.pmod(F.shiftrightunsigned(F.col("_h"), 16), F.lit(SLOTS)).cast("int")
 
@@ -163,39 +188,45 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         own = [c for c in rows.columns if c != "source"]
         return rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(rows["source"], *own, "source_no", "source_size", "target", slot.alias("_slot"))
 
-    rows = placed(sizes)
-    hist = rows.groupBy("source_no", "size").agg(F.count("*").alias("n"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    rows, key = placed(sizes), ["source_no", "size"]
+    hist = rows.groupBy(*key).agg(F.count("*").alias("n"), F.first("target").alias("target"))
     plan = materialize(hist.groupBy("source_no").applyInPandas(_plan, "source_no int, size long, n long, copies long, chosen long"), "plan")
-    some = _small(plan.where("chosen > 0 AND chosen < n").select("source_no", "size", "chosen"))
-    slots = rows.join(some, ["source_no", "size"]).groupBy("source_no", "size", "_slot").agg(F.count("*").alias("m"), F.first("chosen").alias("chosen"))
-    run = Window.partitionBy("source_no", "size").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    border = (
-        slots.withColumn("before", F.coalesce(F.sum("m").over(run), F.lit(0)))
-        .where("before < chosen AND chosen <= before + m")
-        .select("source_no", "size", F.col("_slot").alias("border"), (F.col("chosen") - F.col("before")).alias("need"))
-    )
+    some = _small(plan.where("chosen > 0 AND chosen < n").select(*key, "chosen"))
+    # the slot on the border, then the hash in it, then how many of the rows with that hash each part gives
+    slots = materialize(_border(rows.join(some, key), key, "_slot", "chosen").withColumnsRenamed({"_slot": "border", "need": "in_slot"}).drop("_m"), "slots")
+    inside = rows.join(_small(slots), key).where("_slot = border")
+    hashes = materialize(_border(inside, key, "_h", "in_slot").withColumnsRenamed({"_h": "border_h", "need": "in_hash"}), "hashes")
     choice = materialize(
-        plan.join(border, ["source_no", "size"], "left").select(
-            "source_no",
-            "size",
+        plan.join(slots.select(*key, "border"), key, "left").join(hashes, key, "left").select(
+            *key,
             "copies",
-            # every slot below border is taken whole
+            # every slot below border is taken whole, and in it every hash up to border_h, or below if tied
             F.when(F.col("chosen") == F.col("n"), F.lit(SLOTS)).otherwise(F.coalesce("border", F.lit(0))).alias("border"),
-            F.coalesce("need", F.lit(0)).alias("need"),
+            "border_h",
+            F.coalesce(F.col("in_hash") < F.col("_m"), F.lit(False)).alias("tied"),
         ),
         "choice",
     )
-    picked = (placed(_sized(docs, doc_id, text, source, seed, True)) if carry else rows).join(_small(choice), ["source_no", "size"])
     out = ["doc_id", "source", "size", "source_size", "target"]
 
-    def taken(more) -> list:
+    def taken(rows: DataFrame, more) -> DataFrame:
         copies = F.col("copies") + more.cast("long")
-        return [(F.col("size") * copies).alias("taken"), *([copies.alias("copies"), "_row"] if carry else [])]
-
-    whole = picked.where("_slot <> border OR need = 0").select(*out, *taken(F.col("_slot") < F.col("border")))
-    rank = F.row_number().over(Window.partitionBy("source_no", "size", "_slot").orderBy("_h", "doc_id"))
-    ranked = picked.where("_slot = border AND need > 0").withColumn("_r", rank).select(*out, *taken(F.col("_r") <= F.col("need")))
-    return whole.unionByName(ranked)
+        return rows.select(*out, (F.col("size") * copies).alias("taken"), *([copies.alias("copies"), "_row"] if carry else []))
+
+    picked = placed(sized).join(_small(choice), key)
+    on_border = (F.col("_slot") == F.col("border")) & F.col("border_h").isNotNull()
+    equal = on_border & F.col("tied") & (F.col("_h") == F.col("border_h"))
+    whole = taken(picked.where(~equal), (F.col("_slot") < F.col("border")) | F.coalesce(on_border & (F.col("_h") <= F.col("border_h")), F.lit(False)))
+    tied = hashes.where("in_hash < _m").select(*key, "border_h", "in_hash")
+    if tied.isEmpty():
+        return whole
+    same = rows.join(_small(tied), key).where(F.col("_h") == F.col("border_h"))
+    parts = same.groupBy(*key, "_part").agg(F.count("*").alias("_m"), F.first("in_hash").alias("in_hash"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    given = materialize(parts.select(*key, "_part", (F.col("in_hash") - before).alias("_gives")), "given")
+    rank = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_h"))
+    ranked = picked.where(equal).join(_small(given), [*key, "_part"]).withColumn("_r", rank)
+    return whole.unionByName(taken(ranked, F.col("_r") <= F.col("_gives")))
 
 
 def mixed_documents(docs: DataFrame, **names) -> DataFrame:
