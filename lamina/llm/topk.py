@@ -5,25 +5,29 @@ the candidates with a non-zero weight there. Query rows are sparse lists of (ter
 every term, the weighted postings are scattered into a dense array of scores; a partition selection
 keeps the k best of a block, and the blocks' lists are merged.
 
-Queries go out in blocks of at most QUERY_BLOCK rows, so what is broadcast is bounded; every block
-meets all candidates. Each partition sends at most k rows a query to the merge.
+Queries go out in blocks of at most QUERY_BLOCK rows, one after another, and a block's lists are
+written before the next goes out: that bounds what is broadcast at any time, whatever the number of
+queries. Every block meets all candidates. Each partition sends at most k rows a query to the merge.
 
 Edge cases: rows with a null id, a null vector, or a null or non-finite component take no part;
-vectors of other lengths count missing components as zero; an empty vector scores 0; rows that
-share the query's id are its own; repeated rows count once (one result for an id and score); ties
-go to the smaller id; an empty table gives an empty result; extra columns are ignored.
+vectors of other lengths count missing components as zero; an empty vector scores 0; every row is a
+candidate and every query row a query, repeated ones too, so an id may be listed several times; rows
+that share the query's id are its own; weights beyond 64 bits become the least or largest integer, and
+sums wrap around as 64-bit integers do; ties go to the smaller id; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, lean
+from .common import by_value, lean, materialize
 
 by_value(__name__)
 
@@ -42,7 +46,15 @@ def _quantised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row lengths, and all components one after another."""
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return lengths, np.floor(256.0 * flat).astype(np.int64)
+    return lengths, whole_number(256.0 * flat)
+
+
+def whole_number(x: np.ndarray) -> np.ndarray:
+    """floor(x) as a 64-bit integer; what lies beyond its range becomes its least or largest value."""
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    with np.errstate(invalid="ignore"):
+        out = np.floor(x).astype(np.int64)
+    return np.where(x >= 2.0**63, high, np.where(x < -(2.0**63), low, out))
 
 
 def _dense(lengths: np.ndarray, flat: np.ndarray, width: int) -> np.ndarray:
@@ -54,16 +66,20 @@ def _dense(lengths: np.ndarray, flat: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def accumulate(queries: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Scores of every query row against every candidate row, one term after another."""
-    scores = np.zeros((len(queries), len(weights)), np.int64)
-    for term in range(queries.shape[1]):
+def postings(weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every term the candidates with a weight there, and the weights."""
+    return [(np.flatnonzero(column), column[column != 0]) for column in np.ascontiguousarray(weights.T)]
+
+
+def accumulate(queries: np.ndarray, index: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Scores of every query row against n candidates, one term's postings after another."""
+    scores = np.zeros((len(queries), n), np.int64)
+    for term, (posting, weight) in enumerate(index[: queries.shape[1]]):
         rows = np.flatnonzero(queries[:, term])
-        posting = np.flatnonzero(weights[:, term])
         if not len(rows) or not len(posting):
             continue
-        gain = np.multiply.outer(queries[rows, term], weights[posting, term])
-        if len(rows) == len(queries) and len(posting) == len(weights):
+        gain = np.multiply.outer(queries[rows, term], weight)
+        if len(rows) == len(queries) and len(posting) == n:
             scores += gain
         else:
             scores[np.ix_(rows, posting)] += gain
@@ -76,28 +92,27 @@ def select(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= k:
         row, col = np.indices(scores.shape)
         return row.ravel(), col.ravel()
-    if np.abs(scores).max(initial=0) < 2**62 // n:
+    if max(-int(scores.min(initial=0)), int(scores.max(initial=0))) < 2**62 // n:
         key = scores * n + np.arange(n - 1, -1, -1)
         col = np.argpartition(key, n - k, axis=1)[:, n - k :]
     else:
-        col = np.stack([np.lexsort((np.arange(n), -row))[:k] for row in scores])
+        col = np.stack([np.lexsort((np.arange(n), -np.maximum(row, -np.iinfo(np.int64).max)))[:k] for row in scores])
     return np.repeat(np.arange(len(scores)), k), col.ravel()
 
 
 def _best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
-    """The k best candidates a query of several lists; an id and score counts once."""
+    """The k best candidates a query of several lists."""
     q, ids, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((ids, -s, q))
+    order = np.lexsort((ids, -np.maximum(s, -np.iinfo(np.int64).max), q))
     q, ids, s = q[order], ids[order], s[order]
-    first = np.ones(len(q), bool)
-    first[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (s[1:] != s[:-1])
-    q, ids, s = q[first], ids[first], s[first]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
     place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
     return q[place < k], ids[place < k], s[place < k]
 
 
-def _scorer(block, k: int):
+def _scorer(block, first: int, k: int):
+    """The k best of a partition for every row of a block; rows are numbered from first on."""
+
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = block.value
@@ -105,11 +120,12 @@ def _scorer(block, k: int):
 
         def score(ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
             weights = _dense(lengths, flat, queries.shape[1])
-            rows = np.unique(np.column_stack([ids, weights]), axis=0)  # by id; repeated rows once
-            ids, weights = rows[:, 0], rows[:, 1:]
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            index = postings(weights[order])
             found = []
             for at in range(0, len(queries), ROWS_AT_ONCE):
-                scores = accumulate(queries[at : at + ROWS_AT_ONCE], weights)
+                scores = accumulate(queries[at : at + ROWS_AT_ONCE], index, len(ids))
                 own = query_ids[at : at + ROWS_AT_ONCE]
                 lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
                 most = int((hi - lo).max(initial=0))
@@ -133,7 +149,7 @@ def _scorer(block, k: int):
             score(whole.column(0).chunk(0).to_numpy(), *_quantised(whole.column(1).chunk(0)))
         if kept:
             q, ids, s = _best(kept, k)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(s)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(first + q), pa.array(query_ids[q]), pa.array(ids), pa.array(s)], ["row", "query_id", "vec_id", "score"])
 
     return work
 
@@ -168,17 +184,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
         F.col(vec_id).cast("long").alias("query_id"),
         F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("q"),
     )
-    schema = "query_id long, vec_id long, score long"
-    parts = [candidates.mapInArrow(_scorer(spark.sparkContext.broadcast(b), k), schema) for b in _blocks(asked)]
-    if not parts:
-        parts = [spark.createDataFrame([], schema)]
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.distinct()
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    schema = "row long, query_id long, vec_id long, score long"
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    done, first = [], 0
+    for block in _blocks(asked):
+        sent = spark.sparkContext.broadcast(block)
+        found = candidates.mapInArrow(_scorer(sent, first, k), schema)
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        done.append(materialize(ranked.select("query_id", "rank", "vec_id", "score"), "top"))
+        sent.destroy()  # one block is out at a time
+        first += len(block[0])
+    if not done:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, done)

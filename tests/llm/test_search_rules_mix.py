@@ -72,23 +72,31 @@ def test_top_k_edges(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 3)
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 0.25]) for _ in range(3)], "e") for i in range(40)]
-    rows += [(5, rows[5][1], "again"), (7, [1.0, 1.0, 1.0], "other"), (None, [1.0], "n"), (90, None, "n"), (91, [None, 1.0], "n"), (92, [float("nan")], "n"), (93, [float("inf")], "n"), (94, [], "n"), (95, [0.5], "n")]
+    rows += [(5, rows[5][1], "again"), (20, rows[20][1], "again"), (7, [1.0, 1.0, 1.0], "other"), (None, [1.0], "n"), (90, None, "n"), (91, [None, 1.0], "n"), (92, [float("nan")], "n"), (93, [float("inf")], "n"), (94, [], "n"), (95, [0.5], "n")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3)
     found = topk.top_k(df, df.where("vec_id % 10 = 0"), k=5).collect()
     fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = set()
+    want = []
     for q, qv in fine:
         if q % 10 == 0:
-            scores = {(-sum(a * b for a, b in zip(qv, v)), i) for i, v in fine if i != q}
-            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5])}
-    assert {tuple(r) for r in found} == want and len(found) == len(want)
+            scores = [(-sum(a * b for a, b in zip(qv, v)), i) for i, v in fine if i != q]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5])]
+    assert sorted(tuple(r) for r in found) == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
 def test_scatter_equals_the_product():
     rng = np.random.default_rng(0)
     q, w = rng.integers(-3, 3, (5, 7)), rng.integers(-3, 3, (11, 7))
-    assert (topk.accumulate(q, w) == q @ w.T).all()
+    assert (topk.accumulate(q, topk.postings(w), len(w)) == q @ w.T).all()
+
+
+def test_huge_components_are_defined(spark):
+    rows = [(0, [1.0]), (1, [1e300]), (2, [-1e300]), (3, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, df.where("vec_id = 0"), k=5).orderBy("rank").collect()
+    wrapped = {1: -256, 2: 0, 3: 256 * 128}  # 256 times the largest and the least integer, in 64 bits
+    assert [(r["vec_id"], r["score"]) for r in found] == sorted(wrapped.items(), key=lambda x: -x[1])
 
 
 def test_budget_fits_are_near_and_within_counts():
@@ -154,6 +162,33 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("share", (1 / 3, 1.0))
+def test_mix_splits_equal_rows(spark, share):
+    """Rows that do not differ at all: as many are taken as the budget says, in reruns as well."""
+    n = 600
+    rows = [(None, "one two three", "a") if i < n * share else (i, " ".join("w" * (1 + i % 9)), "a") for i in range(n)]
+    rows += [(1000 + i, "w " * 10, s) for i in range(100) for s in ("b", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    found = mixing.mix(df).collect()
+    assert len(found) == len(rows)
+    for s in "abc":
+        own = [r for r in found if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < (3 if s == "a" else 10)  # their least lengths
+    again = mixing.mix(df.repartition(3)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+    assert mixing.mixed_documents(df).agg(F.sum("mix_words")).first()[0] == sum(r["taken"] for r in found)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(5)
+    sizes = {f"{rng.choice(['a', 'é', 'z', '𐐀', '｡'])}{i}": rng.choice([0, 1, 5, 50, 5000]) for i in range(300)} | {None: 7}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(5)
+    found = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    want = naive_targets(sizes)
+    assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-6 for s in want)
+    assert mixing.source_targets(df.limit(0)).collect() == []
+
+
 def brute_hits(docs, items):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: words.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
