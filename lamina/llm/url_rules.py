@@ -4,14 +4,20 @@ Each rule is a regular expression over host and path joined. The literal tokens
 must contain whole are read from the rule; the one that is rarest in the urls' own token counts
 becomes its index key. A url's tokens fetch candidate rules from the index and only those run.
 
+The index is a hash table in one literal: an array of BUCKETS_PER_RULE buckets a rule, in which a rule
+lies in the bucket of its token's CRC-32. A url's token reads one bucket, whatever the number of rules.
+
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and gets the
 default verdict; empty tables give empty results; repeated rows are judged one by one; ties between
-fitting rules go to the longer rule, then the larger name; extra columns pass through untouched.
+fitting rules go to the longer rule, then the larger name; extra columns pass through untouched, and
+those that are called like a result (host, path, rule, verdict) get the ending _given.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-#: Rules in one literal map; larger sets use several maps, so no rule is ever left out.
-RULES_PER_MAP = 1000
+BUCKETS_PER_RULE = 2
+RESULTS = ("host", "path", "rule", "verdict")
+RULE = "struct<token:string,listed:int,length:int,name:string,verdict:string,regex:string>"
 TOKEN_BREAK = r"[^A-Za-z0-9]+"
 
 
@@ -76,69 +83,52 @@ def token_counts(pages: DataFrame, url: str, words: Sequence[str]) -> dict[str,
     if not words:
         return {}
     tokens = F.array_distinct(F.split(F.concat(host_of(F.col(url)), path_of(F.col(url))), TOKEN_BREAK))
-    wanted = F.array(*[F.lit(w) for w in words])
-    found = pages.select(F.explode(F.array_intersect(tokens, wanted)).alias("token"))
+    wanted = pages.sparkSession.createDataFrame([(w,) for w in words], "token string")  # as many as the rules hold
+    found = pages.select(F.explode(tokens).alias("token")).join(F.broadcast(wanted), "token", "left_semi")
     counts = {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
     return {w: counts.get(w, 0) for w in words}
 
 
+def _entry(token: str, r: Rule) -> dict:
+    return {"token": token, "listed": int(r.listed), "length": len(r.name), "name": r.name, "verdict": r.verdict, "regex": r.regex}
+
+
+def _literal(value: list, kind: str) -> Column:
+    """A constant of any type; the optimiser reads the text once, before the query runs."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """Add host, path, rule and verdict to every row of pages; no shuffle but for the token counts.
 
     rule is the longest listed rule that fits, else null; verdict is that rule's, else block where
     one of the method's own patterns matches, else default.
     """
+    clash = {c: f"{c}_given" for c in pages.columns if c.lower() in RESULTS}
+    pages, url = pages.withColumnsRenamed(clash), clash.get(url, url)
     choices = sorted({t for r in rules for t in r.tokens if len(r.tokens) > 1})
     counts = token_counts(pages, url, choices)
-    index: dict[str, list[Rule]] = {}
-    always: list[Rule] = []
+    n = max(1, BUCKETS_PER_RULE * len(rules))
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    always: list[dict] = []
     for r in rules:
         if r.tokens:
-            index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
+            token = min(r.tokens, key=lambda t: (counts.get(t, 0), t))
+            buckets[zlib.crc32(token.encode()) % n].append(_entry(token, r))
         else:
-            always.append(r)
-
-    def entry(r: Rule) -> Column:
-        return F.struct(
-            F.lit(int(r.listed)).alias("listed"),
-            F.lit(len(r.name)).alias("length"),
-            F.lit(r.name).alias("name"),
-            F.lit(r.verdict).alias("verdict"),
-            F.lit(r.regex).alias("regex"),
-        )
-
-    maps, held = [], []
-    for token, own in index.items():
-        for at in range(0, len(own), RULES_PER_MAP):
-            held.append((token, own[at : at + RULES_PER_MAP]))
-    while held:
-        part, size, seen = [], 0, set()
-        rest = []
-        for token, own in held:
-            if size + len(own) <= RULES_PER_MAP and token not in seen:
-                part.append((token, own))
-                seen.add(token)
-                size += len(own)
-            else:
-                rest.append((token, own))
-        maps.append(F.create_map(*[x for t, own in part for x in (F.lit(t), F.array(*map(entry, own)))]))
-        held = rest
-
+            always.append(_entry("", r))
     target = F.concat(F.col("host"), F.col("path"))
-    tokens = F.array_distinct(F.split(target, TOKEN_BREAK))
+    index = _literal(buckets, f"array<array<{RULE}>>")
 
-    def fetch(index: Column) -> Column:
-        return F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
+    def fetch(token: Column) -> Column:
+        bucket = F.element_at(index, (F.crc32(token.cast("binary")) % n + 1).cast("int"))
+        return F.filter(bucket, lambda r: r["token"] == token)
 
-    fetched = [fetch(m) for m in maps]
+    fetched = F.flatten(F.transform(F.array_distinct(F.split(target, TOKEN_BREAK)), fetch))
     if always:
-        fetched.append(F.array(*map(entry, always)))
-    if not fetched:
-        candidates = F.array().cast("array<struct<listed:int,length:int,name:string,verdict:string,regex:string>>")
-    else:
-        candidates = F.concat(*fetched)
-    fits = F.filter(candidates, lambda r: F.rlike(target, r["regex"]))
-    best = F.array_max(fits)
+        fetched = F.concat(fetched, _literal(always, f"array<{RULE}>"))
+    fits = F.filter(fetched, lambda r: F.rlike(target, r["regex"]))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(*[r[c].alias(c) for c in ("listed", "length", "name", "verdict")])))
     return (
         pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
         .withColumn("_best", best)

@@ -55,11 +55,26 @@ def test_rules_without_a_whole_token_are_always_tried(spark):
     assert [r["verdict"] for r in url_rules.judge_urls(df, []).collect()] == ["allow", "allow"]
 
 
-def test_many_rules_span_several_maps(spark, monkeypatch):
-    monkeypatch.setattr(url_rules, "RULES_PER_MAP", 2)
-    rules = [url_rules.host_path_rule("block", f"h{i}.test/") for i in range(7)]
-    df = spark.createDataFrame([(f"http://h{i}.test/",) for i in range(8)], "url string")
-    assert [r["verdict"] for r in url_rules.judge_urls(df, rules).collect()] == ["block"] * 7 + ["allow"]
+def test_thousands_of_rules(spark):
+    """Every rule is found by its token, by host, subdomain and path, against a plain reading of the rules."""
+    rng = random.Random(7)
+    names = sorted({f"{rng.choice(['', 'a.', 'b.c.'])}h{rng.randrange(3000)}.{rng.choice(['test', 'org'])}/{rng.choice(['', 'x/', 'x/y/', 'z'])}" for _ in range(6000)})
+    rules = [url_rules.host_path_rule(rng.choice(["allow", "block"]), n) for n in names]
+    urls = [f"http://{rng.choice(['', 'a.', 'www.', 'b.c.'])}h{rng.randrange(3200)}.{rng.choice(['test', 'org'])}/{rng.choice(['', 'x/1', 'x/y/2', 'zz', 'w'])}" for _ in range(800)]
+
+    def plain(url):
+        host, _, path = url.split("://")[1].partition("/")
+        fits = [r for r in rules for h, _, p in [r.name.partition("/")] if (host == h or host.endswith("." + h)) and ("/" + path).startswith("/" + p)]
+        return max(((len(r.name), r.name, r.verdict) for r in fits), default=(0, None, "allow"))[1:]
+
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [(r["rule"], r["verdict"]) for r in url_rules.judge_urls(df, rules).collect()] == [plain(u) for u in urls]
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([("http://a.net/es/", "mine", 7)], "url string, host string, Verdict int")
+    [r] = url_rules.judge_urls(df, url_rules.LISTED).collect()
+    assert r.asDict() == {"url": "http://a.net/es/", "host_given": "mine", "Verdict_given": 7, "host": "a.net", "path": "/es/", "rule": "net/es/", "verdict": "block"}
 
 
 def test_keep_allowed_keeps_columns(spark):
