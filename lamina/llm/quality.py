@@ -1,6 +1,6 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Bytes are embedded; learned filters of KERNEL bytes run over the whole text at every second byte.
+Bytes are embedded; learned filters of KERNEL bytes run over the whole text with a stride of STEP bytes.
 Their responses are max-pooled over chunks of 2 * BLOCK filter positions, each overlapping the next
 by half, so that the chunks cover the whole document. The mean and the maximum of the chunks' pooled
 responses are combined by a logistic unit into one probability.
@@ -39,13 +39,18 @@ class Model:
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes, each padded by zeros to whole blocks, and the first block of each."""
+    """All texts' bytes, each padded by zeros to whole blocks, and the first block of each.
+
+    A text has as many zeros before it as the last filter of a block reaches beyond its end, so that
+    none sees the next text.
+    """
     span = BLOCK * STEP
     blocks = np.array([max(1, -(-(len(t) + KERNEL - STEP) // span)) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(blocks)])
     out = np.zeros(int(starts[-1]) * span + KERNEL, np.uint8)
     for t, s in zip(texts, starts, strict=False):
-        out[s * span : s * span + len(t)] = np.frombuffer(t, np.uint8)
+        at = s * span + KERNEL - STEP
+        out[at : at + len(t)] = np.frombuffer(t, np.uint8)
     return out, starts
 
 
