@@ -18,17 +18,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """Texts and labels of at most rows labelled documents, by a hash of doc_id, none over longest characters.
 
     Both bounds are parameters of the classifiers: the driver holds rows * longest characters at most.
-    A document without text, and a label that is null, teach nothing; a repeated id counts once.
+    A document without text, and a label that is null, teach nothing; any label but 0 counts as 1; a
+    repeated id counts once.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(learnable(modulus, left_out))
-    ids = known.groupBy("doc_id").agg(F.min(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    y = {r["doc_id"]: r["y"] for r in ids}
-    if not y:
-        return [], np.zeros(0)
-    found = docs.where(F.col("doc_id").isin(list(y)) & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
-    texts = {r["doc_id"]: r["text"].encode() for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]), reverse=True)}
-    keys = sorted(texts)
-    return [texts[k] for k in keys], np.array([y[k] for k in keys])
+    ids = known.groupBy("doc_id").agg(F.min((F.col(label) != 0).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    useful = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
+    found = useful.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: r["doc_id"])
+    return [r["text"].encode() for r in found], np.array([r["y"] for r in found], np.int64)
 
 
 def score_texts(docs: DataFrame, score: Callable[[object, list[bytes]], np.ndarray], model: object, modulus: int, left_out: int, threshold: float) -> DataFrame:

@@ -1,13 +1,13 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed byte n-grams that it holds, case of A-Z ignored, each counted once.
+A text's features are the hashed n-grams of its characters, case of A-Z ignored, each counted once.
 A feature's value is its naive Bayes log-count ratio between the classes; a logistic regression on
 these values is fitted by gradient descent. Features whose ratio says little get no weight.
 
 Fitted on a bounded sample of labelled rows (sample_rows, sample_longest); every whole text is scored.
-Edge cases: a null or empty text holds no n-gram and scores by the bias alone; without labels, or
-with one class only, the score is the share of label 1 (0 without labels); repeated rows score
-alike; null ids keep their row and are not held out; extra columns are ignored.
+Edge cases: a null or empty text holds no n-gram and scores by the bias alone; any label but 0 counts
+as 1; without labels, or with one class only, the score is the share of label 1 (0 without labels);
+repeated rows score alike; null ids keep their row and are not held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ by_value(__name__)
 
 BITS = 18
 ORDERS = (4, 6, 8)
-#: Features rarer than this in the sample, or with a smaller log-count ratio, get no weight.
-LEAST_TEXTS, LEAST_RATIO = 4, 1.5
 _MIX = 0x9E3779B1
 
 
@@ -36,8 +34,9 @@ class Model:
 
 
 def ngram_hashes(text: bytes, orders: tuple[int, ...] = ORDERS) -> list[np.ndarray]:
-    """Bucket of every n-gram of a text, for each order; a text is framed by spaces."""
-    b = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint32)
+    """Bucket of every n-gram of a UTF-8 text, for each order in characters; a text is framed by spaces."""
+    framed = b" " + text.lower() + b" "
+    b = np.frombuffer(framed, np.uint8).astype(np.uint32) if framed.isascii() else np.frombuffer(framed.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     out, h = [], b
     for n in range(2, max(orders) + 1):
         if len(h) < 2:
@@ -53,7 +52,8 @@ def _held(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, steps: int = 200, penalty: float = 1e-3) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, steps: int = 200, penalty: float = 1e-3, least_texts: int = 4, least_ratio: float = 1.5) -> Model:
+    """Features in fewer than least_texts texts, or with a smaller log-count ratio, get no weight."""
     weights = np.zeros(1 << BITS, np.float32)
     if not len(texts) or labels.min() == labels.max():
         share = float(labels.mean()) if len(texts) else 0.0
@@ -65,7 +65,7 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 200, penalty: float
         seen[int(label), r] += 1
     p, q = seen[1] + 0.5, seen[0] + 0.5
     ratio = np.log(p / (y.sum() + 1)) - np.log(q / (len(y) - y.sum() + 1))
-    ratio[(seen.sum(0) < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ratio[(seen.sum(0) < least_texts) | (np.abs(ratio) < least_ratio)] = 0
     rows = [r[ratio[r] != 0] for r in rows]
     flat = np.concatenate(rows)
     lengths = np.array([len(r) for r in rows])
