@@ -2,13 +2,16 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams (case of A-Z ignored); a linear
 softmax on that mean gives the languages. Both are trained by stochastic gradient descent in numpy on
-whole texts and short snippets of them. A temperature fitted on texts kept back from training
-calibrates the probability, and texts below the rejection threshold are rejected.
-
-Fitted on a bounded sample of rows with text and lang (sample_rows, sample_longest); every whole text
-is scored. Edge cases: a text that is null or has no letter is ``und``, scores 0 and is rejected; no
-learnable rows make every text ``und``; ties go to the first language by code point; null ids keep
-their row and are not held out; repeated rows are predicted alike; extra columns pass keep_known().
+whole texts and short snippets of them. On texts kept back from training, a temperature is fitted that
+calibrates the probability, and then the rejection threshold: the highest one, up to reject_at_most,
+below which no more than the share `lost` of the kept-back texts lie that are identified rightly.
+
+Fitted on a bounded sample of rows with text and lang: sample_rows of them, shared out evenly among the
+languages, but least_rows of each language even if that is more; none over sample_longest characters.
+Every whole text is scored. Edge cases: a text that is null or has no letter is ``und``, scores 0 and is
+rejected; no learnable rows make every text ``und``; ties go to the first language by code point; null
+ids keep their row and are not held out; repeated rows are predicted alike; extra columns pass
+keep_known().
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, held_out, lean, learnable, prepare, text_bytes
@@ -59,11 +62,17 @@ def counts(text: bytes) -> np.ndarray:
     return out
 
 
-def _means(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for i, t in enumerate(texts):
-        c = counts(t)
-        out[i] = c / max(1.0, c.sum())
+def _mean(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and the share of each."""
+    c = counts(text)
+    held = np.flatnonzero(c)
+    return held.astype(np.int32), (c[held] / max(1.0, c.sum())).astype(np.float32)
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(rows), 1 << BITS), np.float32)
+    for row, (held, share) in zip(out, rows, strict=True):
+        row[held] = share
     return out
 
 
@@ -72,10 +81,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(texts: list[bytes], langs: list[str], epochs: int = 6, reject_below: float = 0.5, seed: int = 7) -> Model:
+def fit(texts: list[bytes], langs: list[str], epochs: int = 6, reject_at_most: float = 0.5, lost: float = 0.001, seed: int = 7) -> Model:
     languages = sorted(set(langs))
     if not languages:
-        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, reject_below)
+        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, reject_at_most)
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(v) for v in langs])
     kept_back = np.arange(len(texts)) % 8 == 7
@@ -85,7 +94,7 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, reject_below: flo
         at = int(rng.integers(0, max(1, len(t) - length)))
         snippets.append(t[at : at + length])
         owners.append(i)
-    x = np.concatenate([_means(texts), _means(snippets)])
+    x = [_mean(t) for t in texts + snippets]
     target = np.concatenate([y, y[owners]])
     back = np.concatenate([kept_back, kept_back[owners]])
     embed = rng.normal(0, 0.1, (1 << BITS, WIDTH)).astype(np.float32)
@@ -99,20 +108,26 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, reject_below: flo
         order = rng.permutation(learn)
         for at in range(0, len(order), 16):
             rows = order[at : at + 16]
-            mean = x[rows] @ embed
+            part = _dense([x[i] for i in rows])
+            used = np.flatnonzero(part.any(0))
+            part = part[:, used]
+            mean = part @ embed[used]
             error = (_softmax(mean @ soft + bias) - one_hot[target[rows]]) / len(rows)
             grad = error @ soft.T
             soft -= rate * mean.T @ error
             bias -= rate * 0.1 * error.sum(0)
-            used = np.flatnonzero(x[rows].any(0))
-            embed[used] -= rate * 20 * (x[rows][:, used].T @ grad)
+            embed[used] -= rate * 20 * (part.T @ grad)
     table = embed @ soft
-    temperature = 1.0
+    temperature, reject_below = 1.0, reject_at_most
     if back.any():
-        logits, truth = x[back] @ table + bias, target[back]
+        logits, truth = np.stack([share @ table[held] for held, share in (x[i] for i in np.flatnonzero(back))]) + bias, target[back]
         tries = np.geomspace(0.25, 8, 41)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-9).mean() for t in tries]
         temperature = float(tries[int(np.argmin(loss))])
+        p = _softmax(logits[: kept_back.sum()] / temperature)  # the whole texts; snippets are shorter than documents
+        right = np.sort(p.max(1)[p.argmax(1) == truth[: kept_back.sum()]])
+        if len(right):
+            reject_below = min(reject_at_most, float(right[int(lost * len(right))]))
     return Model(languages, table.astype(np.float64), bias.astype(np.float64), temperature, reject_below)
 
 
@@ -128,16 +143,20 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     return names, scores
 
 
-def learn(docs: DataFrame, modulus: int = 3, left_out: int = 1, sample_rows: int = 3000, sample_longest: int = 10_000, reject_below: float = 0.5) -> Model:
-    """A model from at most sample_rows learnable rows of at most sample_longest characters."""
+def learn(docs: DataFrame, modulus: int = 3, left_out: int = 1, sample_rows: int = 3000, sample_longest: int = 10_000, least_rows: int = 50, reject_at_most: float = 0.5, lost: float = 0.001) -> Model:
+    """A model from a sample of the learnable rows, chosen by a hash within each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_longest)).where(learnable(modulus, left_out))
-    known = known.where(F.col("doc_id").isNotNull())
+    known = known.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+    counts_ = known.groupBy("lang").agg(F.count("*").alias("n"))
+    quota = max(least_rows, sample_rows // max(1, counts_.count()))
     # a first cut by hash, so that only about twice the sample is sorted
-    total = known.select("doc_id").count()
-    share = min(1.0, (2.0 * sample_rows + 100) / max(1, total))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    rows = known.where(slot < int(share * (1 << 20)) + 1).orderBy(slot, "doc_id", "text").limit(sample_rows).select("text", "lang").collect()
-    return fit([r["text"].encode() for r in rows], [r["lang"] for r in rows], reject_below=reject_below)
+    span = 1 << 20
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    cut = F.least(F.lit(span), F.ceil((2.0 * quota + 100) / F.col("n") * span))
+    thin = known.join(F.broadcast(counts_.select("lang", cut.alias("cut"))), "lang").where(slot < F.col("cut"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(slot, "doc_id", "text"))
+    rows = thin.withColumn("nth", nth).where(F.col("nth") <= quota).orderBy("doc_id", "text").select("text", "lang").collect()
+    return fit([r["text"].encode() for r in rows], [r["lang"] for r in rows], reject_at_most=reject_at_most, lost=lost)
 
 
 def identify(docs: DataFrame, model: Model, modulus: int = 3, left_out: int = 1) -> DataFrame:

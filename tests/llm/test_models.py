@@ -28,9 +28,18 @@ def scored(spark, name, label):
     return np.array([r["predicted"] for r in held]), np.array([r[label] for r in held])
 
 
+#: What the planted toxic texts hold; nearly half of the toxic labels here are on texts like any other.
+INSULTS = "trash pathetic worthless idiot loser disgusting scum clown moron stupid".split()
+
+
 def test_toxicity_held_out(spark):
     p, y = scored(spark, "op2_toxicity", "toxic")
-    assert (p == y).mean() > 0.93 and (p[y == 1] == 1).mean() > 0.55 and (p[y == 0] == 0).mean() > 0.98
+    assert (p == y).mean() > 0.93 and (p[y == 1] == 1).mean() > 0.65 and (p[y == 0] == 0).mean() > 0.98
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").select("doc_id")
+    texts = spark.read.parquet(f"{SF}/documents.parquet").join(labels, "doc_id").select("doc_id", "text")
+    planted = texts.where("lower(text) rlike '" + "|".join(INSULTS) + "'").select("doc_id")
+    found = [r["predicted"] for r in QUERIES["op2_toxicity"](spark, SF).where("held_out").join(planted, "doc_id").collect()]
+    assert len(found) > 40 and np.mean(found) >= 0.95
 
 
 def test_quality_held_out(spark):
@@ -91,6 +100,73 @@ def test_chunks_cover_the_whole_text():
         assert (got[s:e].max(0) >= best - 1e-3).all()
 
 
+def test_rare_languages_are_learned(spark):
+    """A language with a few of very many rows is in the sample, and predicted."""
+    rng = random.Random(2)
+    words = {"aa": ["lorem", "dolor", "amet", "elit"], "zz": ["xyzzy", "plugh", "qwerty", "zxcvb"]}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(30))
+    rows = [(i, text(lang), lang) for i in range(3000) for lang in ["zz" if i % 150 == 0 else "aa"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, sample_rows=200)
+    names, _ = langid.predict(model, [text("zz").encode() for _ in range(20)] + [text("aa").encode() for _ in range(20)])
+    assert model.languages == ["aa", "zz"] and names == ["zz"] * 20 + ["aa"] * 20
+
+
+def test_the_rejection_threshold_follows_the_texts_kept_back():
+    rng = random.Random(3)
+    mixed = [b" ".join(rng.choice([b"ab", b"cd", b"ef"]) for _ in range(6)) for _ in range(400)]
+    model = langid.fit(mixed, ["a" if i % 2 else "b" for i in range(400)], lost=0.05)  # nothing to learn
+    back = [t for i, t in enumerate(mixed) if i % 8 == 7]
+    truth = ["a" if i % 2 else "b" for i in range(400) if i % 8 == 7]
+    names, p = langid.predict(model, back)
+    right = np.array([x for x, n, t in zip(p, names, truth, strict=True) if n == t])
+    assert model.reject_below <= 0.5 and (right < model.reject_below - 1e-6).mean() <= 0.05
+
+
+TEXTS = ["", "a", "Tiny text", "Ünïcödé wörds: слова и буквы, 文字", "x" * 5000, "The cat's \n\t mat 123"]
+
+
+def naive_buckets(values, orders, bits):
+    found = []
+    for n in orders:
+        for i in range(len(values) - n + 1):
+            h = values[i]
+            for v in values[i + 1 : i + n]:
+                h = (h * 0x01000193 % 2**32) ^ v
+            found.append((h * 0x9E3779B1 % 2**32) >> (32 - bits))
+    return found
+
+
+def test_scores_against_plain_sums():
+    """The three classifiers' scores, feature by feature and position by position."""
+    rng = np.random.default_rng(1)
+    texts = [t.encode() for t in TEXTS]
+    lower = lambda t: " " + re.sub("[A-Z]", lambda m: m.group().lower(), t) + " "
+    linear = toxicity.Model(np.where(rng.random(1 << toxicity.BITS) < 0.5, rng.normal(size=1 << toxicity.BITS), 0).astype(np.float32), 0.25)
+    for t, got in zip(TEXTS, toxicity.score(linear, texts), strict=True):
+        held = set(naive_buckets([ord(c) for c in lower(t)], toxicity.ORDERS, toxicity.BITS))
+        assert abs(got - 1 / (1 + np.exp(-np.clip(0.25 + sum(float(linear.weights[b]) for b in held), -40, 40)))) < 1e-6
+    subword = langid.Model(["a", "b", "c"], rng.normal(size=(1 << langid.BITS, 3)), rng.normal(size=3), 1.5, 0.5)
+    for t, name, got in zip(TEXTS, *langid.predict(subword, texts), strict=True):
+        if not re.search(r"[^\W\d_]", t):
+            assert (name, got) == ("und", 0)
+            continue
+        found = naive_buckets(list(lower(t).encode()), langid.ORDERS, langid.BITS)
+        z = (sum(subword.table[b] for b in found) / len(found) + subword.bias) / 1.5
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert name == "abc"[p.argmax()] and abs(got - p.max()) < 1e-9
+    q = quality
+    net = q.Model(rng.normal(size=(256, q.EMBED)).astype(np.float32), rng.normal(size=(q.KERNEL * q.EMBED, q.FILTERS)).astype(np.float32) * 0.2, rng.normal(size=q.FILTERS).astype(np.float32), rng.normal(size=2 * q.FILTERS).astype(np.float32) * 0.1, 0.1)
+    for t, got in zip(texts, q.score(net, texts), strict=True):
+        blocks = max(1, -(-(len(t) + q.KERNEL - q.STEP) // (q.BLOCK * q.STEP)))
+        padded = np.frombuffer(bytes(q.KERNEL - q.STEP) + t + bytes(blocks * q.BLOCK * q.STEP + q.KERNEL), np.uint8)
+        response = np.array([net.embed[padded[p : p + q.KERNEL]].reshape(-1) @ net.filters + net.offset for p in range(0, blocks * q.BLOCK * q.STEP, q.STEP)])
+        response = np.maximum(response, 0)
+        chunks = [response[b * q.BLOCK : (b + 2) * q.BLOCK].max(0) for b in range(blocks)]
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+        assert abs(got - 1 / (1 + np.exp(-(z @ net.combine + 0.1)))) < 1e-4
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
