@@ -25,7 +25,8 @@ themselves, and how many a document has, are not computed.
 
 Scale: a shingle has one pivot a slot at most, so but for the last round a round's pairs are at most
 the entries of the rarest shingles times its slots, and there is no pair list within a group of
-copies. The last round has pairs between components only. A region of any size is measured in chunks.
+copies. The last round has pairs between components only, and a bitmap of each set keeps those apart
+that differ too much. A region of any size is measured in chunks.
 
 Edge cases: null and empty texts have an empty set and link with nothing, their component is their
 own id; a document of fewer than five words has its whole sequence as one shingle; repeated rows and
@@ -67,6 +68,8 @@ REACHES = (50, 62, 69, 75)
 CHUNK_ENTRIES = 1 << 17
 #: Each round has so many times the slots of the one before, and with them more pivots a shingle.
 SLOTS_MORE = 4
+BITMAP_LONGS = 8
+BITS = [f"b{i}" for i in range(BITMAP_LONGS)]
 #: Groups of classes in which counts come together.
 HOMES = 256
 PIECE = 1 << 20
@@ -383,8 +386,30 @@ def _pivots(entries: DataFrame) -> DataFrame:
     return firsts.where("c = k").select("p")
 
 
-def _of_similar_size(reach: int):
-    return (100 * F.col("n") >= reach * F.col("n_p")) & (100 * F.col("n_p") >= reach * F.col("n"))
+def _may_reach(reach: int):
+    """What holds for a pair of reach percent at the first shingle that both have: similar sizes, and
+    from there on enough shingles in both. Later shingles of a pair need not pass."""
+    alike = (100 * F.col("n") >= reach * F.col("n_p")) & (100 * F.col("n_p") >= reach * F.col("n"))
+    return alike & ((100 + reach) * F.least("rest", "rest_p") >= reach * (F.col("n") + F.col("n_p")))
+
+
+@lean
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, bits: for each of 64 * BITMAP_LONGS bits whether an odd number of shingles falls on it."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, BITMAP_LONGS), np.uint64)
+        for row, s in zip(out, batch.column(1).to_pylist(), strict=True):
+            h = mix(np.frombuffer(s, np.uint64) + np.uint64(5))
+            odd = (np.bincount((h % np.uint64(64 * BITMAP_LONGS)).astype(np.int64), minlength=64 * BITMAP_LONGS) & 1).astype(np.uint8)
+            row[:] = np.packbits(odd).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, i].view(np.int64)) for i in range(BITMAP_LONGS)]], ["class", *BITS])
+
+
+def _bitmaps_allow(reach: int):
+    """Two sets differ in at least as many shingles as their bitmaps do in bits, and a pair of reach
+    percent in at most (100 - reach) / (100 + reach) of both together."""
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_p"))) for b in BITS])
+    return (100 + reach) * differ <= (100 - reach) * (F.col("n") + F.col("n_p"))
 
 
 def _near(pairs: DataFrame, sets: DataFrame, reach: int) -> DataFrame:
@@ -424,21 +449,23 @@ def join_by_pivots(sets: DataFrame, on_round=None) -> DataFrame:
     for turn, reach in enumerate(REACHES):
         here = alive.withColumn("k", _reached(reach).cast("int")).where("k > 0").withColumn("own", F.col("n") - F.col("known"))
         slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(SLOTS_MORE**turn))
-        entries = first.join(here, "class").where("place <= k").withColumns({"h": F.xxhash64("class", F.lit(turn)), "slot": slot})
+        entries = first.join(here, "class").where("place <= k").withColumns({"h": F.xxhash64("class", F.lit(turn)), "slot": slot, "rest": F.col("known") - F.col("place") + 1})
         whole = reach == THRESHOLD  # the last round: all that is left are pivots
         if whole:
             # of the components that hold a shingle, the largest need not ask the others
             rank = F.struct("order", "component")
-            most = F.max(rank).over(Window.partitionBy("key"))
-            asking = entries.withColumn("rank", rank).withColumn("most", most).where(F.col("rank") < F.col("most"))
-            its_keys = asking.select("key", F.col("class").alias("p"), F.col("n").alias("n_p"), F.col("rank").alias("rank_p"))
-            fit = (rank > F.col("rank_p")) & _of_similar_size(reach)
+            bits = sets.select("class", "set").join(here.select("class"), "class", "left_semi").mapInArrow(_bitmaps, "class long, " + ", ".join(f"{b} long" for b in BITS))
+            entries = materialize(entries.join(materialize(bits, "bits"), "class"), "entries")
+            most = entries.groupBy("key").agg(F.max(rank).alias("most"))
+            asking = entries.join(most, "key").where(rank < F.col("most"))
+            its_keys = asking.select("key", F.col("class").alias("p"), F.col("n").alias("n_p"), F.col("rest").alias("rest_p"), rank.alias("rank_p"), *[F.col(b).alias(f"{b}_p") for b in BITS])
+            fit = (rank > F.col("rank_p")) & _may_reach(reach) & _bitmaps_allow(reach)
             pivots = None
         else:
             pivots = materialize(_pivots(entries), "pivots")
-            its_keys = entries.join(pivots, F.col("class") == F.col("p")).select("key", "p", F.col("n").alias("n_p"))
-            fit = (F.col("class") != F.col("p")) & _of_similar_size(reach)
-        pairs = materialize(entries.select("key", "class", "n", "order", "component").join(its_keys, "key").where(fit).select("class", "p", "n").distinct(), "pairs")
+            its_keys = entries.join(pivots, F.col("class") == F.col("p")).select("key", "p", F.col("n").alias("n_p"), F.col("rest").alias("rest_p"))
+            fit = (F.col("class") != F.col("p")) & _may_reach(reach)
+        pairs = materialize(entries.drop("k", "known", "own", "h", "slot", "place").join(its_keys, "key").where(fit).select("class", "p", "n").distinct(), "pairs")
         near = materialize(_near(pairs, sets.select("class", "set"), reach), "near")
         free_shuffles(spark)
         links.append(materialize(near.where(linked).select(F.col("class").alias("u"), F.col("p").alias("v")), "found"))
