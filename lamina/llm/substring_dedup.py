@@ -2,43 +2,49 @@
 
 A byte goes if it lies in a string of LENGTH bytes that also starts earlier: in a document of
 smaller id, or earlier in the same one. Every such string has to be compared with all others of the
-corpus; they are put into buckets that get finer step by step.
+corpus; they are put into buckets that get finer step by step, and what is removed follows from the
+bytes, never from a hash.
 
 1. Initial q-gram buckets. A string's bucket is the q-gram of GRAM bytes in it whose hash is least
    (the first, of equal ones). Equal strings share it at the same offset. Neighbouring strings mostly
-   have the same q-gram in common; such a run of starts is one row (bucket, identity of the whole
-   stretch of text, document, first start, starts). Buckets with one row are done.
-2. Rows of one bucket with equal stretches: all but the first are repeated as a whole, and nothing of
-   them has to be read again. A shard of documents settles its own before anything is shuffled, so
-   that a passage found everywhere is sent once a shard.
-3. What is left in a bucket are different stretches around one q-gram. Their text is fetched, and
-   their suffixes are sorted by bucket-pointer refinement: buckets of 8-grams are refined by sorting
-   on the bucket pointers of later offsets, which the pass before has itself refined, so depth doubles
-   with each pass and only buckets with more than one suffix are sorted again. Starts that
-   share a bucket at depth LENGTH hold equal strings.
-4. A bucket with more than LARGE different stretches is split first: each of its strings becomes a
-   bucket of its own identifier, and step 2 settles those.
-
-Identities of stretches are 64-bit hashes beside a 64-bit hash of the q-gram; a false match needs
-both to collide.
+   have the same q-gram in common; such a run of starts is one row (bucket, document, first start,
+   starts), and its stretch of text is compared as one. Buckets with one row are done. A shard of
+   documents leaves out rows whose bytes it has seen already, before anything is shuffled, so that
+   a passage found everywhere is sent once a shard.
+2. The text of the other rows is fetched and each bucket refined. First whole stretches, by words of
+   eight bytes: words get bucket pointers by their value, and with each pass pairs of neighbouring
+   words get theirs by sorting on the pointers of both, which the pass before has made, until one
+   pointer stands for the whole stretch. All rows of a stretch but the first are repeated as a whole.
+3. Then, where a bucket holds different stretches around its q-gram, the suffixes within them: buckets
+   of 8-grams are refined by sorting on the bucket pointers of later offsets, which the pass before has
+   itself refined, so depth doubles with each pass and only buckets with more than one suffix are
+   sorted again. Starts that share a bucket at depth LENGTH hold equal strings.
+4. A bucket of more than LARGE rows is dealt out by its stretches for step 2, and what differs is not
+   sorted at once: its strings move to finer buckets, by the q-gram of the next larger hash in them and
+   its place, and steps 2 and 3 are done with those; so again, at most MOST_TURNS times, as long as a
+   bucket is large.
 
 Edge cases: null and empty texts have no bytes and keep nothing; texts below LENGTH keep all; rows
 with the same id are documents of their own, in order of their text's hash, and null ids come last;
-a text repeated many times loses all but its first row; very long texts are taken in overlapping
-pieces; an empty table gives an empty result; extra columns pass through deduplicate().
+ids that are no whole numbers are ordered as their type is; a text repeated many times loses all but
+its first row; very long texts are taken in overlapping pieces; an empty table gives an empty result;
+extra columns pass through deduplicate().
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import by_value, discard, free_shuffles, lean, materialize, prepare, shards, text_bytes
+from .common import by_value, free_shuffles, lean, materialize, prepare, shards, text_bytes
 from .hashing import BASE, TABLE, Powers, mix, power, running
 
 by_value(__name__)
@@ -53,6 +59,8 @@ SHARD_BYTES = 8 << 20
 #: Text that is sorted at once.
 SORT_BYTES = 2 << 20
 LARGE = 4096
+MOST_TURNS = 6
+
 
 def gram_hashes(values: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each place, put together from hashes of 2, 4, 8 and 16."""
@@ -106,16 +114,33 @@ def _packed(first: np.ndarray, count: np.ndarray, done: np.ndarray | int) -> np.
     return (first << 32) | (count << 1) | done
 
 
-def _combined(bucket: np.ndarray, stretch: np.ndarray, did: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    """Rows of a shard in order of (did, first): those with an equal row before them are done.
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the stretches of data from a and from b are equal, compared eight bytes at a time."""
+    words = np.ndarray(max(0, len(data) - 7), "<u8", data.tobytes(), strides=(1,))
+    same = np.ones(len(a), bool)
+    for at in range(0, int(sizes.max(initial=0)), 8):
+        step = np.minimum(at, sizes - 8)  # the last word ends with the stretch
+        same &= words[a + step] == words[b + step]
+    return same
+
+
+def _combined(data: np.ndarray, base: np.ndarray, bucket: np.ndarray, stretch: np.ndarray, did: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Rows of a shard in order of (did, first): those with the bytes of a row before them are done.
 
-    A done row gets a bucket of its own, so that it meets nothing and is spread evenly.
+    base is where each row's document begins in data. A done row gets a bucket of its own, so that it
+    meets nothing and is spread evenly.
     """
     key = mix(bucket.view(np.uint64) * np.uint64(3) + stretch.view(np.uint64))
     order = np.argsort(key, kind="stable")
     ordered = key[order]
+    begin = np.r_[True, ordered[1:] != ordered[:-1]]
+    leader = order[np.flatnonzero(begin)[np.cumsum(begin) - 1]]
+    later = np.flatnonzero(~begin)
+    mine, theirs = order[later], leader[later]
+    equal = count[mine] == count[theirs]
+    mine, theirs = mine[equal], theirs[equal]
     again = np.zeros(len(key), bool)
-    again[order[1:]] = ordered[1:] == ordered[:-1]
+    again[mine] = _same_bytes(data, base[mine] + first[mine], base[theirs] + first[theirs], count[mine] + LENGTH - 1)
     # adjoining rows that are done are one
     begins = np.ones(len(key), bool)
     begins[1:] = ~(again[1:] & again[:-1] & (did[1:] == did[:-1]) & (first[1:] == first[:-1] + count[:-1]))
@@ -137,23 +162,52 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard in shards(batches, "text", SHARD_BYTES):
         ids = shard.column(0).to_numpy()
         texts = text_bytes(shard, "text")
-        parts = [(np.full(len(r[0]), ids[i]), *r) for i in np.argsort(ids, kind="stable") if len((r := rows_of_text(texts[i]))[0])]
+        parts, held, at = [], [], 0
+        for i in np.argsort(ids, kind="stable"):
+            r = rows_of_text(texts[i])
+            if len(r[0]):
+                parts.append((np.full(len(r[0]), ids[i]), np.full(len(r[0]), at), *r))
+                held.append(texts[i])
+                at += len(texts[i])
         if parts:
-            did, bucket, stretch, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield _combined(bucket, stretch, did.astype(np.int64), first, count)
+            did, base, bucket, stretch, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield _combined(np.frombuffer(b"".join(held), np.uint8), base, bucket, stretch, did.astype(np.int64), first, count)
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Rows that are repeated as a whole (done), and those still open in a bucket of m stretches."""
-    near = Window.partitionBy("bucket").orderBy("stretch", "did", "pos")
-    whole = Window.partitionBy("bucket")
-    before = F.lag("stretch").over(near)
-    marked = rows.withColumn("fresh", before.isNull() | (before != F.col("stretch")))
-    marked = marked.withColumn("m", F.sum(F.col("fresh").cast("int")).over(whole)).withColumn("known", F.col("pos") % 2 == 1)
-    done = F.col("known") | ~F.col("fresh")
-    return marked.where(done | (F.col("m") > 1)).select(
-        "bucket", "did", F.shiftright("pos", 32).cast("int").alias("first"), (F.shiftright("pos", 1) % (1 << 31)).cast("int").alias("count"), done.alias("done"), "m"
-    )
+    """Rows that a shard knows to be repeated (done), and those that share their bucket with others: part
+    deals a bucket of more than LARGE rows out by their stretches."""
+    marked = rows.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).withColumn("done", F.col("pos") % 2 == 1)
+    part = F.when(F.col("m") > LARGE, F.pmod(F.col("stretch"), F.floor(F.col("m") / LARGE) + 1)).otherwise(F.lit(-1)).cast("int")
+    place = (F.shiftright("pos", 32).cast("int").alias("first"), (F.shiftright("pos", 1) % (1 << 31)).cast("int").alias("count"))
+    return marked.where(F.col("done") | (F.col("m") > 1)).select("bucket", part.alias("part"), "did", *place, "done")
+
+
+def stretch_pointers(pieces: list[bytes], bucket: np.ndarray) -> np.ndarray:
+    """For each piece a pointer that is equal where the bucket and all bytes are equal.
+
+    Words of eight bytes are the first level; each pass makes the pointer of twice the words from those
+    of its halves, for pieces that are not yet alone with theirs.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    width = max(1, int(-(-sizes.max(initial=1) // 8)))
+    width = 1 << (width - 1).bit_length()
+    pointer = np.zeros(len(pieces), np.int64)
+    _, pointer = np.unique(np.stack([bucket, sizes], 1), axis=0, return_inverse=True)
+    pointer = pointer.reshape(-1)
+    open_ = np.flatnonzero(np.bincount(pointer)[pointer] > 1)
+    if not len(open_):
+        return pointer
+    table = np.zeros((len(open_), width * 8), np.uint8)
+    for row, i in zip(table, open_.tolist(), strict=True):
+        row[: sizes[i]] = np.frombuffer(pieces[i], np.uint8)
+    level = np.unique(table.view("<u8"), return_inverse=True)[1].reshape(len(open_), width)
+    while level.shape[1] > 1:
+        pair = level[:, 0::2] << 32 | level[:, 1::2]
+        level = np.unique(pair, return_inverse=True)[1].reshape(pair.shape)
+    _, fine = np.unique(pointer[open_] << 32 | level[:, 0], return_inverse=True)
+    pointer[open_] = len(pieces) + fine
+    return pointer
 
 
 def bucket_pointers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -215,9 +269,14 @@ def _spans(first: int, flags: np.ndarray) -> list[tuple[int, int]]:
     return [(first + int(a), first + int(b) - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+PIECES = "bucket long, part int, did long, first int, piece binary"
+PIECE_COLUMNS = ["bucket", "part", "did", "first", "piece"]
+FOUND = "did long, s int, e int, bucket long, piece binary"
+
+
 def _fetch(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """bucket, did, first, piece: the text of every open row."""
-    wanted = open_rows.groupBy("did").agg(F.collect_list(F.struct("bucket", "first", "count")).alias("rows"))
+    """bucket, part, did, first, piece: the text of every open row."""
+    wanted = open_rows.groupBy("did").agg(F.collect_list(F.struct("bucket", "part", "first", "count")).alias("rows"))
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,12 +284,12 @@ def _fetch(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
             texts = text_bytes(batch, "text")
             for did, rows, text in zip(batch.column(0).to_pylist(), batch.column(1), texts, strict=True):
                 own = rows.values
-                bucket, first, count = (own.field(i).to_numpy() for i in range(3))
+                bucket, part, first, count = (own.field(i).to_numpy() for i in range(4))
                 pieces = [text[f : f + c - 1 + LENGTH] for f, c in zip(first.tolist(), count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), did, np.int64)), pa.array(first.astype(np.int32)), pa.array(pieces, pa.binary())], ["bucket", "did", "first", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part), pa.array(np.full(len(bucket), did, np.int64)), pa.array(first.astype(np.int32)), pa.array(pieces, pa.binary())], PIECE_COLUMNS)
 
     joined = wanted.join(docs, "did").select("did", "rows", "text")
-    return joined.mapInArrow(_gathered(work), "bucket long, did long, first int, piece binary")
+    return joined.mapInArrow(_gathered(work), PIECES)
 
 
 def _gathered(work):
@@ -253,79 +312,116 @@ def _gathered(work):
 
 @lean
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of their bucket; whole buckets are sorted together, about SORT_BYTES at once."""
+    """Spans to remove (did, s, e), from rows in order of bucket and part; whole buckets are sorted
+    together, about SORT_BYTES at once.
+
+    Of a bucket that is dealt out in parts (part is not -1) the different stretches come back whole, as
+    rows of did, s, bucket and piece, to be put into finer buckets.
+    """
     held: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table) -> pa.RecordBatch:
-        did, first = table.column("did").to_numpy(), table.column("first").to_numpy().astype(np.int64)
-        flags = repeated_starts(table.column("piece").to_pylist(), did, first)
-        out = [(d, s, e) for d, f, own in zip(did.tolist(), first.tolist(), flags, strict=True) if own.any() for s, e in _spans(f, own)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["did", "s", "e"])
+        bucket, part, did, first = (table.column(c).to_numpy().astype(np.int64) for c in PIECE_COLUMNS[:4])
+        pieces = table.column("piece").to_pylist()
+        pointer = stretch_pointers(pieces, bucket)
+        order = np.lexsort((first, did, pointer))
+        later = np.zeros(len(order), bool)
+        later[order[1:]] = pointer[order[1:]] == pointer[order[:-1]]
+        out = [(did[i], first[i], first[i] + len(pieces[i]), None, None) for i in np.flatnonzero(later)]
+        _, group, sizes = np.unique(np.where(later, -1, bucket), return_inverse=True, return_counts=True)
+        differ = ~later & (part < 0) & (sizes[group.reshape(-1)] > 1)
+        if differ.any():
+            some = np.flatnonzero(differ)
+            flags = repeated_starts([pieces[i] for i in some], did[some], first[some])
+            out += [(did[i], s, e, None, None) for i, own in zip(some, flags, strict=True) if own.any() for s, e in _spans(int(first[i]), own)]
+        out += [(did[i], first[i], None, bucket[i], pieces[i]) for i in np.flatnonzero(~later & (part >= 0))]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["did", "s", "e", "bucket", "piece"])
 
     size = 0
     for batch in batches:
         held.append(batch)
-        size += batch.column(3).nbytes
+        size += batch.column(4).nbytes
         if size >= SORT_BYTES:
             table = pa.Table.from_batches(held)
-            bucket = table.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            bucket, part = table.column("bucket").to_numpy(), table.column("part").to_numpy()
+            last = (bucket == bucket[-1]) & (part == part[-1])  # the last bucket may go on
+            cut = len(last) - int(last.sum())
             if cut:
                 yield flush(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
-                size = sum(b.column(3).nbytes for b in held)
+                size = sum(b.column(4).nbytes for b in held)
     if held:
         yield flush(pa.Table.from_batches(held))
 
 
-@lean
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the fetched pieces as a row of a bucket of its own."""
-    for shard in shards(batches, "piece", SORT_BYTES):
-        did, first = shard.column(1).to_numpy(), shard.column(2).to_numpy().astype(np.int64)
-        order = np.lexsort((first, did))
-        pieces = shard.column(3).to_pylist()
-        parts = []
-        for i in order:
-            values = TABLE[np.frombuffer(pieces[i], np.uint8)]
-            _, down = Powers.get(len(values))
-            total = running(values)
-            n = len(values) - LENGTH + 1
-            string = (total[LENGTH:] - total[:n]) * down[:n]
-            parts.append((mix(string), mix(mix(string + np.uint64(7))), np.full(n, did[i]), first[i] + np.arange(n)))
-        a, b, d, f = (np.concatenate(x) for x in zip(*parts, strict=True))
-        yield _combined(a.view(np.int64), b.view(np.int64), d, f, np.ones(len(f), np.int64))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """did, s, e: byte spans to remove (they may overlap); docs has did, unique and ordered, and text."""
+def _finer(turn: int):
+    """Rows of did, s, bucket, piece to rows of finer buckets: each string of a piece goes to the bucket
+    of its q-gram that comes next by hash after `turn` others, and its place; runs of starts stay together."""
+
+    @lean
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for did, first, bucket, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                h = gram_hashes(TABLE[np.frombuffer(piece, np.uint8)])
+                windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+                nth = np.argsort(windows, axis=1, kind="stable")[:, turn]
+                place = nth + np.arange(len(windows))
+                begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                for a, b in zip(begin.tolist(), np.r_[begin[1:], len(place)].tolist(), strict=True):
+                    name = mix(np.array([bucket], np.int64).view(np.uint64) * np.uint64(BASE) + h[place[a]])
+                    own = piece[a : b - 1 + LENGTH]
+                    out.append((int(name.view(np.int64)[0]), zlib.crc32(own), did, first + a, own))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "stretch", "did", "first", "piece"])
+
+    return work
+
+
+def repeated_spans(docs: DataFrame, on_step=None) -> DataFrame:
+    """did, s, e: byte spans to remove (they may overlap); docs has did, unique and ordered, and text.
+
+    on_step is called with the name of each step and its rows, at the price of a count.
+    """
     rows = docs.mapInArrow(_bucket_rows, ROW)
     settled = materialize(settle(rows), "settled")
     free_shuffles(docs.sparkSession)
-    span = ("did", F.col("first").alias("s"), (F.col("first") + F.col("count") + (LENGTH - 1)).cast("int").alias("e"))
-    spans = settled.where("done").select(*span)
-    pending = settled.where("NOT done")
-    pieces = _fetch(pending.where(F.col("m") <= LARGE), docs)
-    spans = spans.unionByName(pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "did long, s int, e int"))
-    large = pending.where(F.col("m") > LARGE)
-    if not large.isEmpty():
-        strings = settle(_fetch(large, docs).mapInArrow(_string_rows, ROW))
-        spans = spans.unionByName(strings.where("done").select(*span))
-    found = materialize(spans, "spans")
-    free_shuffles(docs.sparkSession)
-    discard(settled)
-    return found
-
-
-def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs' id and text with did: the id itself where ids are unique, else the place in their order."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    clash = plain.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
-    if clash.isEmpty():
-        return plain.select("doc_id", F.col("doc_id").cast("long").alias("did"), "text")
+    end = (F.col("first") + F.col("count") + (LENGTH - 1)).cast("int")
+    spans = [settled.where("done").select("did", F.col("first").alias("s"), end.alias("e"))]
+    pieces = _fetch(settled.where("NOT done"), docs)
+    turn = 0
+    while True:
+        turn += 1
+        ordered = pieces.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+        found = materialize(ordered.mapInArrow(_sort_buckets, FOUND), "spans")
+        free_shuffles(docs.sparkSession)
+        spans.append(found.where("e IS NOT NULL").select("did", "s", "e"))
+        if on_step is not None:
+            on_step(f"refined {turn}", spans[-1].count())
+        large = found.where("e IS NULL").select("did", "s", "bucket", "piece")
+        if large.isEmpty():
+            break
+        finer = large.mapInArrow(_finer(turn), "bucket long, stretch long, did long, first int, piece binary")
+        counted = finer.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1")
+        part = F.when((F.col("m") > LARGE) & F.lit(turn < MOST_TURNS), F.pmod(F.col("stretch"), F.floor(F.col("m") / LARGE) + 1)).otherwise(F.lit(-1)).cast("int")
+        pieces = counted.withColumn("part", part).select(*PIECE_COLUMNS)
+    if on_step is not None:
+        on_step("known to a shard", spans[0].count())
+    return reduce(DataFrame.unionByName, spans)
+
+
+def numbered(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
+    """docs' id and text with did: the id itself where ids are unique whole numbers, else the place in
+    their order. With carry, all columns come along as a struct _row."""
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *own)
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        clash = plain.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+        if clash.isEmpty():
+            return plain.withColumn("did", F.col("doc_id").cast("long"))
     order = plain.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return materialize(order.select("doc_id", F.monotonically_increasing_id().alias("did"), "text"), "numbered")
+    return materialize(order.withColumn("did", F.monotonically_increasing_id()), "numbered")
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -346,13 +442,13 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text, spans of every row."""
+def _with_spans(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
+    """doc_id, text, spans of every row, and _row with carry."""
     prepare(docs.sparkSession)
-    plain = numbered(docs, doc_id, text)
+    plain = numbered(docs, doc_id, text, carry)
     spans = repeated_spans(plain.select("did", "text"))
     lists = spans.groupBy("did").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return plain.join(lists, "did", "left").select("doc_id", "text", "spans")
+    return plain.join(lists, "did", "left").select("doc_id", "text", "spans", *(["_row"] if carry else []))
 
 
 def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -375,13 +471,20 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and what is left of each text; bytes that no longer form a character are dropped."""
+    """docs with what is left of each text, null texts as they are; all columns stay. Bytes that no longer
+    form a character are dropped here, though the report counts and digests them."""
+    at = docs.columns.index(text)
+    found = _with_spans(docs, doc_id, text, carry=True)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = found.select("_row.*", "spans").toDF(*names, "spans")
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [kept_bytes(t, _merged(s)).decode("utf-8", "ignore") for t, s in zip(text_bytes(batch, "text"), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], ["doc_id", "text"])
+            texts, spans, null = text_bytes(batch, f"c{at}"), batch.column(len(names)).to_pylist(), batch.column(at).is_null().to_pylist()
+            left = [None if n else kept_bytes(t, _merged(s)).decode("utf-8", "ignore") for t, s, n in zip(texts, spans, null, strict=True)]
+            columns = [batch.column(i) for i in range(len(names))]
+            columns[at] = pa.array(left, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return _with_spans(docs, doc_id, text).mapInArrow(work, f"doc_id {kind}, text string")
+    return plain.mapInArrow(work, plain.drop("spans").schema).toDF(*docs.columns)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import jaccard_join as J
 from lamina.llm import substring_dedup as S
@@ -256,6 +257,41 @@ def test_repeated_and_null_ids(spark):
     assert left == {2: "q" + t, None: ""}
 
 
+def test_deduplicate_keeps_columns_and_orders_other_ids(spark):
+    rng = random.Random(8)
+    t = "".join(rng.choice("abcdef") for _ in range(150))
+    df = spark.createDataFrame([("b", t, 1, "x"), ("a", t, 2, "y"), ("c", None, 3, "z"), (None, t + "!", 4, "w")], "doc_id string, text string, spans int, did string")
+    left = S.deduplicate(df)
+    assert left.columns == df.columns
+    assert sorted((r["spans"], r["did"], r["text"]) for r in left.collect() if r["text"] is not None) == [(1, "x", ""), (2, "y", t), (4, "w", "!")]
+    assert left.where("doc_id = 'c'").first()["text"] is None
+
+
+def test_refinement_decides(spark, monkeypatch):
+    """Passages in many documents, in shards of a few: what is removed between shards comes from sorted bytes,
+    also where every hash of a stretch is the same."""
+    monkeypatch.setattr(S, "SHARD_BYTES", 3000)
+    rows = passages(7)
+    df = spark.createDataFrame([(d, t) for d, t in rows], "did long, text string").repartition(4)
+    steps = {}
+    S.repeated_spans(df, lambda name, n: steps.update({name: n})).count()
+    assert steps["refined 1"] > steps["known to a shard"] > 0
+    plain = S.rows_of_piece
+    monkeypatch.setattr(S, "rows_of_piece", lambda data: (plain(data)[0], np.zeros_like(plain(data)[1]), *plain(data)[2:]))
+    found = {r[0]: tuple(r[1:]) for r in S.removal_report(df.select(F.col("did").alias("doc_id"), "text")).collect()}
+    assert found == brute_removal(rows)
+
+
+def test_stretch_pointers_tell_bytes_apart():
+    rng = random.Random(3)
+    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 5))) * rng.randrange(1, 60) for _ in range(300)]
+    bucket = np.array([rng.randrange(3) for _ in pieces])
+    p = S.stretch_pointers(pieces, bucket)
+    for i in range(300):
+        for j in range(300):
+            assert (p[i] == p[j]) == ((bucket[i], pieces[i]) == (bucket[j], pieces[j]))
+
+
 def test_bucket_pointers_order_suffixes():
     rng = random.Random(9)
     data = bytes(rng.choice(b"ab") for _ in range(60)) * 6
