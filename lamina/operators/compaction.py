@@ -108,13 +108,18 @@ def overlapping_rows(candidates: DataFrame, lo, hi) -> DataFrame:
         lo, hi = a, b
 
 
-def universal_pick(files: Sequence[dict], options: Options) -> list[dict]:
-    """Oldest files whose sizes stay within the ratio of what is picked before; [] if too few."""
+def universal_pick(files: Iterable[dict], options: Options) -> list[dict]:
+    """Oldest files whose sizes stay within the ratio of what is picked before; [] if too few.
+
+    An iterable that is no list must come in the order of file_id; no more of it is read than decides.
+    """
     least = max(2, options.universal_min_merge_width)
     most = max(least, options.universal_max_merge_width)
     picked: list[dict] = []
     total = 0
-    for f in sorted((f for f in files if f["level"] == 0), key=lambda f: f["file_id"]):
+    for f in sorted(files, key=lambda f: f["file_id"]) if isinstance(files, list) else files:
+        if f["level"] != 0:
+            continue
         limit = max(1, total * max(1, options.universal_size_ratio) // 100)
         if len(picked) == most or picked and f["file_size"] > limit:
             break
@@ -153,10 +158,15 @@ def pick(files: Sequence[dict], options: Options) -> tuple[str, list[dict], int]
             best = (level, size, target)
     if best is None:
         return None
-    level = best[0]
-    first = next(f for f in files if f["level"] == level)
-    below, _, _ = overlapping([f for f in files if f["level"] == level + 1], first["min_key"], first["max_key"])
-    return ("merge" if below else "move"), [first, *below], level + 1
+    level, size, target = best
+    first: list[dict] = []
+    for f in files:  # in one go as many files as bring the level below its target
+        if f["level"] == level and size > target:
+            first.append(f)
+            size -= f["file_size"]
+    lo, hi = min(f["min_key"] for f in first), max(f["max_key"] for f in first)
+    below, _, _ = overlapping([f for f in files if f["level"] == level + 1], lo, hi)
+    return ("merge" if below else "move"), [*first, *below], level + 1
 
 
 def stall_reason(files: Sequence[dict], options: Options, flushing: bool = False) -> str | None:

@@ -42,13 +42,12 @@ def sweep(intervals: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, bytes,
     return out
 
 
-def _bucket(key: Column, bounds: list[bytes]) -> Column:
-    """How many bounds are at or below key."""
+def _bucket(key: Column, bounds: list[bytes], least: int = 0) -> Column:
+    """How many bounds are at or below key: a binary search, as a tree of comparisons."""
     if not bounds:
-        return F.lit(0)
-    just_after = F.concat(key, F.lit(b"\0"))
-    placed = F.sort_array(F.array_append(F.array(*[F.lit(b) for b in bounds]), just_after))
-    return (F.array_position(placed, just_after) - 1).cast("int")
+        return F.lit(least)
+    mid = len(bounds) // 2
+    return F.when(key < F.lit(bounds[mid]), _bucket(key, bounds[:mid], least)).otherwise(_bucket(key, bounds[mid + 1 :], least + mid + 1))
 
 
 def _spread(rows: list[tuple[int, bytes, bytes, int]], bounds: list[bytes]) -> list[tuple[int, int, bytes, bytes, int]]:

@@ -2,7 +2,7 @@
 
 An operator is a Catalyst expression over (key, base or null, operands oldest first) or a Python
 function with the same arguments, which runs in Arrow batches. A null result means that the key is
-absent. Commutative operators also say how operands aggregate, so that they combine before a shuffle.
+absent. Operators whose operands aggregate say how; then no row ever holds all operands of a key.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class MergeOperator:
-    """fold: the expression; reduce: an aggregate over operands, and combine of base and its result."""
+    """fold: the expression; reduce: an aggregate over operands and their sequence numbers, and combine of
+    base and its result."""
 
     name: str
     fold: Callable[[Column, Column, Column], Column]
-    reduce: Callable[[Column], Column] | None = None
+    reduce: Callable[[Column, Column], Column] | None = None
     combine: Callable[[Column, Column], Column] | None = None
 
 
@@ -46,12 +47,12 @@ APPEND = MergeOperator("append", _append)
 SUM = MergeOperator(
     "sum",
     _sum,
-    lambda v: F.sum(_number(v)),
+    lambda v, seq: F.sum(_number(v)),
     lambda base, x: F.when(base.isNotNull() | x.isNotNull(), _as_bytes((F.coalesce(_number(base), F.lit(0)) + F.coalesce(x, F.lit(0))).cast("decimal(38,0)"))),
 )
-MAX = MergeOperator("max", lambda k, b, o: F.greatest(b, F.array_max(o)), F.max, lambda base, x: F.greatest(base, x))
-MIN = MergeOperator("min", lambda k, b, o: F.least(b, F.array_min(o)), F.min, lambda base, x: F.least(base, x))
-LAST = MergeOperator("last", lambda k, b, o: F.coalesce(F.try_element_at(o, F.lit(-1)), b))
+MAX = MergeOperator("max", lambda k, b, o: F.greatest(b, F.array_max(o)), lambda v, seq: F.max(v), lambda base, x: F.greatest(base, x))
+MIN = MergeOperator("min", lambda k, b, o: F.least(b, F.array_min(o)), lambda v, seq: F.min(v), lambda base, x: F.least(base, x))
+LAST = MergeOperator("last", lambda k, b, o: F.coalesce(F.try_element_at(o, F.lit(-1)), b), lambda v, seq: F.max_by(v, seq), lambda base, x: F.coalesce(x, base))
 
 
 def _set_union(key: Column, base: Column, operands: Column) -> Column:
@@ -61,7 +62,13 @@ def _set_union(key: Column, base: Column, operands: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(members, lambda m: m != "")), ",").cast("binary")
 
 
-SET_UNION = MergeOperator("set_union", _set_union)
+def _set_combined(base: Column, operands: Column) -> Column:
+    """A value without operands stays as it is."""
+    return F.when(operands.isNull() | (F.size(operands) == 0), base).otherwise(_set_union(base, base, operands))
+
+
+#: The distinct operands of a key are about as large as its result.
+SET_UNION = MergeOperator("set_union", _set_union, lambda v, seq: F.collect_set(v), _set_combined)
 BUILT_IN = {m.name: m for m in (APPEND, SUM, MAX, MIN, LAST, SET_UNION)}
 
 

@@ -1,9 +1,11 @@
 """Resolve: the visible value of every key of a change log as of a sequence number.
 
-One shuffle on (cf_id, key): records get the covering tombstone's sequence number by a broadcast
-join, then one aggregation finds the newest value or tombstone and the operands above it. A log
-without merge operands needs no list and stays in generated code; commutative operators aggregate
-their operands in two steps, so a hot key is combined before the shuffle.
+Records are grouped by (cf_id, key), combined before the shuffle as far as the operator allows; then
+each key, not each record, gets the sequence number of the range tombstone that covers it. Without
+merge operands that is one shuffle, and all stays in generated code. Operators that aggregate (sum,
+max, min, last, set_union) find a key's newest base first, and aggregate the operands above it in a
+second pass over the log: a hot key is combined before the shuffle in both. The others (append, Python
+functions) need a key's operands together, as their result does.
 
 Conditions on keys may be applied to the log; conditions on values, types or sequence numbers (but
 for the snapshot) only hold above the aggregation, where Catalyst leaves them.
@@ -21,6 +23,10 @@ from .coverage import with_coverage
 from .merge import MergeOperator, merge_operator
 
 
+#: Ranges of a transaction that are broadcast; with more the engine chooses the join itself.
+MOST_RANGES = 10_000
+
+
 def visible(log: DataFrame, as_of: int | None = None, key_range: KeyRange | None = None, cf_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Point records and range tombstones that matter for a snapshot, range and column family."""
     seen = log
@@ -46,29 +52,27 @@ def resolve(
 ) -> DataFrame:
     """cf_id, key, val of every visible key. The flags come from file statistics and only save work."""
     points, tombstones = visible(log, as_of, key_range, cf_id)
-    covered = with_coverage(points, tombstones if has_tombstones else None)
     operator = merge_operator(merge)
     is_base = F.col("vt").isin(TOMBSTONE, VALUE)
     base = F.max(F.when(is_base, F.struct("seq", "vt", "val"))).alias("b")
+    listed = has_operands and operator.reduce is None
+    operand = F.when(F.col("vt") == MERGE_OPERAND, F.struct("seq", "val"))
+    heads = points.groupBy("cf_id", "key").agg(base, *([F.sort_array(F.collect_list(operand)).alias("o")] if listed else []))
+    heads = with_coverage(heads, tombstones if has_tombstones else None)
     cut = F.greatest(F.coalesce("b.seq", F.lit(0).cast("long")), F.col("cov"))
     live = F.when((F.col("b.vt") == VALUE) & (F.col("b.seq") > F.col("cov")), F.col("b.val"))
-    group = covered.groupBy("cf_id", "key")
     if not has_operands:
-        found = group.agg(base, F.max("cov").alias("cov")).select("cf_id", "key", live.alias("val"))
-        return found.where(F.col("val").isNotNull())
-    if operator.reduce is not None:
-        heads = group.agg(base, F.max("cov").alias("cov")).select("cf_id", "key", cut.alias("cut"), live.alias("base"))
-        operands = points.where(F.col("vt") == MERGE_OPERAND).join(heads.select("cf_id", "key", "cut"), ["cf_id", "key"]).where("seq > cut")
-        folded = operands.groupBy("cf_id", "key").agg(operator.reduce(F.col("val")).alias("folded"), F.count("*").alias("n"))
-        joined = heads.join(folded, ["cf_id", "key"], "left").where("base IS NOT NULL OR n > 0")
-        out = joined.select("cf_id", "key", operator.combine(F.col("base"), F.col("folded")).alias("val"))
-        return out.where(F.col("val").isNotNull())
-    operand = F.when(F.col("vt") == MERGE_OPERAND, F.struct("seq", "val"))
-    lists = group.agg(base, F.max("cov").alias("cov"), F.sort_array(F.collect_list(operand)).alias("o"))
-    above = F.transform(F.filter("o", lambda x: x["seq"] > F.col("cut")), lambda x: x["val"])
-    ready = lists.withColumn("cut", cut).select("cf_id", "key", live.alias("base"), above.alias("ops")).where("base IS NOT NULL OR size(ops) > 0")
-    value = F.when(F.size("ops") == 0, F.col("base")).otherwise(operator.fold(F.col("key"), F.col("base"), F.col("ops")))
-    return ready.select("cf_id", "key", value.alias("val")).where(F.col("val").isNotNull())
+        return heads.select("cf_id", "key", live.alias("val")).where(F.col("val").isNotNull())
+    if listed:
+        above = F.transform(F.filter("o", lambda x: x["seq"] > F.col("cut")), lambda x: x["val"])
+        ready = heads.withColumn("cut", cut).select("cf_id", "key", live.alias("base"), above.alias("ops")).where("base IS NOT NULL OR size(ops) > 0")
+        value = F.when(F.size("ops") == 0, F.col("base")).otherwise(operator.fold(F.col("key"), F.col("base"), F.col("ops")))
+        return ready.select("cf_id", "key", value.alias("val")).where(F.col("val").isNotNull())
+    heads = heads.select("cf_id", "key", cut.alias("cut"), live.alias("base"))
+    operands = points.where(F.col("vt") == MERGE_OPERAND).join(heads.select("cf_id", "key", "cut"), ["cf_id", "key"]).where("seq > cut")
+    folded = operands.groupBy("cf_id", "key").agg(operator.reduce(F.col("val"), F.col("seq")).alias("folded"), F.count("*").alias("n"))
+    joined = heads.join(folded, ["cf_id", "key"], "left").where("base IS NOT NULL OR n > 0")
+    return joined.select("cf_id", "key", operator.combine(F.col("base"), F.col("folded")).alias("val")).where(F.col("val").isNotNull())
 
 
 def latest_seq(log: DataFrame) -> DataFrame:
@@ -93,7 +97,8 @@ def range_conflicts(ranges: DataFrame, log: DataFrame, snapshot: int) -> DataFra
     """Ranges (cf_id, start, end) of a transaction that meet a newer record, point or range."""
     newer = log.where(F.col("seq") > snapshot).select(F.col("cf_id").alias("_cf"), F.col("key").alias("_k"), F.coalesce("end_key", F.concat("key", F.lit(b"\0"))).alias("_e"))
     meets = (F.col("cf_id") == F.col("_cf")) & (F.col("start") < F.col("_e")) & (F.col("_k") < F.col("end"))
-    return newer.join(F.broadcast(ranges), meets).select(*ranges.columns).distinct()
+    few = ranges.limit(MOST_RANGES + 1).count() <= MOST_RANGES
+    return newer.join(F.broadcast(ranges) if few else ranges, meets).select(*ranges.columns).distinct()
 
 
 def multi_get(resolved: DataFrame, keys: DataFrame) -> DataFrame:

@@ -78,10 +78,8 @@ ORACLES = {
     "merge_no_base": resolved() + "SELECT cf_id, k AS key, ops AS val FROM c JOIN o USING (cf_id, k) WHERE base IS NULL",
     "batch_atomic_sequence": "SELECT o_orderkey AS ord, 100 + row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders",
     "latest_seq_per_key": f"WITH {LOG} SELECT cf_id, k AS key, max(seq) AS seq FROM log GROUP BY ALL",
-    "txn_conflicts": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 5000 AND user_id % 7 = 0) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND (l.k = t.k OR l.vt = 2 AND l.k <= t.k AND t.k < l.end_k))",
-    "txn_conflicts_compat": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 5000 AND user_id % 7 = 0) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND l.k = t.k)",
-    "txn_conflicts_whole": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 9000) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND (l.k = t.k OR l.vt = 2 AND l.k <= t.k AND t.k < l.end_k))",
-    "txn_conflicts_compat_whole": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 9000) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND l.k = t.k)",
+    "txn_conflicts": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 9000) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND (l.k = t.k OR l.vt = 2 AND l.k <= t.k AND t.k < l.end_k))",
+    "txn_conflicts_compat": f"WITH {LOG}, t AS (SELECT DISTINCT cf_id, k FROM log WHERE seq <= 9000) SELECT t.cf_id, t.k AS key FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9000 AND l.k = t.k)",
     "txn_range_conflicts": f"""WITH {LOG}, t(cf_id, s, e) AS (VALUES (0, '000010', '000012'), (1, '000100', '000101'), (0, '900000', '900001'))
 SELECT cf_id, s AS "start", e AS "end" FROM t WHERE EXISTS (SELECT 1 FROM log l WHERE l.cf_id = t.cf_id AND l.seq > 9900 AND CASE WHEN l.vt = 2 THEN t.s < l.end_k AND l.k < t.e ELSE l.k >= t.s AND l.k < t.e END)""",
     "compact_keep_rule": KEPT,
@@ -93,10 +91,20 @@ SELECT cf_id, s AS "start", e AS "end" FROM t WHERE EXISTS (SELECT 1 FROM log l
     "level_sizes": f"WITH {FILES} SELECT level, count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS bytes FROM files GROUP BY level",
     "compaction_scores": f"WITH {FILES} SELECT level, CAST(sum(file_size) AS BIGINT) AS bytes, 4194304.0::DOUBLE * power(10, level - 1) AS target, sum(file_size) / (4194304.0::DOUBLE * power(10, level - 1)) AS score FROM files WHERE level BETWEEN 1 AND 2 GROUP BY level",
     "pick_level": f"WITH {FILES} SELECT level FROM files WHERE level BETWEEN 1 AND 2 GROUP BY level ORDER BY sum(file_size) / (4194304.0 * power(10, level - 1)) DESC LIMIT 1",
-    "overlapping_files": f"WITH {FILES}, z AS (SELECT min(lo) AS a, max(hi) AS b FROM files WHERE level = 0 AND file_id < 16) SELECT file_id FROM files, z WHERE level = 1 AND hi >= a AND lo <= b",
-    "overlapping_files_fixpoint": f"""WITH RECURSIVE {FILES}, w(a, b) AS (SELECT min(lo), max(hi) FROM files WHERE level = 0
+    "overlapping_files": f"""WITH RECURSIVE {FILES}, w(a, b) AS (SELECT min(lo), max(hi) FROM files WHERE level = 0
   UNION SELECT least(a, (SELECT min(lo) FROM files WHERE level = 1 AND hi >= a AND lo <= b)), greatest(b, (SELECT max(hi) FROM files WHERE level = 1 AND hi >= a AND lo <= b)) FROM w)
 SELECT file_id FROM files WHERE level = 1 AND hi >= (SELECT min(a) FROM w) AND lo <= (SELECT max(b) FROM w)""",
+    "universal_pick": f"""WITH RECURSIVE {FILES}, z AS (SELECT file_id, file_size, row_number() OVER (ORDER BY file_id) AS nth FROM files WHERE level = 0),
+w(nth, total) AS (SELECT nth, file_size FROM z WHERE nth = 1
+  UNION ALL SELECT z.nth, w.total + z.file_size FROM w JOIN z ON z.nth = w.nth + 1 WHERE z.nth <= 8 AND z.file_size <= greatest(1, w.total * 150 // 100))
+SELECT file_id FROM z WHERE nth IN (SELECT nth FROM w) AND (SELECT count(*) FROM w) >= 2""",
+    "store_versions_of_key": f"WITH {LOG} SELECT seq, CAST(vt AS INTEGER) AS vt, v AS val FROM log WHERE cf_id = 0 AND k = '000042' AND vt <> 2",
+    "store_log_scan": f"WITH {LOG} SELECT cf_id, k AS key, seq, CAST(vt AS INTEGER) AS vt, v AS val, end_k AS end_key FROM log",
+    "store_metrics": f"WITH {LOG} SELECT CASE WHEN vt IN (1, 3) THEN 'puts' ELSE 'deletes' END AS name, count(*) AS value FROM log GROUP BY 1 UNION ALL SELECT 'write_batches', 2",
+    "store_levels": "SELECT * FROM (VALUES ('levels_apart', true), ('nothing_due', true), ('only_live_files', true)) t(name, holds)",
+    "store_multi_get": resolved() + f"SELECT t.cf_id, t.key, r.val FROM (SELECT unnest([0, 1]) AS cf_id, key FROM (SELECT unnest([{_KEYS[1:-1]}]) AS key)) t LEFT JOIN r ON r.cf_id = t.cf_id AND r.k = t.key",
+    "store_transaction": "SELECT * FROM (VALUES (0, '000003', 'committed'), (0, '000042', 'conflict'), (1, '000003', 'committed'), (1, '000042', 'conflict')) t(cf_id, key, outcome)",
+    "store_operands_folded": FLAGSHIP,
     "op_metrics": f"WITH {LOG} SELECT CASE WHEN vt IN (1, 3) THEN 'puts' ELSE 'deletes' END AS name, count(*) AS value FROM log GROUP BY 1",
     "write_bytes": f"WITH {LOG} SELECT cf_id, CAST(16 + sum(CASE vt WHEN 0 THEN 9 + length(k) WHEN 2 THEN 13 + length(k) + length(end_k) ELSE 13 + length(k) + length(v) END) AS BIGINT) AS bytes FROM log GROUP BY cf_id",
     "raw_log_scan": f"WITH {LOG} SELECT cf_id, k AS key, seq, CAST(vt AS INTEGER) AS vt, v AS val, end_k AS end_key FROM log",
@@ -106,8 +114,7 @@ SELECT file_id FROM files WHERE level = 1 AND hi >= (SELECT min(a) FROM w) AND l
     "order_state_as_of": resolved(600_000, source=ORDERS) + "SELECT k AS key, val FROM r",
     "order_state_sql": resolved(source=ORDERS) + "SELECT val, count(*) AS n FROM r GROUP BY 1",
     "write_ops_roundtrip": FLAGSHIP,
-    "flush_roundtrip": resolved(400) + ALL,
-    "flush_whole_log": FLAGSHIP,
+    "flush_roundtrip": FLAGSHIP,
     "reopen_roundtrip": FLAGSHIP,
     "ingest_visible": FLAGSHIP,
     "checkpoint_roundtrip": FLAGSHIP,

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgument
 from ..functions.byte_functions import BATCH_OVERHEAD, LOG_RECORD_OVERHEAD, op_bytes, prefix_successor
 from ..operators import compaction
 from ..operators.coverage import covering_seq, with_coverage
@@ -99,10 +100,9 @@ def delete_suppresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _heads(log: DataFrame) -> DataFrame:
     """cf_id, key, cov, newest base record (b), newest operand's seq (top)."""
-    points = with_coverage(log.where(F.col("vt") != RANGE_TOMBSTONE), log.where(F.col("vt") == RANGE_TOMBSTONE))
     base = F.max(F.when(F.col("vt").isin(TOMBSTONE, VALUE), F.struct("seq", "vt", "val"))).alias("b")
     top = F.max(F.when(F.col("vt") == MERGE_OPERAND, F.col("seq"))).alias("top")
-    return points.groupBy("cf_id", "key").agg(F.max("cov").alias("cov"), base, top)
+    return with_coverage(log.where(F.col("vt") != RANGE_TOMBSTONE).groupBy("cf_id", "key").agg(base, top), log.where(F.col("vt") == RANGE_TOMBSTONE))
 
 
 @query
@@ -169,7 +169,8 @@ def latest_seq_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read_set(log: DataFrame) -> DataFrame:
-    return log.where((F.col("seq") <= 5000) & (F.col("key").cast("string").cast("int") % 7 == 0)).select("cf_id", "key").distinct()
+    """All keys read up to the transaction's snapshot."""
+    return log.where("seq <= 9000").select("cf_id", "key").distinct()
 
 
 @query
@@ -184,23 +185,6 @@ def txn_conflicts_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(conflicts(_read_set(log), log, 9000, ranges=False))
 
 
-def _whole_read_set(log: DataFrame) -> DataFrame:
-    """All keys read up to the snapshot."""
-    return log.where("seq <= 9000").select("cf_id", "key").distinct()
-
-
-@query
-def txn_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = changelog(spark, sf_dir)
-    return shown(conflicts(_whole_read_set(log), log, 9000))
-
-
-@query
-def txn_conflicts_compat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = changelog(spark, sf_dir)
-    return shown(conflicts(_whole_read_set(log), log, 9000, ranges=False))
-
-
 @query
 def txn_range_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = spark.createDataFrame([(0, b"000010", b"000012"), (1, b"000100", b"000101"), (0, b"900000", b"900001")], "cf_id int, start binary, end binary")
@@ -255,13 +239,6 @@ _register("pick_level", lambda s, d: compaction.level_scores(_catalog(s, d), Opt
 
 @query
 def overlapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _catalog(spark, sf_dir)
-    zero = files.where("level = 0 AND file_id < 16").agg(F.min("lo").alias("a"), F.max("hi").alias("b"))
-    return files.where("level = 1").join(F.broadcast(zero), (F.col("hi") >= F.col("a")) & (F.col("lo") <= F.col("b"))).select("file_id")
-
-
-@query
-def overlapping_files_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of level 1 that a merge of all files of level 0 takes, the range widened by each."""
     files = _catalog(spark, sf_dir)
     lo, hi = files.where("level = 0").agg(F.min("lo"), F.max("hi")).first()
@@ -271,8 +248,9 @@ def overlapping_files_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def universal_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the catalog's L0 files a size-tiered merge takes; a fold over a handful of files."""
-    rows = [r.asDict() for r in _catalog(spark, sf_dir).where("level = 0").orderBy("file_id").limit(64).collect()]
+    """Which of the catalog's L0 files a size-tiered merge takes: a fold over the files from the oldest
+    on, as the store does over its own list, that ends with the first one that is too large."""
+    rows = (r.asDict() for r in _catalog(spark, sf_dir).where("level = 0").orderBy("file_id").toLocalIterator())
     picked = compaction.universal_pick(rows, Options(universal_size_ratio=150))
     return spark.createDataFrame([(f["file_id"],) for f in picked], "file_id long")
 
@@ -392,15 +370,7 @@ def _through_buffer(store: KVStore, log: DataFrame) -> None:
 
 @query
 def flush_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 operations one by one through the buffer, then a flush; flush_whole_log takes all."""
-    store = KVStore(spark, _folder(spark))
-    _through_buffer(store, changelog(spark, sf_dir).where("seq <= 400"))
-    return _both(store)
-
-
-@query
-def flush_whole_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole change log one by one through the buffer, which is flushed whenever it is full."""
+    """The whole change log, batch by batch, through the buffer, which is flushed whenever it is full."""
     store = KVStore(spark, _folder(spark), Options(memtable_max_bytes=1 << 15))
     _through_buffer(store, changelog(spark, sf_dir))
     return _both(store)
@@ -465,6 +435,80 @@ def universal_compaction_roundtrip(spark: SparkSession, sf_dir: str) -> DataFram
     return _both(_filled(spark, sf_dir, 4, compaction_style=CompactionStyle.UNIVERSAL, universal_size_ratio=1000))
 
 
+def _levels_hold(store: KVStore) -> bool:
+    """Files of a level above 0 lie apart from each other."""
+    files = sorted(store._state.files.values(), key=lambda m: (m["level"], m["min_key"]))
+    return all(a["level"] != b["level"] or not a["level"] or a["max_key"] <= b["min_key"] for a, b in zip(files, files[1:], strict=False))
+
+
+@query
+def store_versions_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of a key as a store's segments hold them."""
+    store = _filled(spark, sf_dir, 2, drop_obsolete_versions_during_compaction=False)
+    log = store.raw_log(key_range=_KEY, cf_id=0)
+    return shown(log.where((F.col("cf_id") == 0) & (F.col("key") == F.lit(b"000042")) & (F.col("vt") != RANGE_TOMBSTONE)).select("seq", "vt", "val"))
+
+
+@query
+def store_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of a store's segments and buffer, nothing compacted away."""
+    store = _filled(spark, sf_dir, 3, drop_obsolete_versions_during_compaction=False)
+    return shown(store.raw_log())
+
+
+@query
+def store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a store into which the change log was written in two batches."""
+    store = _filled(spark, sf_dir, 2)
+    return store.metrics().where("name IN ('puts', 'deletes', 'write_batches')")
+
+
+@query
+def store_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leveled compaction of a real store leaves: no level above its target, levels without overlaps,
+    nothing due, and no file on disk that is not live after a vacuum."""
+    store = _filled(spark, sf_dir, 3, l0_slowdown_trigger=1, level1_target_bytes=1 << 16, level_multiplier=4)
+    store.vacuum()
+    levels = compaction.level_scores(store.files(), store.options)
+    due = levels.where("score > 1").count()
+    on_disk = {f"data/{n}" for n in store._files.list("data") if n.endswith(".parquet")}
+    facts = [("levels_apart", _levels_hold(store)), ("nothing_due", compaction.pick(list(store._state.files.values()), store.options) is None and not due), ("only_live_files", on_disk == set(store._state.files))]
+    return spark.createDataFrame(facts, "name string, holds boolean")
+
+
+@query
+def store_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.createDataFrame([(cf, k) for cf in (0, 1) for k in (b"000003", b"000007", b"000011", b"000042", b"999999")], "cf_id int, key binary")
+    return shown(_filled(spark, sf_dir, 2).multi_get(keys))
+
+
+@query
+def store_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one transaction a family and key, in a store: those whose commit meets the writes made since."""
+    store = _filled(spark, sf_dir)
+    rows = []
+    for i, (cf, key) in enumerate((cf, k) for cf in (0, 1) for k in (b"000003", b"000042")):
+        txn = store.begin_transaction()
+        txn.get(key, cf)
+        txn.put(b"mine", str(i).encode(), 0)
+        if key == b"000042":
+            store.put(key, b"later", cf)
+        try:
+            txn.commit()
+            rows.append((cf, key.decode(), "committed"))
+        except InvalidArgument:
+            rows.append((cf, key.decode(), "conflict"))
+    return spark.createDataFrame(rows, "cf_id int, key string, outcome string")
+
+
+@query
+def store_operands_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after a compaction of everything, which folds the operands of untouched keys."""
+    store = _filled(spark, sf_dir, 2)
+    store.compact_all()
+    return _both(store)
+
+
 @query
 def stream_into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log as a stream of files into a store, in micro-batches."""

@@ -571,7 +571,7 @@ class KVStore:
         if kind == "drop":
             return {"remove": gone, "compacted_through": max(m["max_seq"] for m in inputs), "counters": {"compactions": 1}}
         if kind == "move":
-            return {"remove": gone, "add": [inputs[0] | {"level": level}], "counters": {"trivial_moves": 1}}
+            return {"remove": gone, "add": [m | {"level": level} for m in inputs], "counters": {"trivial_moves": len(inputs)}}
         log = read_segments(self.spark, [self._files.spark_path(p) for p in gone])
         if self.options.ttl_filter_from_value_prefix_micros:
             log = compaction.expire(log, int(self._clock() * 1e6) if now_micros is None else now_micros)

@@ -37,10 +37,6 @@ def test_query_matches_sql(spark, small, name):
     compare(spark, small, QUERIES[name], ORACLES[name])
 
 
-def test_universal_pick_takes_files_in_ratio(spark, small):
-    assert QUERIES["universal_pick"](spark, small).count() >= 1
-
-
 def test_entry_and_registry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(ORACLES) <= set(QUERIES) <= set(entry_module.queries())
