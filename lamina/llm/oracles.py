@@ -45,4 +45,18 @@ t AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_
 SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
 """
 
-ORACLES = {"op1_decontamination": OP1, "op3_url_filter": OP3, "op4_topk_search": OP4}
+_SHINGLED = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
+
+OP7 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_SHINGLED} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS (SELECT a.r AS u, b.r AS v FROM s a JOIN s b ON a.sh = b.sh GROUP BY a.r, b.r
+      HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.r = a.r) + (SELECT n FROM n WHERE n.r = b.r) - count(*))),
+reach(u, v) AS (SELECT u, v FROM l UNION SELECT reach.u, l.v FROM reach JOIN l ON l.u = reach.v),
+c AS (SELECT reach.u AS r, min(x.doc_id) AS component_id FROM reach JOIN d x ON x.r = reach.v GROUP BY reach.u)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE c.component_id END AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op3_url_filter": OP3, "op4_topk_search": OP4, "op7_jaccard_join": OP7}
