@@ -429,6 +429,18 @@ def _near(pairs: DataFrame, sets: DataFrame, reach: int) -> DataFrame:
     return rows.repartition("p", "chunk").sortWithinPartitions("p", "chunk", F.asc_nulls_first("class")).mapInArrow(_distances(reach), "p long, class long, inter long, union long")
 
 
+def _extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) with more links: only components that they join are looked at again."""
+    ends = _labelled_by(label, _labelled_by(label, links, "u", "a"), "v", "b").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ends = materialize(ends, "ends")
+    if ends.isEmpty():
+        return label
+    joined = components(ends)
+    moved = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    moved = moved.select("node", F.coalesce("_to", "component").alias("component"))
+    return materialize(moved.unionByName(joined.join(label, "node", "left_anti")), "label")
+
+
 def _labelled_by(label: DataFrame, classes: DataFrame, name: str, out: str) -> DataFrame:
     """classes with the component of the class in a column, the class itself where it has no link."""
     at = label.select(F.col("node").alias(name), F.col("component").alias("_c"))
@@ -445,7 +457,7 @@ def join_by_pivots(sets: DataFrame, on_round=None) -> DataFrame:
     first, alive = _rarest(sets)
     alive = materialize(alive.withColumns({"component": F.col("class"), "order": F.lit(0)}), "alive")
     linked = 100 * F.col("inter") >= THRESHOLD * F.col("union")
-    links, label = [], None
+    label = spark.createDataFrame([], "node long, component long")
     for turn, reach in enumerate(REACHES):
         here = alive.withColumn("k", _reached(reach).cast("int")).where("k > 0").withColumn("own", F.col("n") - F.col("known"))
         slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(SLOTS_MORE**turn))
@@ -468,11 +480,11 @@ def join_by_pivots(sets: DataFrame, on_round=None) -> DataFrame:
         pairs = materialize(entries.drop("k", "known", "own", "h", "slot", "place").join(its_keys, "key").where(fit).select("class", "p", "n").distinct(), "pairs")
         near = materialize(_near(pairs, sets.select("class", "set"), reach), "near")
         free_shuffles(spark)
-        links.append(materialize(near.where(linked).select(F.col("class").alias("u"), F.col("p").alias("v")), "found"))
-        label = components(reduce(DataFrame.unionByName, links))
+        links = near.where(linked).select(F.col("class").alias("u"), F.col("p").alias("v"))
+        label = _extended(label, links)
         if whole:
             if on_round is not None:
-                on_round({"classes": here.count(), "pivots": here.count(), "members": 0, "replicas": near.count(), "links": links[-1].count(), "left": 0})
+                on_round({"classes": here.count(), "pivots": here.count(), "members": 0, "replicas": near.count(), "links": links.count(), "left": 0})
             return label
         # a region is its nearest pivot's; its window, whatever lies at most RADIUS farther from the pivot
         named = near.join(pivots.select(F.col("p").alias("class")), "class", "left_anti").withColumn("d", 1 - F.col("inter") / F.col("union"))
@@ -487,7 +499,7 @@ def join_by_pivots(sets: DataFrame, on_round=None) -> DataFrame:
         after = materialize(left.join(sizes, "component", "left").select("class", "n", "known", "component", F.coalesce("order", F.lit(0)).alias("order")), "alive")
         if on_round is not None:
             members = homes.count()
-            on_round({"classes": here.count(), "pivots": pivots.count(), "members": members, "replicas": named.count() - members, "links": links[-1].count(), "left": after.count()})
+            on_round({"classes": here.count(), "pivots": pivots.count(), "members": members, "replicas": named.count() - members, "links": links.count(), "left": after.count()})
         for old in (alive, pivots, pairs, near, homes):
             discard(old)
         alive = after
