@@ -105,6 +105,11 @@ SELECT file_id FROM z WHERE nth IN (SELECT nth FROM w) AND (SELECT count(*) FROM
     "store_multi_get": resolved() + f"SELECT t.cf_id, t.key, r.val FROM (SELECT unnest([0, 1]) AS cf_id, key FROM (SELECT unnest([{_KEYS[1:-1]}]) AS key)) t LEFT JOIN r ON r.cf_id = t.cf_id AND r.k = t.key",
     "store_transaction": "SELECT * FROM (VALUES (0, '000003', 'committed'), (0, '000042', 'conflict'), (1, '000003', 'committed'), (1, '000042', 'conflict')) t(cf_id, key, outcome)",
     "store_operands_folded": FLAGSHIP,
+    "store_properties": f"""WITH {LOG}, n AS (SELECT count(*) FILTER (vt IN (1, 3)) AS p, count(*) FILTER (vt NOT IN (1, 3)) AS d FROM log)
+SELECT 'puts' AS name, CAST(p + 1 AS VARCHAR) AS value FROM n UNION ALL SELECT 'deletes', CAST(d AS VARCHAR) FROM n
+UNION ALL SELECT * FROM (VALUES ('flushes', '1'), ('max_levels', '4'), ('l0_slowdown_trigger', '8'), ('flush', '1 records'), ('families', 'default,cf1'))""",
+    "store_family_override": f"WITH {LOG} SELECT 1 AS cf_id, k AS key, arg_max(v, seq) AS val FROM log WHERE vt = 1 GROUP BY k",
+    "store_get_as_of": resolved(5000) + "SELECT t.cf_id, t.key, r.val FROM (SELECT unnest([0, 1]) AS cf_id, key FROM (SELECT unnest(['000003', '000042', '000077']) AS key)) t LEFT JOIN r ON r.cf_id = t.cf_id AND r.k = t.key",
     "op_metrics": f"WITH {LOG} SELECT CASE WHEN vt IN (1, 3) THEN 'puts' ELSE 'deletes' END AS name, count(*) AS value FROM log GROUP BY 1",
     "write_bytes": f"WITH {LOG} SELECT cf_id, CAST(16 + sum(CASE vt WHEN 0 THEN 9 + length(k) WHEN 2 THEN 13 + length(k) + length(end_k) ELSE 13 + length(k) + length(v) END) AS BIGINT) AS bytes FROM log GROUP BY cf_id",
     "raw_log_scan": f"WITH {LOG} SELECT cf_id, k AS key, seq, CAST(vt AS INTEGER) AS vt, v AS val, end_k AS end_key FROM log",

@@ -436,9 +436,15 @@ def universal_compaction_roundtrip(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def _levels_hold(store: KVStore) -> bool:
-    """Files of a level above 0 lie apart from each other."""
-    files = sorted(store._state.files.values(), key=lambda m: (m["level"], m["min_key"]))
-    return all(a["level"] != b["level"] or not a["level"] or a["max_key"] <= b["min_key"] for a, b in zip(files, files[1:], strict=False))
+    """In no level above 0 do two files have a key in common; a range tombstone counts where it starts."""
+    levels: dict[int, list[str]] = {}
+    for m in store._state.files.values():
+        levels.setdefault(m["level"], []).append(store._files.spark_path(m["path"]))
+    for level, paths in levels.items():
+        rows = store.spark.read.parquet(*paths).select("cf_id", "key", F.col("_metadata.file_path").alias("file"))
+        if level and not rows.distinct().groupBy("cf_id", "key").count().where("count > 1").isEmpty():
+            return False
+    return True
 
 
 @query
@@ -509,6 +515,44 @@ def store_operands_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(store)
 
 
+@query
+def store_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store says of itself after two batches: counters, options, events, families."""
+    store = _filled(spark, sf_dir, 2)
+    store.put(b"x", b"1")
+    store.flush()
+    stats = store.property("lamina.stats").where("name IN ('puts', 'deletes', 'flushes')")
+    options = store.property("lamina.options").where("name IN ('max_levels', 'l0_slowdown_trigger')")
+    events = store.events().where("kind = 'flush'").select("kind", F.col("detail").alias("value"))
+    families = spark.createDataFrame([("families", ",".join(c.name for c in store.list_column_families()))], "name string, value string")
+    return stats.unionByName(options).unionByName(events.withColumnRenamed("kind", "name")).unionByName(families)
+
+
+@query
+def store_family_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every put of the change log, whatever its family, in batches that are moved to cf1."""
+    store = KVStore(spark, _folder(spark))
+    cf1 = store.create_column_family("cf1")
+    batch = WriteBatch()
+    for r in changelog(spark, sf_dir).where(F.col("vt") == VALUE).orderBy("seq").toLocalIterator():
+        batch.put(bytes(r["key"]), bytes(r["val"]))
+        if len(batch.ops) == BATCH_OPS:
+            store.write_batch(batch.in_family(cf1))
+            batch = WriteBatch()
+    store.write_batch(batch.in_family(cf1))
+    return _both(store)
+
+
+@query
+def store_get_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's own get with a snapshot, pinned across a compaction of everything."""
+    store = _filled(spark, sf_dir, 2)
+    store.pin(5000)
+    store.compact_all()
+    rows = [(cf, k.decode(), store.get(k, cf, as_of=5000)) for cf in (0, 1) for k in (b"000003", b"000042", b"000077")]
+    return shown(spark.createDataFrame(rows, "cf_id int, key string, val binary"))
+
+
 @query
 def stream_into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log as a stream of files into a store, in micro-batches."""

@@ -59,12 +59,16 @@ class Options:
     compression: Compression = Compression.NONE
     merge_operator: str | object = "append"
     max_write_bytes_per_sec: int = 0
+    #: A handle keeps the live segments in the executors' memory while they are no larger; 0 keeps none.
+    block_cache_capacity_bytes: int = 0
     event_log_capacity: int = 256
     log_checkpoint_every: int = 64
     drop_obsolete_versions_during_compaction: bool = True
     ttl_filter_from_value_prefix_micros: bool = False
     #: Compact without being asked once a flush makes it due.
     auto_compact: bool = True
+    #: Delete files that nothing refers to when a store is opened and after its compactions.
+    auto_vacuum: bool = False
     #: How long a stalled write waits for another handle to compact, where auto_compact is off.
     stall_wait_seconds: float = 0.0
     #: Reproduce the historical bounds and checks of delete_range and transactions.

@@ -156,6 +156,9 @@ class KVStore:
         self._limiter = RateLimiter(self.options.max_write_bytes_per_sec)
         self._stalls = 0
         self._closed = False
+        self._cached: tuple[frozenset[str], DataFrame] | None = None
+        if self.options.auto_vacuum:
+            self.vacuum()
 
     # --- writes --------------------------------------------------------------------------------
 
@@ -392,9 +395,24 @@ class KVStore:
 
     def _log_of(self, files: list[dict], rows: list[tuple]) -> DataFrame:
         self._open()
-        out = read_segments(self.spark, [self._files.spark_path(m["path"]) for m in files])
+        out = self._segments(files)
         return out.unionByName(self.spark.createDataFrame(rows, RECORD)) if rows else out
 
+    def _segments(self, files: list[dict]) -> DataFrame:
+        """The records of some live files, or of all of them from memory: reads filter what they need."""
+        live = self._state.files
+        if not files or sum(m["file_size"] for m in live.values()) > self.options.block_cache_capacity_bytes:
+            return read_segments(self.spark, [self._files.spark_path(m["path"]) for m in files])
+        if self._cached is None or self._cached[0] != frozenset(live):
+            self._uncache()
+            self._cached = frozenset(live), read_segments(self.spark, [self._files.spark_path(p) for p in live]).persist()
+        return self._cached[1]
+
+    def _uncache(self) -> None:
+        if self._cached is not None:
+            self._cached[1].unpersist()  # DataFrames made from it read the files again
+            self._cached = None
+
     @staticmethod
     def _holds(files: list[dict], rows: list[tuple]) -> dict[str, bool]:
         """What resolve() has to look for, by the files' statistics and the batches' records."""
@@ -536,9 +554,13 @@ class KVStore:
             files = sorted(self._state.files.values(), key=lambda m: m["file_id"])
             chosen = compaction.pick(files, self.options)
             if chosen is None:
-                return done
+                break
             self._run(*chosen, now_micros)
-        return done + 1
+        else:
+            done += 1
+        if done and self.options.auto_vacuum:
+            self.vacuum()
+        return done
 
     def compact_all(self, level: int = 1, now_micros: int | None = None) -> None:
         """Rewrite every live segment at one level."""
@@ -546,6 +568,8 @@ class KVStore:
         files = list(self._state.files.values())
         if files:
             self._run("merge", files, level, now_micros)
+            if self.options.auto_vacuum:
+                self.vacuum()
 
     def _run(self, kind: str, inputs: list[dict], level: int, now_micros: int | None) -> None:
         gone = [m["path"] for m in inputs]
@@ -733,6 +757,7 @@ class KVStore:
         """Commit what is waiting; the handle can't be used afterwards."""
         if not self._closed:
             self.sync()
+            self._uncache()
             self._closed = True
 
     def __enter__(self) -> KVStore:

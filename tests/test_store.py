@@ -601,3 +601,34 @@ def test_transaction_options_reach_the_write(spark, tmp_path):
     db.put(b"c", b"1")  # into the range that was read
     with pytest.raises(InvalidArgument):
         t.commit()
+
+
+def test_cached_segments_follow_the_store(spark, tmp_path):
+    db = KVStore(spark, str(tmp_path), Options(block_cache_capacity_bytes=1 << 30))
+    for i in range(4):
+        db.put(f"k{i}".encode(), str(i).encode())
+        db.flush()
+        assert len(items(db)) == i + 1 and db.get(b"k0") == b"0"
+    held = db._cached[1]
+    assert held.storageLevel.useMemory and db.raw_log(key_range=KeyRange.closed(b"k1", b"k1"), cf_id=0).count() == 4
+    seen = db.snapshot()
+    db.pin(seen)
+    db.delete(b"k1")
+    db.compact_all()
+    assert set(items(db)) == {b"k0", b"k2", b"k3"} and db.get(b"k1", as_of=seen) == b"1"
+    assert db._cached[1] is not held and not held.storageLevel.useMemory
+    db.close()
+    assert db._cached is None
+
+
+def test_auto_vacuum_deletes_compacted_files(spark, tmp_path):
+    options = Options(auto_vacuum=True)
+    db = KVStore(spark, str(tmp_path), options)
+    for i in range(3):
+        db.put(b"k", str(i).encode())
+        db.flush()
+    db.compact_all()
+    assert {f"data/{n}" for n in db._files.list("data") if n.endswith(".parquet")} == set(db._state.files)
+    (tmp_path / "data" / "dead").mkdir()
+    (tmp_path / "data" / "dead" / "x.parquet").write_bytes(b"")
+    assert items(KVStore(spark, str(tmp_path), options)) == {b"k": b"2"} and "dead/x.parquet" not in db._files.list("data")
