@@ -34,6 +34,7 @@ extra columns pass through deduplicate().
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -145,16 +146,16 @@ def _combined(data: np.ndarray, base: np.ndarray, bucket: np.ndarray, stretch: n
     begins = np.ones(len(key), bool)
     begins[1:] = ~(again[1:] & again[:-1] & (did[1:] == did[:-1]) & (first[1:] == first[:-1] + count[:-1]))
     at = np.flatnonzero(begins)
-    bucket, stretch, did, first, again = bucket[at], stretch[at], did[at], first[at], again[at]
+    bucket, did, first, again = bucket[at], did[at], first[at], again[at]
     count = np.add.reduceat(count, at)
     lone = mix(did.view(np.uint64) * np.uint64(BASE) + first.astype(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.where(again, lone, bucket)), pa.array(np.where(again, 0, stretch)), pa.array(did), pa.array(_packed(first, count, again.astype(np.int64)))],
-        ["bucket", "stretch", "did", "pos"],
+        [pa.array(np.where(again, lone, bucket)), pa.array(did), pa.array(_packed(first, count, again.astype(np.int64)))],
+        ["bucket", "did", "pos"],
     )
 
 
-ROW = "bucket long, stretch long, did long, pos long"
+ROW = "bucket long, did long, pos long"
 
 
 @lean
@@ -175,12 +176,15 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Rows that a shard knows to be repeated (done), and those that share their bucket with others: part
-    deals a bucket of more than LARGE rows out by their stretches."""
+    """Rows that a shard knows to be repeated (done), and those that share their bucket with m - 1 others."""
     marked = rows.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).withColumn("done", F.col("pos") % 2 == 1)
-    part = F.when(F.col("m") > LARGE, F.pmod(F.col("stretch"), F.floor(F.col("m") / LARGE) + 1)).otherwise(F.lit(-1)).cast("int")
     place = (F.shiftright("pos", 32).cast("int").alias("first"), (F.shiftright("pos", 1) % (1 << 31)).cast("int").alias("count"))
-    return marked.where(F.col("done") | (F.col("m") > 1)).select("bucket", part.alias("part"), "did", *place, "done")
+    return marked.where(F.col("done") | (F.col("m") > 1)).select("bucket", "m", "did", *place, "done")
+
+
+def _dealt(pieces: list[bytes], m: np.ndarray) -> list[int]:
+    """The part of each piece of a bucket of m rows: -1, or where its bytes put it if m is more than LARGE."""
+    return [-1 if n <= LARGE else zlib.crc32(p) % (n // LARGE + 1) for p, n in zip(pieces, m.tolist(), strict=True)]
 
 
 def stretch_pointers(pieces: list[bytes], bucket: np.ndarray) -> np.ndarray:
@@ -276,7 +280,7 @@ FOUND = "did long, s int, e int, bucket long, piece binary"
 
 def _fetch(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
     """bucket, part, did, first, piece: the text of every open row."""
-    wanted = open_rows.groupBy("did").agg(F.collect_list(F.struct("bucket", "part", "first", "count")).alias("rows"))
+    wanted = open_rows.groupBy("did").agg(F.collect_list(F.struct("bucket", "m", "first", "count")).alias("rows"))
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +288,9 @@ def _fetch(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
             texts = text_bytes(batch, "text")
             for did, rows, text in zip(batch.column(0).to_pylist(), batch.column(1), texts, strict=True):
                 own = rows.values
-                bucket, part, first, count = (own.field(i).to_numpy() for i in range(4))
+                bucket, m, first, count = (own.field(i).to_numpy() for i in range(4))
                 pieces = [text[f : f + c - 1 + LENGTH] for f, c in zip(first.tolist(), count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part), pa.array(np.full(len(bucket), did, np.int64)), pa.array(first.astype(np.int32)), pa.array(pieces, pa.binary())], PIECE_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(_dealt(pieces, m), pa.int32()), pa.array(np.full(len(bucket), did, np.int64)), pa.array(first.astype(np.int32)), pa.array(pieces, pa.binary())], PIECE_COLUMNS)
 
     joined = wanted.join(docs, "did").select("did", "rows", "text")
     return joined.mapInArrow(_gathered(work), PIECES)
@@ -386,7 +390,9 @@ def repeated_spans(docs: DataFrame, on_step=None) -> DataFrame:
     """
     rows = docs.mapInArrow(_bucket_rows, ROW)
     settled = materialize(settle(rows), "settled")
+    del rows
     free_shuffles(docs.sparkSession)
+    time.sleep(1)  # the engine deletes shuffle files on its own threads, and the next ones are as large
     end = (F.col("first") + F.col("count") + (LENGTH - 1)).cast("int")
     spans = [settled.where("done").select("did", F.col("first").alias("s"), end.alias("e"))]
     pieces = _fetch(settled.where("NOT done"), docs)
@@ -395,6 +401,7 @@ def repeated_spans(docs: DataFrame, on_step=None) -> DataFrame:
         turn += 1
         ordered = pieces.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
         found = materialize(ordered.mapInArrow(_sort_buckets, FOUND), "spans")
+        del ordered, pieces
         free_shuffles(docs.sparkSession)
         spans.append(found.where("e IS NOT NULL").select("did", "s", "e"))
         if on_step is not None:
@@ -406,6 +413,7 @@ def repeated_spans(docs: DataFrame, on_step=None) -> DataFrame:
         counted = finer.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1")
         part = F.when((F.col("m") > LARGE) & F.lit(turn < MOST_TURNS), F.pmod(F.col("stretch"), F.floor(F.col("m") / LARGE) + 1)).otherwise(F.lit(-1)).cast("int")
         pieces = counted.withColumn("part", part).select(*PIECE_COLUMNS)
+    time.sleep(1)
     if on_step is not None:
         on_step("known to a shard", spans[0].count())
     return reduce(DataFrame.unionByName, spans)
