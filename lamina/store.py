@@ -641,7 +641,7 @@ class KVStore:
         self.refresh()
         live = {m["path"] for m in self._state.files.values()}
         folders = {p.rsplit("/", 1)[0] for p in live}
-        gone = [n for n in found if n not in live and n.rsplit("/", 1)[0] not in busy and not (n.rsplit("/", 1)[0] in folders and not n.endswith(".parquet"))]
+        gone = [n for n in found if n not in live and "/".join(n.split("/")[:2]) not in busy and not (n.rsplit("/", 1)[0] in folders and not n.endswith(".parquet"))]
         for name in gone:
             self._files.delete(name)
         for name in self._files.list("_log"):

@@ -402,6 +402,17 @@ def test_a_vacuum_leaves_what_another_writer_has_in_flight(spark, tmp_path, step
     assert not [n for n in a._files.list("_inflight") + a._files.list("_staging")]
 
 
+def test_a_vacuum_leaves_renumbered_files_alone(spark, tmp_path):
+    other = KVStore(spark, str(tmp_path / "other"))
+    other.put(b"o", b"1")
+    other.flush()
+    a, b = (KVStore(spark, str(tmp_path / "db")) for _ in range(2))
+    a.put(b"k", b"1")
+    at_step(a, "commit:before", b.vacuum)
+    a.ingest([f"{tmp_path}/other/{r['path']}" for r in other.files().collect()], reassign_seq=True)
+    assert items(KVStore(spark, str(tmp_path / "db"))) == {b"k": b"1", b"o": b"1"}
+
+
 def test_two_write_ops_side_by_side_both_end(spark, tmp_path):
     a, b = (KVStore(spark, str(tmp_path)) for _ in range(2))
     at_step(a, "ops:after_data", lambda: b.write_ops(puts(spark, "b")))
