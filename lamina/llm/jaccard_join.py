@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from .common import by_value, discard, free_shuffles, lean, materialize, prepare, shards, text_bytes
 from .components import components
@@ -70,6 +70,8 @@ CHUNK_ENTRIES = 1 << 17
 SLOTS_MORE = 4
 BITMAP_LONGS = 8
 BITS = [f"b{i}" for i in range(BITMAP_LONGS)]
+#: Whole-number ids that are broadcast, 8 bytes each.
+MOST_IDS = 1_000_000
 #: Groups of classes in which counts come together.
 HOMES = 256
 PIECE = 1 << 20
@@ -637,10 +639,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     found = _labelled(docs, doc_id, text)
     keeps = F.col("label").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(keeps).alias("k")).where("k > 0"), "ids")
-    plain = ids.where("m = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
-    out = docs.join(plain, docs[doc_id].eqNullSafe(plain["_kept"]), "left_semi")
-    several = ids.where("m > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_several"))
+    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(keeps).alias("k")), "ids")
+    # most ids are of one row that stays: where the others are few, no text is shuffled
+    plain, others = "k > 0 AND m = 1 AND doc_id IS NOT NULL", ids.where("k = 0 OR m > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_other"))
+    most = MOST_IDS if isinstance(docs.schema[doc_id].dataType, IntegralType) else 10_000
+    if others.count() <= most:
+        out = docs.join(F.broadcast(others), docs[doc_id].eqNullSafe(others["_other"]), "left_anti")
+    else:
+        kept = ids.where(plain).select(F.col("doc_id").alias("_kept"))
+        out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    several = ids.where("k > 0 AND (m > 1 OR doc_id IS NULL)").select(F.col("doc_id").alias("_several"))
     n = several.count()
     if not n:
         return out

@@ -166,8 +166,10 @@ def test_one_of_each_keeps_one(spark):
     assert J.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_one_of_each_keeps_one_row(spark):
+@pytest.mark.parametrize("most", (1_000_000, 1))
+def test_one_of_each_keeps_one_row(spark, monkeypatch, most):
     """Repeated rows, an id on several texts, null ids: one row of each group, in whatever order they come."""
+    monkeypatch.setattr(J, "MOST_IDS", most)
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
     rows = [(1, a, "k"), (1, a, "k"), (1, a + " z", "k"), (7, a, "k"), (None, a, "k")]  # one group
     rows += [(1, b, "k"), (9, b, "k"), (9, d, "k"), (None, d + " z", "k")]  # ids 1 and 9 in two groups each
