@@ -151,14 +151,22 @@ def merge_no_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_atomic_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence numbers by ord within partitions of ordered ranges: no single task sorts the batch."""
+    """Sequence numbers by ord within partitions of ordered ranges: no single task sorts the batch.
+
+    The ranges follow from a sample that differs from run to run, so the placed rows are written once;
+    their counts and their numbers come from the same partitions.
+    """
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ord"))
-    placed = rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("at", F.monotonically_increasing_id())
+    staged = _folder(spark)
+    rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("at", F.monotonically_increasing_id()).write.parquet(staged)
+    placed = spark.read.schema("ord long, at long").parquet(staged)
     counts = {r[0]: r[1] for r in placed.groupBy(F.shiftright("at", 33)).count().collect()}
     before, shift = 100, {}
     for p in sorted(counts):
         shift[p] = before - (p << 33)
         before += counts[p]
+    if not shift:
+        return placed.select("ord", F.col("at").alias("seq"))
     offset = F.element_at(F.create_map(*[F.lit(x) for p in sorted(shift) for x in (p, shift[p])]), F.shiftright("at", 33))
     return placed.select("ord", (F.col("at") + offset + 1).alias("seq"))
 
