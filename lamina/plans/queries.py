@@ -334,10 +334,15 @@ def _ops(log: DataFrame) -> DataFrame:
     return log.select(F.col("seq").alias("ord"), "cf_id", op.alias("op"), "key", F.col("val").alias("value"), "end_key")
 
 
-def _filled(spark: SparkSession, sf_dir: str, parts: int = 1, **options) -> KVStore:
-    """A store that has the change log written into it, in as many batches as parts."""
+def _filled(spark: SparkSession, sf_dir: str, parts: int = 1, pinned: int | None = None, **options) -> KVStore:
+    """A store that has the change log written into it, in as many batches as parts.
+
+    A snapshot to be read later is pinned first, as a large write makes a compaction due at once.
+    """
     store = KVStore(spark, _folder(spark), Options(**options))
     store.create_column_family("cf1")
+    if pinned is not None:
+        store.pin(pinned)
     log = changelog(spark, sf_dir)
     last = log.agg(F.max("seq")).first()[0]
     for i in range(parts):
@@ -554,8 +559,7 @@ def store_family_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def store_get_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store's own get with a snapshot, pinned across a compaction of everything."""
-    store = _filled(spark, sf_dir, 2)
-    store.pin(5000)
+    store = _filled(spark, sf_dir, 2, pinned=5000)
     store.compact_all()
     rows = [(cf, k.decode(), store.get(k, cf, as_of=5000)) for cf in (0, 1) for k in (b"000003", b"000042", b"000077")]
     return shown(spark.createDataFrame(rows, "cf_id int, key string, val binary"))

@@ -59,3 +59,23 @@ def test_sequence_numbers_are_gapless_over_many_partitions(spark):
         compare(spark, MORE, QUERIES["batch_atomic_sequence"], ORACLES["batch_atomic_sequence"])
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_pinned_snapshot_outlives_compactions_that_writes_make_due(spark, monkeypatch):
+    """With a compaction after each batch, as larger tables have it."""
+    merged, run = [], KVStore._run
+
+    def watched(self, kind, *args):
+        merged.append(self.snapshot())
+        self.options.l0_slowdown_trigger = 8
+        run(self, kind, *args)
+
+    def eager(self, *args):
+        self.options.l0_slowdown_trigger = 0
+        return due(self, *args)
+
+    due = KVStore.compact
+    monkeypatch.setattr(KVStore, "_run", watched)
+    monkeypatch.setattr(KVStore, "compact", eager)
+    compare(spark, MORE, QUERIES["store_get_as_of"], ORACLES["store_get_as_of"])
+    assert len(merged) > 1 and max(merged) > 5000
