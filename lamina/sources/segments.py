@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,11 @@ def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(RECORD).parquet(*paths)
 
 
-def write_segments(records: DataFrame, files, n_files: int, options: Options, families: dict[int, str], folder: str | None = None) -> list[dict]:
+def write_segments(records: DataFrame, files, n_files: int, options: Options, families: dict[int, str], folder: str | None = None, replaces: Sequence[str] = ()) -> list[dict]:
     """Write records as n_files sorted files of disjoint key ranges and return what is known of each.
 
-    All versions of a key are in one file. The catalog of families goes beside the files, so that a
-    store can be rebuilt from its segments alone.
+    All versions of a key are in one file. A catalog goes beside the files, so that a store can be
+    rebuilt from its segments alone: the families, and for a rewrite the files that it replaces.
     """
     folder = folder or f"data/{uuid.uuid4().hex}"
     writer = (
@@ -42,11 +43,15 @@ def write_segments(records: DataFrame, files, n_files: int, options: Options, fa
         writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer = writer.option("parquet.bloom.filter.fpp#key", str(fpp)).option("parquet.bloom.filter.expected.ndv#key", str(ndv))
     writer.parquet(files.spark_path(folder))
-    files.write_new(f"{folder}/_segment.json", json.dumps({"families": sorted(families.items())}).encode())
     names = [f"{folder}/{n}" for n in files.list(folder) if n.endswith(".parquet")]
+    write_catalog(files, folder, families, names, replaces)
     return describe(records.sparkSession, files, names)
 
 
+def write_catalog(files, folder: str, families: dict[int, str], names: Sequence[str], replaces: Sequence[str] = ()) -> None:
+    files.write_new(f"{folder}/_segment.json", json.dumps({"families": sorted(families.items()), "files": list(names), "replaces": list(replaces)}).encode())
+
+
 def describe(spark: SparkSession, files, names: list[str]) -> list[dict]:
     """Statistics of segment files, found by one aggregation over them; empty files are left out."""
     if not names:
