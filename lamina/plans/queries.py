@@ -547,8 +547,9 @@ def store_family_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = KVStore(spark, _folder(spark))
     cf1 = store.create_column_family("cf1")
     batch = WriteBatch()
-    for r in changelog(spark, sf_dir).where(F.col("vt") == VALUE).orderBy("seq").toLocalIterator():
-        batch.put(bytes(r["key"]), bytes(r["val"]))
+    puts = changelog(spark, sf_dir).where(F.col("vt") == VALUE).orderBy("seq").select("key", "val")
+    for key, val in puts.toLocalIterator(prefetchPartitions=True):
+        batch.put(bytes(key), bytes(val))
         if len(batch.ops) == BATCH_OPS:
             store.write_batch(batch.in_family(cf1))
             batch = WriteBatch()

@@ -6,18 +6,26 @@ import json
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CorruptError
 from ..records import MERGE_OPERAND, RANGE_TOMBSTONE, RECORD, RECORD_COLUMNS, Compression, Options
 
+ARROW_TYPES = (pa.int32(), pa.binary(), pa.int64(), pa.int8(), pa.binary(), pa.binary())
+
 
 def physical_key(cf_id: int, key: bytes) -> bytes:
     """Column family and key in one string of bytes, so that families lie side by side."""
     return cf_id.to_bytes(4, "big") + key
 
 
+def as_arrow(rows: Sequence[tuple]) -> pa.Table:
+    """Records on the driver as one table, a column at a time."""
+    return pa.table([pa.array(column, t) for column, t in zip(zip(*rows, strict=True), ARROW_TYPES, strict=True)], names=RECORD_COLUMNS)
+
+
 def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], RECORD)

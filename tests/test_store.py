@@ -598,6 +598,20 @@ def test_repair_keeps_batches_beside_an_ingested_file_of_higher_numbers(spark, t
     assert items(KVStore(spark, str(tmp_path / "db"))) == want == {b"a": b"1", b"b": b"2", b"o": b"8"}
 
 
+def test_log_points_do_not_repeat_what_is_buffered(spark, tmp_path):
+    """A point grows with the number of batches, not their bytes, and a store reopens from it."""
+    db = KVStore(spark, str(tmp_path), Options(log_checkpoint_every=4))
+    for i in range(10):
+        db.write_batch(WriteBatch([(0, 1, f"{i}-{j}".encode(), b"v" * 500, None) for j in range(20)]))
+    points = sorted((tmp_path / "_log").glob("*.state.json"))
+    assert len(points) == 2 and points[-1].stat().st_size < 2000
+    assert db._state.inline_bytes == sum(len(k) + 9 + 500 for _, ops in db._state.inline for _, _, k, _, _ in ops)
+    again = KVStore(spark, str(tmp_path))
+    assert again._state == db._state and len(items(again)) == 200
+    again.flush()
+    assert not again._state.inline and not again._state.inline_bytes and len(items(KVStore(spark, str(tmp_path)))) == 200
+
+
 @pytest.mark.parametrize("catalogs", [True, False])
 def test_repair_takes_records_once_that_a_compaction_has_rewritten(spark, tmp_path, catalogs):
     db = KVStore(spark, str(tmp_path))
