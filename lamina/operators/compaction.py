@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.byte_functions import little_endian_u64
 from ..records import MERGE_OPERAND, RANGE_TOMBSTONE, TOMBSTONE, VALUE, CompactionStyle, Options
+from ..sources.segments import same_key_as_before
 
 
 def expire(log: DataFrame, now_micros: int) -> DataFrame:
@@ -33,6 +38,35 @@ def keep_needed(log: DataFrame, pinned: Sequence[int] = ()) -> DataFrame:
     return marked.where(stays).select(*log.columns)
 
 
+def keep_needed_small(log: pa.Table, pinned: Sequence[int] = ()) -> pa.Table:
+    """keep_needed() for a table on the driver."""
+    is_base = pc.is_in(log["vt"], pa.array([TOMBSTONE, VALUE], log["vt"].type))
+    order = [("cf_id", "ascending"), ("key", "ascending"), ("seq", "descending"), ("vt", "descending")]
+    bases = log.filter(is_base).sort_by(order).combine_chunks()
+    older, seq = same_key_as_before(bases), bases["seq"].to_numpy()
+    stays = ~older
+    for p in pinned:
+        stays |= older & (seq <= p) & (np.roll(seq, 1) > p)
+    return pa.concat_tables([log.filter(pc.invert(is_base)), bases.filter(pa.array(stays))]).combine_chunks()
+
+
+def folds_small(log: pa.Table, oldest_read: int) -> bool:
+    """Whether fold_untouched() would fold anything in a table on the driver."""
+    from .coverage import sweep
+
+    tombstones = log.filter(pc.equal(log["vt"], RANGE_TOMBSTONE)).to_pylist()
+    operands = log.filter(pc.and_(pc.equal(log["vt"], MERGE_OPERAND), pc.less_equal(log["seq"], oldest_read)))
+    keys = operands.group_by(["cf_id", "key"]).aggregate([])
+    for cf in pc.unique(keys["cf_id"]).to_pylist():
+        covered = sweep([(r["key"], r["end_key"], r["seq"]) for r in tombstones if r["cf_id"] == cf])
+        starts = [lo for lo, _, _ in covered]
+        for key in keys.filter(pc.equal(keys["cf_id"], cf))["key"].to_pylist():
+            i = bisect.bisect_right(starts, key) - 1
+            if i < 0 or key >= covered[i][1]:
+                return True
+    return False
+
+
 def fold_operands(log: DataFrame, oldest_read: int, merge) -> DataFrame:
     """Operands at or below the oldest snapshot that is still read, folded into values where a key has
     them; only for keys that no range tombstone meets, which the caller makes sure of."""

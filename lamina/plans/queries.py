@@ -364,16 +364,17 @@ def _through_buffer(store: KVStore, log: DataFrame) -> None:
     """Operations in order through the buffer, BATCH_OPS in a batch, then a last flush."""
     cf1 = store.create_column_family("cf1")
     batch = WriteBatch()
-    for r in log.orderBy("seq").toLocalIterator():
-        cf, key = (cf1 if r["cf_id"] else 0), bytes(r["key"])
-        if r["vt"] == VALUE:
-            batch.put(key, bytes(r["val"]), cf)
-        elif r["vt"] == TOMBSTONE:
+    rows = log.orderBy("seq").select("cf_id", "key", "vt", "val", "end_key")
+    for cf_id, k, vt, val, end_key in rows.toLocalIterator(prefetchPartitions=True):
+        cf, key = (cf1 if cf_id else 0), bytes(k)
+        if vt == VALUE:
+            batch.put(key, bytes(val), cf)
+        elif vt == TOMBSTONE:
             batch.delete(key, cf)
-        elif r["vt"] == MERGE_OPERAND:
-            batch.merge(key, bytes(r["val"]), cf)
+        elif vt == MERGE_OPERAND:
+            batch.merge(key, bytes(val), cf)
         else:
-            batch.delete_range(KeyRange.half_open(key, bytes(r["end_key"])), cf)
+            batch.delete_range(KeyRange.half_open(key, bytes(end_key)), cf)
         if len(batch.ops) == BATCH_OPS:
             store.write_batch(batch)
             batch = WriteBatch()

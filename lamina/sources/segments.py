@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,58 @@ def write_segments(records: DataFrame, files, n_files: int, options: Options, fa
     return describe(records.sparkSession, files, names)
 
 
+def read_small(files, names: Sequence[str]) -> pa.Table:
+    """The records of few small segments, on the driver."""
+    schema = pa.schema(list(zip(RECORD_COLUMNS, ARROW_TYPES, strict=True)))
+    return pa.concat_tables([pq.read_table(io.BytesIO(files.read(n)), columns=RECORD_COLUMNS).cast(schema) for n in names]).combine_chunks()
+
+
+def write_small(records: pa.Table, files, n_files: int, options: Options, families: dict[int, str], folder: str, replaces: Sequence[str] = ()) -> list[dict]:
+    """write_segments() for few records, on the driver without a job.
+
+    Without Bloom filters: a file is a single small row group.
+    """
+    records = records.sort_by([("cf_id", "ascending"), ("key", "ascending"), ("seq", "descending"), ("vt", "ascending")]).combine_chunks()
+    starts = np.flatnonzero(~same_key_as_before(records))
+    at = [0, *(int(starts[min(np.searchsorted(starts, len(records) * i // n_files), len(starts) - 1)]) for i in range(1, n_files if len(starts) else 0)), len(records)]
+    kind = options.compression.value if isinstance(options.compression, Compression) else options.compression
+    files.make(folder)
+    out = []
+    for lo, hi in zip(at, at[1:], strict=False):
+        if lo == hi:
+            continue
+        part, name, buffer = records.slice(lo, hi - lo), f"{folder}/part-{len(out):05d}.parquet", io.BytesIO()
+        pq.write_table(part, buffer, compression=kind.removesuffix("_raw"))
+        files.write_new(name, buffer.getvalue())
+        first_cf, last_cf = part["cf_id"][0].as_py(), part["cf_id"][-1].as_py()
+        ends = part.filter(pc.equal(part["cf_id"], last_cf))
+        seqs = pc.min_max(part["seq"])
+        out.append(
+            {
+                "path": name,
+                "file_size": len(buffer.getvalue()),
+                "min_key": physical_key(first_cf, part["key"][0].as_py()),
+                "max_key": physical_key(last_cf, pc.max(pc.coalesce(ends["end_key"], ends["key"])).as_py()),
+                "min_seq": seqs["min"].as_py(),
+                "max_seq": seqs["max"].as_py(),
+                "n_records": len(part),
+                "n_range_tombstones": pc.sum(pc.equal(part["vt"], RANGE_TOMBSTONE), min_count=0).as_py(),
+                "n_operands": pc.sum(pc.equal(part["vt"], MERGE_OPERAND), min_count=0).as_py(),
+            }
+        )
+    write_catalog(files, folder, families, [m["path"] for m in out], replaces)
+    return out
+
+
+def same_key_as_before(records: pa.Table) -> np.ndarray:
+    """Whether a row has the family and key of the row before it."""
+    out = np.zeros(len(records), bool)
+    if len(records) > 1:
+        cf, key = records["cf_id"].combine_chunks(), records["key"].combine_chunks()
+        out[1:] = pc.and_(pc.equal(cf[1:], cf[:-1]), pc.equal(key[1:], key[:-1])).to_numpy(zero_copy_only=False)
+    return out
+
+
 def write_catalog(files, folder: str, families: dict[int, str], names: Sequence[str], replaces: Sequence[str] = ()) -> None:
     files.write_new(f"{folder}/_segment.json", json.dumps({"families": sorted(families.items()), "files": list(names), "replaces": list(replaces)}).encode())
 

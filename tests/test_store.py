@@ -612,6 +612,49 @@ def test_log_points_do_not_repeat_what_is_buffered(spark, tmp_path):
     assert not again._state.inline and not again._state.inline_bytes and len(items(KVStore(spark, str(tmp_path)))) == 200
 
 
+def test_a_small_flush_runs_no_job_and_says_what_a_large_one_does(spark, tmp_path, monkeypatch):
+    batch = WriteBatch([(1, 1, b"b", b"x", None), (0, 2, b"a", b"", b"zz"), (0, 3, b"a", b"", None), (0, 1, b"a", b"\0", None), (1, 0, b"", b"", None)])
+    found = []
+    for bound, name in ((1 << 20, "small"), (-1, "large")):
+        monkeypatch.setattr("lamina.store.SMALL_FLUSH_BYTES", bound)
+        db = KVStore(spark, str(tmp_path / name))
+        db.create_column_family("cf1")
+        db.write_batch(batch)
+        spark.sparkContext.setJobGroup(name, "")
+        db.flush()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+        spark.sparkContext._jsc.clearJobGroup()
+        assert bool(jobs) == (name == "large")
+        again = KVStore(spark, str(tmp_path / name))
+        facts = [{k: v for k, v in m.items() if k not in ("path", "file_size")} for m in again._state.files.values()]
+        assert all(m["file_size"] == again._files.size(m["path"]) for m in again._state.files.values())
+        found.append((facts, sorted(map(str, again.raw_log().collect())), items(again), items(again, cf=1)))
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("pins", [(), (20, 45)])
+def test_a_small_merge_leaves_what_a_large_one_does(spark, tmp_path, monkeypatch, pins):
+    """Random histories with all kinds of records, merged on the driver and by jobs; the driver must do its share."""
+    found, own = [], []
+    small = KVStore._merged_small
+    monkeypatch.setattr(KVStore, "_merged_small", lambda self, *args: own.append(small(self, *args)) or own[-1])
+    for bound, name in ((8 << 20, "small"), (-1, "large")):
+        monkeypatch.setattr("lamina.store.SMALL_MERGE_BYTES", bound)
+        rng = random.Random(7)
+        db = KVStore(spark, str(tmp_path / name), Options(auto_compact=False, level1_target_bytes=3000))
+        db.create_column_family("cf1")
+        for p in pins:
+            db.pin(p)
+        db.write_batch(WriteBatch([(cf, 2, b"a", b"", b"z") for cf in (0, 1)]))
+        for _ in range(3):
+            ops = [(rng.randrange(2), rng.choice((0, 1, 3)), rng.choice(b"abcdefgh").to_bytes(), str(i).encode(), None) for i in range(30)]
+            db.write_batch(WriteBatch([(c, vt, k, b"" if vt == 0 else v, e) for c, vt, k, v, e in ops]))
+            db.flush()
+        db.compact_all()
+        found.append((sorted(map(str, db.raw_log().collect())), items(db), items(db, cf=1), [items(db, cf=1, as_of=p) for p in pins]))
+    assert found[0] == found[1] and own[0] is not None and own[1] is None
+
+
 @pytest.mark.parametrize("catalogs", [True, False])
 def test_repair_takes_records_once_that_a_compaction_has_rewritten(spark, tmp_path, catalogs):
     db = KVStore(spark, str(tmp_path))
