@@ -123,10 +123,13 @@ def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         held.append(batch)
         size += batch.column(batch.schema.get_field_index(column)).nbytes
         if size >= limit:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, batch = [], 0, None  # the caller works on one copy of the texts, not on two
+            yield whole
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held = batch = None
+        yield whole
 
 
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -25,14 +25,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, lean, prepare, shards, text_bytes
+from .common import by_value, lean, prepare, shards
 
 by_value(__name__)
 
@@ -48,6 +48,12 @@ def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
+    """UTF-8 bytes of one text after another; null is empty."""
+    for text in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()):
+        yield text.as_py() or b""
+
+
 class TestSet:
     """The distinct suffixes of a block of items, cut to a window: their words, lengths and owners.
 
@@ -84,12 +90,13 @@ class TestSet:
         self.owner_item, self.owner_offset = flat[:, 0], flat[:, 1]
 
 
-def _search(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, right: bool) -> np.ndarray:
+def _search(column: Callable[[np.ndarray], np.ndarray], lo: np.ndarray, hi: np.ndarray, value: np.ndarray, right: bool) -> np.ndarray:
     """Binary search of every value in its own sorted stretch [lo, hi) of column."""
     lo, hi = lo.copy(), hi.copy()
     while len(open_ := np.flatnonzero(lo < hi)):
         mid = (lo[open_] + hi[open_]) >> 1
-        below = column[mid] <= value[open_] if right else column[mid] < value[open_]
+        own = column(mid)
+        below = own <= value[open_] if right else own < value[open_]
         lo[open_[below]] = mid[below] + 1
         hi[open_[~below]] = mid[~below]
     return lo
@@ -98,33 +105,48 @@ def _search(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarra
 class Shard:
     """The words of some texts, numbered from 1, and the array of their suffixes to `depth` words.
 
-    ids has all texts one after another with depth zeros behind each; keys[l][j] holds words
-    l * pack and the following of the j-th suffix, packed into one integer.
+    The texts lie one after another with depth zeros behind each, text i from starts[i] on. key[p + l *
+    pack] holds words l * pack and the following of the suffix at p, packed into one integer; order has
+    the places of the suffixes, sorted. Words are taken in one text at a time, and only key and order
+    stay: a worker's memory counts against its executor, beside all that earlier stages left there.
     """
 
-    def __init__(self, words: list[list[bytes]], depth: int):
+    def __init__(self, words: Iterable[list[bytes]], depth: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.starts = np.cumsum([0, *[len(w) + depth for w in words]])
-        self.ids = np.zeros(int(self.starts[-1]), np.int64)
-        for own, at in zip(words, self.starts, strict=False):
-            self.ids[at : at + len(own)] = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
+        number, texts = self.vocabulary.setdefault, []
+        for own in words:
+            texts.append(np.fromiter((number(w, len(self.vocabulary) + 1) for w in own), np.int32, len(own)))
+        self.sizes = [len(x) for x in texts]
+        self.starts = np.cumsum([0, *[n + depth for n in self.sizes]])
+        self.length = int(self.starts[-1])
         self.bits = max(1, (len(self.vocabulary) + 1).bit_length())
         self.pack = min(depth, 63 // self.bits)
         self.levels = -(-depth // self.pack)
-        ids = np.append(self.ids, np.zeros(self.pack + self.levels * self.pack, np.int64))
-        key = np.zeros(len(ids) - self.pack, np.int64)
+        ids = np.zeros(self.length + self.pack + self.levels * self.pack, np.int32)
+        for at, own in zip(self.starts.tolist(), texts, strict=False):
+            ids[at : at + len(own)] = own
+        del texts
+        self.key = np.zeros(len(ids) - self.pack, np.int64)
         for j in range(self.pack):
-            key = key << self.bits | ids[j : j + len(key)]
-        start = np.flatnonzero(self.ids)
-        order = start[np.argsort(key[start], kind="stable")]
-        first = key[order]
-        bucket = np.cumsum(np.r_[True, first[1:] != first[:-1]]) if len(order) else np.zeros(0, np.int64)
-        spot = np.flatnonzero(np.bincount(bucket)[bucket] > 1)  # a suffix alone in its bucket is in place
+            self.key <<= self.bits
+            self.key |= ids[j : j + len(self.key)]
+        start = np.flatnonzero(ids).astype(np.int32)
+        del ids
+        self.order = self._sorted(start, 0)
+        first = self.key[self.order]
+        differs = np.ones(len(first) + 1, bool)
+        np.not_equal(first[1:], first[:-1], out=differs[1:-1])
+        del first
+        spot = np.flatnonzero(~(differs[:-1] & differs[1:]))  # a suffix alone in its bucket is in place
         if len(spot):
-            columns = [key[order[spot] + level * self.pack] for level in range(1, self.levels)]
-            order[spot] = order[spot[np.lexsort((*columns[::-1], bucket[spot]))]]
-        self.order = order
-        self.keys = [key[order + level * self.pack] for level in range(self.levels)]
+            rest = self.order[spot]
+            for level in range(self.levels - 1, -1, -1):
+                rest = self._sorted(rest, level)
+            self.order[spot] = rest
+
+    def _sorted(self, places: np.ndarray, level: int) -> np.ndarray:
+        """Suffixes by one level of their keys; equal ones stay in their order."""
+        return places[np.argsort(self.key[places + level * self.pack], kind="stable")]
 
     def find(self, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The test suffixes that occur, and for each the stretch of the array that begins with it."""
@@ -138,7 +160,8 @@ class Shard:
             ids = np.pad(ids, ((0, 0), (0, room)))
             behind = np.pad(behind, ((0, 0), (0, room)), constant_values=True)
         lo, hi = np.zeros(len(known), np.int64), np.full(len(known), len(self.order))
-        for level, column in enumerate(self.keys):
+        for level in range(self.levels):
+            column = lambda at, ahead=level * self.pack: self.key[self.order[at] + ahead]
             low, high = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
             for j in range(level * self.pack, (level + 1) * self.pack):
                 open_end = behind[:, j] if len(known) else np.zeros(0, bool)
@@ -151,22 +174,21 @@ class Shard:
         return known[found], lo[found], hi[found]
 
 
-def scan(texts: list[bytes], blocks: list, window: int = WINDOW) -> Iterator[tuple[int, np.ndarray, set[str], list[tuple[int, int, str, int]]]]:
+def scan(texts: Iterable[bytes], blocks: list, window: int = WINDOW) -> Iterator[tuple[int, np.ndarray, set[str], list[tuple[int, int, str, int]]]]:
     """For each text: its number of words, which are hit, the items, and the maximal matches.
 
     A match is (first word, number of words, item, first word in the item): verbatim, at least a window
     long, and not part of a longer one.
     """
-    words = [words_of(t) for t in texts]
-    shard = Shard(words, window)
-    covered = np.zeros(len(shard.ids) + 1, np.int64)
-    matches: list[set[tuple[int, int, str, int]]] = [set() for _ in words]
+    shard = Shard(map(words_of, texts), window)
+    covered = np.zeros(shard.length + 1, np.int32)
+    matches: list[set[tuple[int, int, str, int]]] = [set() for _ in shard.sizes]
     for block in blocks:
         tests: TestSet = block.value if hasattr(block, "value") else block
         suffix, lo, hi = shard.find(tests)
         places = tests.whole[suffix]
         suffix, lo, sizes = suffix[places], lo[places], (hi - lo)[places]
-        at = shard.order[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)]
+        at = shard.order[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)].astype(np.int64)
         suffix = np.repeat(suffix, sizes)
         length = tests.lengths[suffix]
         np.add.at(covered, at, 1)
@@ -187,9 +209,9 @@ def scan(texts: list[bytes], blocks: list, window: int = WINDOW) -> Iterator[tup
                 matches[d].add((a - int(shard.starts[d]), z - a, tests.names[i], o))
         if len(blocks) > 1 and hasattr(block, "value"):
             block.__dict__.pop("_value", None)  # a worker holds one block at a time
-    hit = np.cumsum(covered) > 0
-    for own, start, found in zip(words, shard.starts.tolist(), matches, strict=False):
-        yield len(own), hit[start : start + len(own)], {m[2] for m in found}, sorted(found)
+    hit = np.cumsum(covered, out=covered) > 0
+    for n, start, found in zip(shard.sizes, shard.starts.tolist(), matches, strict=False):
+        yield n, hit[start : start + n], {m[2] for m in found}, sorted(found)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int) -> list:
@@ -224,7 +246,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         match = pa.list_(pa.struct([(n, pa.string() if n == "item_id" else pa.int64()) for n in names]))
         for shard in shards(batches, "text", SHARD_BYTES):
             out = []
-            for n, hit, items, found in scan(text_bytes(shard, "text"), blocks, window):
+            for n, hit, items, found in scan(texts_of(shard, "text"), blocks, window):
                 digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
                 out.append((n, int(hit.sum()), len(items), digest, bool(hit.any()), max((m[1] for m in found), default=0), len(found), [dict(zip(names, m, strict=True)) for m in found]))
             cols = list(zip(*out, strict=True))
@@ -246,7 +268,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, f"c{at}", SHARD_BYTES):
-            clean = [not hit.any() for _, hit, _, _ in scan(text_bytes(shard, f"c{at}"), blocks, window)]
+            clean = [not hit.any() for _, hit, _, _ in scan(texts_of(shard, f"c{at}"), blocks, window)]
             yield shard.filter(pa.array(clean, pa.bool_()))
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
