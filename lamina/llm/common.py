@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import json
 import sys
 import tempfile
 import uuid
@@ -97,6 +98,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table, made by the JVM: createDataFrame() of a list runs Python workers of a
+    second kind on the executors, and the process that forks them stays in memory to the session's end."""
+    names = [field.split()[0] for field in schema.split(",")]
+    held = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    made = spark.range(1).select(F.from_json(F.lit(held), f"array<struct<{', '.join(':'.join(f.split()) for f in schema.split(','))}>>").alias("held"))
+    return made.select(F.inline("held"))
+
+
 def lean(work: Callable) -> Callable:
     """Work on batches that leaves a worker process no larger than it must be: workers are reused, and
     what their allocators hold back counts against the executor while it does other things."""

@@ -37,7 +37,7 @@ from .common import by_value, lean, prepare, shards
 by_value(__name__)
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_WORDS = 500_000
 #: Bytes of a word: digits, lower-case letters, and all of any character beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -150,7 +150,7 @@ class Shard:
 
     def find(self, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The test suffixes that occur, and for each the stretch of the array that begins with it."""
-        numbers = np.array([0, *map(self.vocabulary.get, tests.words, [0] * len(tests.words))], np.int64)
+        numbers = np.array([0, *map(self.vocabulary.get, tests.words, [0] * len(tests.words))], np.int32)
         ids = numbers[tests.suffixes + 1]
         behind = tests.suffixes < 0
         known = np.flatnonzero(((ids > 0) | behind).all(1)) if len(ids) else np.zeros(0, np.int64)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from .common import by_value, discard, free_shuffles, lean, materialize, prepare, shards, text_bytes
+from .common import by_value, discard, free_shuffles, lean, materialize, prepare, shards, small_table, text_bytes
 from .components import components
 from .hashing import TABLE, Powers, mix, running
 
@@ -459,7 +459,7 @@ def join_by_pivots(sets: DataFrame, on_round=None) -> DataFrame:
     first, alive = _rarest(sets)
     alive = materialize(alive.withColumns({"component": F.col("class"), "order": F.lit(0)}), "alive")
     linked = 100 * F.col("inter") >= THRESHOLD * F.col("union")
-    label = spark.createDataFrame([], "node long, component long")
+    label = small_table(spark, [], "node long, component long")
     for turn, reach in enumerate(REACHES):
         here = alive.withColumn("k", _reached(reach).cast("int")).where("k > 0").withColumn("own", F.col("n") - F.col("known"))
         slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(SLOTS_MORE**turn))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, materialize
+from .common import by_value, materialize, small_table
 
 by_value(__name__)
 
@@ -122,7 +122,7 @@ def _numbered(totals: DataFrame) -> DataFrame:
     for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):  # a row a partition
         rows.append((p, before - (p << 33) + 1))
         before += n
-    shifts = totals.sparkSession.createDataFrame(rows, "_part long, _shift long")
+    shifts = small_table(totals.sparkSession, rows, "_part long, _shift long")
     return placed.withColumn("_part", part).join(F.broadcast(shifts), "_part").withColumn("source_no", (F.col("_at") + F.col("_shift")).cast("int")).drop("_part", "_shift", "_at")
 
 

@@ -8,7 +8,8 @@ import tracemalloc
 import pyarrow as pa
 
 from lamina.llm import decontaminate as D
-from lamina.llm.common import shards
+from lamina.llm import jaccard_join, mixing
+from lamina.llm.common import shards, small_table
 
 
 def test_the_array_of_a_shard_takes_a_bounded_multiple_of_its_texts():
@@ -35,3 +36,21 @@ def test_a_shard_holds_one_copy_of_its_texts():
         assert whole.num_rows == 1000
         del whole
     assert most < 1_500_000
+
+
+def test_stages_start_no_python_workers_of_a_second_kind(spark, monkeypatch):
+    def refuse(*a, **k):
+        raise AssertionError("a list becomes a table through Python workers on the executors")
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    single = jaccard_join.one_of_each(docs)
+    assert 0 < single.count() <= docs.count()
+    assert mixing.mixed_documents(single).count() > 0
+
+
+def test_small_tables(spark):
+    rows = [(0, -(1 << 62)), (7 << 33, 5)]
+    made = small_table(spark, rows, "_part long, _shift long")
+    assert made.dtypes == [("_part", "bigint"), ("_shift", "bigint")] and sorted(map(tuple, made.collect())) == rows
+    assert small_table(spark, [], "node long, component long").collect() == []
